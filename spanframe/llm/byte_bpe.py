@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from spanframe.llm.chunks import ChunkEncoder
 from spanframe.llm.common import batch, table, texts, vocabulary
 
 _WORKER: dict = {}
+#: Marks that end a chunk as a pre-token of their own after letters.
+_ENDS = frozenset(".,;:!?")
 
 
 def byte_characters() -> list[str]:
@@ -88,17 +91,23 @@ class ByteBpe:
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         """Ids of each string's pre-tokens, the merges of all strings in one call."""
-        whole = self.whole
-        pre = [self.split(s) for s in strings]
+        whole, split = self.whole, self.split
+        pre = [(s,) if s[1:].isalpha() and s[0] == " " else (s[:-1], s[-1]) if s[-1:] in _ENDS and s[1:-1].isalpha() and s[0] == " " else split(s) for s in strings]
         merge = list({p for some in pre for p in some if p not in whole})
         if merge:
-            mapped = [p.encode().decode("latin-1").translate(self.chars) for p in merge]
-            ids = self.model.encode(mapped, num_threads=1)
-            merged = dict(zip(merge, (np.asarray(x, "<u4").tobytes() for x in ids), strict=True))
+            ids = self.model.encode(self._mapped(merge), num_threads=1)
+            merged = dict(zip(merge, [array("I", x).tobytes() for x in ids], strict=True))
         else:
             merged = {}
         return [b"".join([whole[p] if p in whole else merged[p] for p in some]) for some in pre]
 
+    def _mapped(self, pieces: list[str]) -> list[str]:
+        """Each piece's bytes as the model's characters; all at once where no piece holds the separator."""
+        joined = "\0".join(pieces)
+        if joined.count("\0") == len(pieces) - 1:
+            return joined.encode().decode("latin-1").translate(self.chars).split(self.chars[0])
+        return [p.encode().decode("latin-1").translate(self.chars) for p in pieces]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from spanframe.llm.common import WordCache
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 _RUN = re.compile(r"\s\s")
 
 

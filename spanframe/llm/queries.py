@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanframe.llm.byte_bpe import op1_byte_bpe
+from spanframe.llm.packing import op3_best_fit_packing
 from spanframe.llm.token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_byte_bpe, op9_token_counts)}
+    return {q.__name__: q for q in (op1_byte_bpe, op3_best_fit_packing, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage."""
+"""The registered queries of this subpackage, in the order of their numbers."""
 
 from __future__ import annotations
 
@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanframe.llm.ann import op6_additive_ann
 from spanframe.llm.byte_bpe import op1_byte_bpe
+from spanframe.llm.langid import op10_language_id
 from spanframe.llm.packing import op3_best_fit_packing
 from spanframe.llm.token_counts import op9_token_counts
 
+QUERIES = (
+    op1_byte_bpe,
+    op3_best_fit_packing,
+    op6_additive_ann,
+    op9_token_counts,
+    op10_language_id,
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_byte_bpe, op3_best_fit_packing, op9_token_counts)}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None of them is SQL: each is tested against a brute-force version or its library."""
     return {}

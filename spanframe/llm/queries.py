@@ -10,6 +10,7 @@ from spanframe.llm.ann import op6_additive_ann
 from spanframe.llm.byte_bpe import op1_byte_bpe
 from spanframe.llm.fingerprint import op8_fingerprints
 from spanframe.llm.html_extract import op4_html_text
+from spanframe.llm.jaccard import op5_jaccard_join
 from spanframe.llm.langid import op10_language_id
 from spanframe.llm.packing import op3_best_fit_packing
 from spanframe.llm.token_counts import op9_token_counts
@@ -18,6 +19,7 @@ QUERIES = (
     op1_byte_bpe,
     op3_best_fit_packing,
     op4_html_text,
+    op5_jaccard_join,
     op6_additive_ann,
     op8_fingerprints,
     op9_token_counts,

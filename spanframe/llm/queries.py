@@ -13,10 +13,12 @@ from spanframe.llm.html_extract import op4_html_text
 from spanframe.llm.jaccard import op5_jaccard_join
 from spanframe.llm.langid import op10_language_id
 from spanframe.llm.packing import op3_best_fit_packing
+from spanframe.llm.substring_dedup import op2_substring_dedup
 from spanframe.llm.token_counts import op9_token_counts
 
 QUERIES = (
     op1_byte_bpe,
+    op2_substring_dedup,
     op3_best_fit_packing,
     op4_html_text,
     op5_jaccard_join,

@@ -12,6 +12,7 @@ from spanframe.llm.fingerprint import op8_fingerprints
 from spanframe.llm.html_extract import op4_html_text
 from spanframe.llm.jaccard import op5_jaccard_join
 from spanframe.llm.langid import op10_language_id
+from spanframe.llm.lm import op7_lm_scores
 from spanframe.llm.packing import op3_best_fit_packing
 from spanframe.llm.substring_dedup import op2_substring_dedup
 from spanframe.llm.token_counts import op9_token_counts
@@ -23,6 +24,7 @@ QUERIES = (
     op4_html_text,
     op5_jaccard_join,
     op6_additive_ann,
+    op7_lm_scores,
     op8_fingerprints,
     op9_token_counts,
     op10_language_id,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,46 @@ STRETCH, CHARS = 128, 1_500_000
 _WORKER: dict = {}
 
 
+class _Numbers(dict):
+    """Part of a word -> feature number; bounded, and the same whatever it has seen."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.kind = kind
+
+    def __missing__(self, part: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        self[part] = number = zlib.crc32(f"{self.kind}{part}".encode()) % BUCKETS
+        return number
+
+
+_GRAM, _PREFIX, _SUFFIX = (_Numbers(k) for k in "nps")
+
+
+def letters_of(word: str) -> str:
+    if word.isalpha():
+        return word
+    if word[:-1].isalpha():
+        return word[:-1]
+    return "".join(filter(str.isalpha, word))
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Feature numbers of a lower-case word; none where it has no letter."""
-    letters = "".join(c for c in word if c.isalpha())
+    letters = letters_of(word)
     if not letters:
         return []
     framed = f"^{letters}$"
-    names = {f"n{framed[i : i + n]}" for n in (2, 3) for i in range(len(framed) - n + 1)}
-    names |= {f"p{letters[:n]}" for n in (2, 3, 4)} | {f"s{letters[-n:]}" for n in (2, 3, 4)}
+    n = len(framed)
+    grams = {framed[i : i + 2] for i in range(n - 1)} | {framed[i : i + 3] for i in range(n - 2)}
+    out = [_GRAM[g] for g in grams]
+    out += {_PREFIX[letters[:k]] for k in (2, 3, 4)} | {_SUFFIX[letters[-k:]] for k in (2, 3, 4)}
     known = lexicon.get(letters)
     if known is not None:
-        names |= {f"l{known}", f"w{letters}"}
-    crc = zlib.crc32
-    return [crc(n.encode()) % BUCKETS for n in sorted(names)]
+        out += [zlib.crc32(f"l{known}".encode()) % BUCKETS, zlib.crc32(f"w{letters}".encode()) % BUCKETS]
+    out.sort()
+    return out
 
 
 class Crf:
@@ -57,7 +85,7 @@ class Crf:
         out = np.zeros((len(words), len(self.labels)), np.float32)
         some = [i for i, f in enumerate(found) if f]
         if some:
-            flat = np.fromiter((x for i in some for x in found[i]), np.int64)
+            flat = np.array(list(chain.from_iterable(found[i] for i in some)), np.int64)
             ends = np.cumsum([0] + [len(found[i]) for i in some])[:-1]
             out[some] = np.add.reduceat(self.weights[flat], ends, axis=0)
         return out
@@ -114,7 +142,7 @@ def train(samples: list[tuple[str, str]], seed: int = 3) -> Crf:
     counts: dict[str, Counter] = {}
     texts_ = [([w for w in text.lower().split()], of[label]) for text, label in samples]
     for words, y in texts_:
-        for w in {"".join(c for c in w if c.isalpha()) for w in words}:
+        for w in {letters_of(w) for w in words}:
             counts.setdefault(w, Counter())[y] += 1
     lexicon = {}
     for w, c in sorted(counts.items(), key=lambda x: (-sum(x[1].values()), x[0]))[:LEXICON]:
@@ -224,7 +252,7 @@ class _Labeller:
             self.used = 1
             fresh = list(set().union(*words_of))
         if fresh:
-            lettered = [w for w in fresh if any(map(str.isalpha, w))]
+            lettered = [w for w in fresh if letters_of(w)]
             known.update(dict.fromkeys(fresh, 0))
             known.update(zip(lettered, range(self.used, self.used + len(lettered)), strict=True))
             while self.used + len(lettered) > len(self.rows):
@@ -232,7 +260,7 @@ class _Labeller:
             self.rows[self.used : self.used + len(lettered)] = self.crf.emissions(lettered)
             self.used += len(lettered)
         get = known.__getitem__
-        return np.fromiter((i for words in words_of for i in map(get, words)), np.int64)
+        return np.fromiter(map(get, chain.from_iterable(words_of)), np.int64)
 
     def __call__(self, some: list[str]) -> tuple[list[str], list[float]]:
         words = [t.lower().split() for t in some]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from spanframe.plans import corpus_queries, span_queries, text_queries  # noqa: F401
+from spanframe.plans import corpus_queries, decode_queries, span_queries, text_queries  # noqa: F401
 from spanframe.plans.base import ORACLES, QUERIES
 
 

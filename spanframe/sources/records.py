@@ -51,7 +51,7 @@ def read_tagged_tsv(spark: SparkSession, path: str, sentence: str, token: str, t
 
     One file is read as one split, so that its line order is known; several files go in parallel.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     head = rows.where("line = 0").select("file", F.split("value", "\t").alias("names"))
     cells = rows.where("line > 0").join(head, "file").withColumn("c", F.split("value", "\t"))
     at = lambda n: F.get("c", F.array_position("names", n).cast("int") - 1)
@@ -63,7 +63,7 @@ def read_tagged_tsv(spark: SparkSession, path: str, sentence: str, token: str, t
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """The same of text with a token in the first and a tag in the last column; blank lines end sentences."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     blank = (strip(F.col("value")) == "").cast("int")
     number = F.sum(blank).over(Window.partitionBy("file").orderBy("line")).cast("long")
     parts = F.split(strip(F.col("value")), r"\s+")

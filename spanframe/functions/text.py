@@ -6,6 +6,9 @@ never offsets, which come from lengths.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -241,3 +244,26 @@ def clean_span(text: Column, start: Column, end: Column) -> Column:
 
 def quality_flags(c: Column) -> Column:
     return F.struct(F.size(words(c)).alias("n_words"), looks_clean(c).alias("clean"))
+
+
+def trim_offsets(c: Column, offsets: Column) -> Column:
+    """Token offsets without leading white space; a token of white space only becomes empty."""
+
+    def trimmed(o):
+        token = F.substring(c, o["start"] + 1, o["end"] - o["start"])
+        skip = F.length(F.regexp_extract(token, f"^{SPACE}*", 0))
+        return F.struct((o["start"] + skip).alias("start"), o["end"].alias("end"))
+
+    return F.transform(offsets, trimmed)
+
+
+def composed(c: Column) -> Column:
+    """NFC, no-break spaces as spaces, no format characters; composition has no built-in and runs on Arrow batches."""
+    return F.regexp_replace(F.regexp_replace(_nfc()(c), r"[\x{a0}\x{202f}\x{2007}]", " "), r"\p{Cf}", "")
+
+
+def _nfc():
+    def nfc(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return F.pandas_udf(nfc, "string")

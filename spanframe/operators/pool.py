@@ -91,3 +91,33 @@ def replacements(mentions: DataFrame, pool: DataFrame, seed: int, shelves: int =
     weight = F.pow(F.col("n_words").cast("double"), F.lit(bias))
     score = F.log(uniform(seed, "id", "stem", "new") + 1e-12) / weight
     return j.groupBy("id", "label", "stem").agg(F.max_by("new", F.struct(score, "new")).alias("new"))
+
+
+def transliterated_stem(c: Column, to: str) -> Column:
+    """The stem in the other alphabet; null where it looks foreign or the result is not clean and of that script."""
+    from spanframe.functions.translit import cyrillic_to_latin, latin_to_cyrillic
+
+    out = latin_to_cyrillic(c) if to == "cyrillic" else cyrillic_to_latin(c)
+    foreign = c.rlike(K.FOREIGN_LATIN) if to == "cyrillic" else F.lit(False)
+    return F.when(~foreign & is_clean_mention(out) & (script_presence(out) == to), out)
+
+
+def rebuilt(text: Column, entities: Column, surfaces: Column) -> Column:
+    """struct(text, entities): each entity (in text order, disjoint) with its new surface, null keeping the old one."""
+    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast("array<struct<label:string,start:int,end:int>>").alias("entities"))
+
+    def step(a, x):
+        e = x["e"]
+        between = F.substring(text, a["at"] + 1, e["start"] - a["at"])
+        surface = F.coalesce(x["s"], F.substring(text, e["start"] + 1, e["end"] - e["start"]))
+        before = F.concat(a["text"], between)
+        moved = F.struct(e["label"].alias("label"), F.length(before).alias("start"), (F.length(before) + F.length(surface)).alias("end"))
+        return F.struct(F.concat(before, surface).alias("text"), e["end"].alias("at"), F.concat(a["entities"], F.array(moved)).alias("entities"))
+
+    pairs = F.arrays_zip(entities.alias("e"), surfaces.alias("s"))
+    return F.aggregate(pairs, zero, step, lambda a: F.struct(F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text))).alias("text"), a["entities"].alias("entities")))
+
+
+def match_case(new: Column, old: Column) -> Column:
+    """New in capitals where old is, else as it stands."""
+    return F.when((old == F.upper(old)) & (old != F.lower(old)) & (F.length(old) > 1), F.upper(new)).otherwise(new)

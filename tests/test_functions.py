@@ -98,3 +98,17 @@ def test_visible_edges(spark):
 def test_trimmed_tail(spark):
     assert rows(spark, ["Ali (shoir)", "Ali ."]).select(T.trim_parenthesis(F.col("t"))).first()[0] == "Ali"
     assert re.sub(r"\s", "", K.EN_MARKS)
+
+
+def test_offsets_composition_stems_and_rebuilding(spark):
+    from spanframe.operators.pool import match_case, rebuilt, transliterated_stem
+
+    df = spark.createDataFrame([(" ab  c", [(0, 3), (3, 5), (5, 6)])], "t string, o array<struct<start:int,end:int>>")
+    assert [tuple(x) for x in df.select(T.trim_offsets(F.col("t"), F.col("o"))).first()[0]] == [(1, 3), (5, 5), (5, 6)]
+    assert [r[0] for r in rows(spark, ["é ​x", None]).select(T.composed(F.col("t"))).collect()] == ["é x", None]
+    stems = rows(spark, ["Toshkent", "Washington", "Navoiy"]).select(transliterated_stem(F.col("t"), "cyrillic")).collect()
+    assert [r[0] for r in stems] == ["Тошкент", None, "Навоий"]
+    one = spark.createDataFrame([("Ali va Vali keldi", [("NAME", 0, 3), ("NAME", 7, 11)], ["Salim", None])], "t string, e array<struct<label:string,start:int,end:int>>, s array<string>")
+    out = one.select(rebuilt(F.col("t"), F.col("e"), F.col("s")).alias("r")).first()["r"]
+    assert out["text"] == "Salim va Vali keldi" and [tuple(e) for e in out["entities"]] == [("NAME", 0, 5), ("NAME", 9, 13)]
+    assert rows(spark, ["ALI"]).select(match_case(F.lit("Vali"), F.col("t"))).first()[0] == "VALI"

@@ -9,12 +9,16 @@ of shingles that no other document has and cost nothing.
    documents hold each hash and sends back, per batch, those that several do. Only these can be
    shared: documents with fewer than o of them link with nothing and are done.
 2. Equal sets are one class, and one document stands for it.
-3. A first round verifies each document with the first one of every posting list it is on (a star),
-   and joins what links into components.
-4. A second round compares documents of different components only. Each document takes the number l
+3. STARS rounds verify each document with one other of every posting list it is on, the first by a
+   hash of the round, and join what links into components; from the second on only where a posting
+   list holds several components.
+4. A last round compares documents of different components only. Each document takes the number l
    of matches, 1 to MATCHES, whose longer prefix and fewer candidates cost least by its shingles'
    frequencies; pairs that share l of them in prefixes of that length are verified.
 
+Before a pair is made its bitmaps are compared: each set's shingles toggle bits of BITMAP words, so
+the number of bits in which two differ is at most their symmetric difference, which linked sets bound.
+
 Every linked pair is compared or already within one component, so the components are exact (up to
 collisions of hashes of at least 46 bits).
 """
@@ -31,9 +35,12 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.common import batch, map_arrow, stored, table
 from spanframe.llm.components import components
-from spanframe.llm.shingles import shingle_hashes
+from spanframe.llm.shingles import mix, shingle_hashes
 
 MATCHES = 4
+STARS = 3
+#: 64-bit words of a set's bitmap.
+BITMAP = 8
 #: Weight of verifying a candidate against reading one posting.
 VERIFY = 8
 #: Shingles that one bucket counts.
@@ -141,12 +148,26 @@ def best_matches(df: np.ndarray, spare: int) -> int:
     return min(options)[1]
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITMAP words in which each token toggles one bit."""
+    place = (mix(tokens) % np.uint64(64 * BITMAP)).astype(np.int64)
+    odd = np.bincount(place, minlength=64 * BITMAP) % 2 == 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _may_link(x: str, y: str, num: int, den: int):
+    """Sizes and bitmaps allow a link: the symmetric difference is at most (n + n') (den - num) / (den + num)."""
+    differ = sum((F.bit_count(F.col(f"bits{i}_{x}").bitwiseXOR(F.col(f"bits{i}_{y}"))) for i in range(BITMAP)), F.col(f"alone_{x}") + F.col(f"alone_{y}"))
+    return _near_size(f"n_{x}", f"n_{y}", num, den) & (differ * (den + num) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num))
+
+
 def _postings(num: int, den: int):
-    """(token, uid, n, level, matches): level is the smallest l whose prefix holds the token."""
+    """(token, uid, n, alone, bits, level, matches): level is the smallest l whose prefix holds the token,
+    alone the number of shingles that no other document has, bits the bitmap of the rest."""
 
     def run(batches):
         for b in batches:
-            out = ([], [], [], [], [])
+            out = tuple([] for _ in range(6 + BITMAP))
             for uid, n, tokens, dfs in zip(*(b.column(c).to_pylist() for c in ("uid", "n", "tokens", "dfs")), strict=True):
                 token, df = np.frombuffer(tokens, "<u8"), np.frombuffer(dfs, "<u4").astype(np.int64)
                 spare = len(token) - least_overlap(n, num, den)  # shared shingles of the 0-prefix
@@ -156,8 +177,12 @@ def _postings(num: int, den: int):
                 out[2].append(np.full(k, n, np.int64))
                 out[3].append(np.maximum(1, np.arange(k) - spare + 1).astype(np.int32))
                 out[4].append(np.full(k, best_matches(df, spare), np.int32))
+                out[5].append(np.full(k, n - len(token), np.int64))
+                for i, word in enumerate(bitmap(token)):
+                    out[6 + i].append(np.full(k, word, np.int64))
             if out[0]:
-                yield batch({c: pa.array(np.concatenate(x)) for c, x in zip(("token", "uid", "n", "level", "matches"), out, strict=True)})
+                names = ("token", "uid", "n", "level", "matches", "alone", *(f"bits{i}" for i in range(BITMAP)))
+                yield batch({c: pa.array(np.concatenate(x)) for c, x in zip(names, out, strict=True)})
 
     return run
 
@@ -205,19 +230,32 @@ def similar_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     able = docs.where(F.col("tokens").isNotNull())
     classes = stored(able.select("uid", "n", "digest").groupBy("digest", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "classes")
     sets = stored(able.select("uid", "n", "tokens", "dfs").join(classes.select(F.col("rep").alias("uid")), "uid"), "reps")
-    postings = stored(map_arrow(sets, _postings(num, den), "token long, uid long, n long, level int, matches int"), "postings")
-
-    star = postings.where("level = 1").groupBy("token").agg(F.min("uid").alias("a"), F.count("*").alias("c")).where("c > 1")
-    first = postings.where("level = 1").select("token", F.col("uid").alias("b")).join(star.select("token", "a"), "token").where("a <> b").select("a", "b").distinct()
-    links = stored(_verified(first, sets, num, den), "links")
-    near = stored(components(links), "near")
+    kinds = "token long, uid long, n long, level int, matches int, alone long, " + ", ".join(f"bits{i} long" for i in range(BITMAP))
+    postings = stored(map_arrow(sets, _postings(num, den), kinds), "postings")
+    own = [c for c in postings.columns if c != "token"]
+
+    def sided(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token"))
+
+    near = spark.createDataFrame([], "node long, component long")
+    for turn in range(STARS):
+        grouped = postings.join(near.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        mixed = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+        open_ = stored(grouped.join(mixed, "token"), "open").select("token", "component", *own)
+        first = open_.where("level = 1")
+        order = F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid")
+        star = first.groupBy("token").agg(F.min(order).alias("m")).select("token", F.col("m.uid").alias("uid"))
+        centre = sided(first.join(star, ["token", "uid"]), "a")
+        pairs = centre.join(sided(first, "b"), "token").where((F.col("component_a") != F.col("component_b")) & _may_link("a", "b", num, den)).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
+        links = _verified(pairs, sets, num, den)
+        near = stored(components(near.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(links)), "near")
 
     grouped = postings.join(near.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     mixed = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     open_ = stored(grouped.join(mixed, "token"), "open")
-    x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("uid", "n", "level", "matches", "component"))) for s in "xy")
     later = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("uid_x") > F.col("uid_y")))
-    shared = x.where("level_x <= matches_x").join(y, "token").where(later & (F.col("component_x") != F.col("component_y")) & (F.col("level_y") <= F.col("matches_x")) & _near_size("n_x", "n_y", num, den))
+    shared = sided(open_.where("level <= matches"), "x").join(sided(open_, "y"), "token")
+    shared = shared.where(later & (F.col("component_x") != F.col("component_y")) & (F.col("level_y") <= F.col("matches_x")) & _may_link("x", "y", num, den))
     pairs = shared.groupBy(F.col("uid_x").alias("a"), F.col("uid_y").alias("b"), "matches_x").agg(F.count("*").alias("c")).where("c >= matches_x").select("a", "b")
     more = _verified(pairs, sets, num, den)
     final = stored(components(near.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "final")

@@ -26,7 +26,8 @@ FOLLOW = 2
 MIN_WORDS = 25
 BUCKET_DIGESTS = 1_000_000
 _NULL_ID = -(1 << 63)
-_ITEM = np.dtype([("digest", "<u8"), ("id", "<i8"), ("row", "<u2")])
+_ITEM = np.dtype([("digest", "<u8"), ("id", "<i8")])
+_FOUND = np.dtype([("id", "<i8"), ("digest", "<u8")])
 
 
 def cuts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +93,14 @@ def _parts(bits: int):
                 sets.append(np.unique(digests(data, cuts(data)[0])))
             item = np.zeros(sum(map(len, sets)), _ITEM)
             rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            item["digest"], item["row"], item["id"] = np.concatenate(sets) if sets else [], rows, ids[rows]
+            item["digest"], item["id"] = np.concatenate(sets) if sets else [], ids[rows]
             item = item[np.argsort(item["digest"], kind="stable")]
             bucket = (item["digest"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(item), np.int64)
             turn = np.flatnonzero(np.diff(bucket)) + 1
             first = np.concatenate(([0], turn)).astype(int) if len(bucket) else []
             last = np.concatenate((turn, [len(bucket)])).astype(int)
             # Columns one after the other: what ids share compresses.
-            data = ["".encode().join(np.ascontiguousarray(item[c][s:e]).tobytes() for c in _ITEM.names) for s, e in zip(first, last, strict=False)]
+            data = [b"".join(np.ascontiguousarray(item[c][s:e]).tobytes() for c in _ITEM.names) for s, e in zip(first, last, strict=False)]
             if data:
                 yield batch({"bucket": pa.array([int(bucket[s]) for s in first], pa.int64()), "block": pa.array([block] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
             block += 1
@@ -118,17 +119,29 @@ def _items(data: bytes) -> np.ndarray:
 
 
 def _later(t: pa.Table) -> pa.Table:
-    """One bucket: (id, digests) of which a document with a smaller id holds a copy."""
-    own = np.concatenate([_items(x) for x in t["data"].to_pylist()])
+    """One bucket: per block, the (id, digest) of which a document with a smaller id holds a copy."""
+    parts = [_items(x) for x in t["data"].to_pylist()]
+    own = np.zeros(sum(map(len, parts)), [("digest", "<u8"), ("id", "<i8"), ("block", "<i8")])
+    own["digest"], own["id"] = (np.concatenate([x[c] for x in parts]) for c in ("digest", "id"))
+    own["block"] = np.repeat(t["block"].to_numpy(), [len(x) for x in parts])
     own = own[np.lexsort((own["id"], own["digest"]))]
     new = np.concatenate(([True], own["digest"][1:] != own["digest"][:-1]))
     least = own["id"][new][np.cumsum(new) - 1]
     own = own[own["id"] > least]
-    own = own[np.argsort(own["id"], kind="stable")]
-    turn = np.flatnonzero(np.diff(own["id"])) + 1
+    own = own[np.argsort(own["block"], kind="stable")]
+    turn = np.flatnonzero(np.diff(own["block"])) + 1
     first = np.concatenate(([0], turn)).astype(int) if len(own) else []
     last = np.concatenate((turn, [len(own)])).astype(int)
     pairs = list(zip(first, last, strict=False))
+    return pa.table({"block": pa.array([int(own["block"][s]) for s, _ in pairs], pa.int64()), "data": pa.array([own[["id", "digest"]][s:e].astype(_FOUND).tobytes() for s, e in pairs], pa.binary())})
+
+
+def _by_id(t: pa.Table) -> pa.Table:
+    """One block: the repeated digests of each of its documents."""
+    own = np.concatenate([np.frombuffer(x, _FOUND) for x in t["data"].to_pylist()])
+    own = own[np.argsort(own["id"], kind="stable")]
+    turn = np.flatnonzero(np.diff(own["id"])) + 1
+    pairs = list(zip([0, *turn], [*turn, len(own)], strict=True))
     return pa.table({"key": pa.array([int(own["id"][s]) for s, _ in pairs], pa.int64()), "digests": pa.array([own["digest"][s:e].tobytes() for s, e in pairs], pa.binary())})
 
 
@@ -137,7 +150,9 @@ def repeated_digests(rows: DataFrame) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(22, max(0, (int(chars / 24) // BUCKET_DIGESTS).bit_length()))
     parts = map_arrow(rows, _parts(bits), "bucket long, block long, data binary")
-    return parts.groupBy("bucket").applyInArrow(_later, "key long, digests binary").groupBy("key").agg(F.collect_list("digests").alias("parts"))
+    later = parts.groupBy("bucket").applyInArrow(_later, "block long, data binary")
+    by_id = later.groupBy("block").applyInArrow(_by_id, "key long, digests binary")
+    return by_id.groupBy("key").agg(F.collect_list("digests").alias("parts"))
 
 
 def remove_repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spanframe.llm.chunks import ChunkEncoder
-from spanframe.llm.common import batch, table, texts, vocabulary
+from spanframe.llm.common import batch, per_worker, table, texts, vocabulary
 
-_WORKER: dict = {}
 #: Marks that end a chunk as a pre-token of their own after letters.
 _ENDS = frozenset(".,;:!?")
 
@@ -121,9 +120,7 @@ def _is_text(token: bytes) -> bool:
 
 
 def worker_bpe(path: str) -> ByteBpe:
-    if path not in _WORKER:
-        _WORKER[path] = ByteBpe(path)
-    return _WORKER[path]
+    return per_worker("byte-bpe", path, lambda: ByteBpe(path))
 
 
 def encode_texts(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

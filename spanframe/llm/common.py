@@ -85,6 +85,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_WORKER: dict = {}
+
+
+def per_worker(kind: str, key, make: Callable):
+    """make() once per Python worker and kind, again when key changes.
+
+    Task functions are sent by value with what they refer to; this one is found in its module, so what
+    it keeps lasts from task to task.
+    """
+    if kind not in _WORKER or _WORKER[kind][0] != key:
+        _WORKER.pop(kind, None)
+        _WORKER[kind] = (key, make())
+    return _WORKER[kind][1]
+
+
 class WordCache(dict):
     """Word -> value; clears itself back to its fixed part at a bound, so worker memory stays bounded."""
 

@@ -29,15 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.chunks import ChunkEncoder
-from spanframe.llm.common import batch, map_arrow, stored, table, texts, vocabulary
+from spanframe.llm.common import batch, map_arrow, per_worker, stored, table, texts, vocabulary
 
 SMALL = 8
 GROUPS = (24, 48, 96, 192)
 #: Pieces of one length that one task ranks.
 RANKED_AT_ONCE = 50_000
 
-_WORKER: dict = {}
-
 
 class ByteLevelEncoder:
     """Ids of a byte-level .json tokenizer; its merges run in the rank engine, special strings in its own."""
@@ -212,9 +210,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, i
     end = array("I", [end_id]).tobytes()
 
     def pieces(batches):
-        if path not in _WORKER:
-            _WORKER[path] = ByteLevelEncoder(path)
-        encode = _WORKER[path].encode
+        encode = per_worker("byte-level", path, lambda: ByteLevelEncoder(path)).encode
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 some = b.slice(k, 200)

@@ -9,6 +9,7 @@ label (those with the smallest hashes), mixed into sequences that switch languag
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from itertools import chain
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import batch, crc_mod, map_arrow, table, texts
+from spanframe.llm.common import batch, crc_mod, map_arrow, per_worker, table, texts
 
 DOCS_PER_LABEL = 200
 BUCKETS = 1 << 16
@@ -28,8 +29,6 @@ CACHE_ENTRIES = 250_000
 #: Words of one stretch of forward-backward, and characters handled together.
 STRETCH, CHARS = 128, 1_500_000
 
-_WORKER: dict = {}
-
 
 class _Numbers(dict):
     """Part of a word -> feature number; bounded, and the same whatever it has seen."""
@@ -168,7 +167,7 @@ def train(samples: list[tuple[str, str]], seed: int = 3) -> Crf:
         order = rng.permutation(len(runs))
         ids = np.concatenate([runs[i][0] for i in order]) if len(runs) else np.zeros(0, np.int64)
         ys = np.concatenate([np.full(len(runs[i][0]), runs[i][1]) for i in order]) if len(runs) else ids
-        rows = len(ids) // SEQUENCE or (len(ids) > 0)
+        rows = len(ids) // SEQUENCE or int(len(ids) > 0)
         size = SEQUENCE if len(ids) >= SEQUENCE else len(ids)
         ids, ys = ids[: rows * size].reshape(rows, size), ys[: rows * size].reshape(rows, size)
         for k in range(0, rows, AT_ONCE):
@@ -290,14 +289,11 @@ def identify(df: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "t
     A null text, or one without any letter, is `und` with score 0. Repeated rows stay apart.
     """
     sent = df.sparkSession.sparkContext.broadcast(crf)
-    key = id(sent)
+    key = uuid.uuid4().hex
     keep = keep or []
 
     def run(batches):
-        if _WORKER.get("key") != (key, sent.value.weights[:64].tobytes()):
-            _WORKER.clear()
-            _WORKER["key"], _WORKER["labeller"] = (key, sent.value.weights[:64].tobytes()), _Labeller(sent.value)
-        label = _WORKER["labeller"]
+        label = per_worker("labeller", key, lambda: _Labeller(sent.value))
         for b in batches:
             lang, score = [], []
             run_, size = [], 0

@@ -345,3 +345,25 @@ def test_lm_base_counts(spark, monkeypatch):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (r["doc_id"] == 6, len(own), sum(c[w] > 0 for w in own), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
         assert r["score"] < 0
+
+
+def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+    rnd = random.Random(4)
+    common, other = (["".join(rnd.choice(letters) for _ in range(5)) for _ in range(40)] for letters in ("aeinrst", "ouklmpg"))
+    texts = [" ".join(rnd.choice(words) for _ in range(150)) for words in [common] * 30 + [other] * 31]
+    # The sample holds none of the other words.
+    monkeypatch.setattr(lm, "seed_documents", lambda *_: texts[:10])
+    monkeypatch.setattr(lm, "STEPS", 40)
+
+    def held_out(last):
+        rows = lm.score_texts(documents(spark, texts), "byte_bpe_50k.tiktoken", F.col("doc_id") < last).collect()
+        return next(r["score"] for r in rows if r["doc_id"] == 60)
+
+    # Only leaves and frequencies, then also the rounds.
+    without = held_out(30)
+    rounds = lm.rounds
+    monkeypatch.setattr(lm, "rounds", lambda model, *_: model)
+    counted = held_out(60)
+    monkeypatch.setattr(lm, "SHARD_CHARS", 2_000)
+    monkeypatch.setattr(lm, "rounds", rounds)
+    assert without < counted - 100 and counted < held_out(60) - 10

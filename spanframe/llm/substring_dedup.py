@@ -1,11 +1,12 @@
-"""Removal of passages that an earlier document holds too, by content-defined chunks.
-
-A text is cut at word starts where the gear hash of the 16 bytes before begins with zero bits, so an
-insertion moves only the cuts next to it. A chunk's digest is taken together with its FOLLOW
-followers, which makes it a phrase of some dozen words, and digests are counted over all documents:
-they go to buckets in packed arrays of each batch of documents, and a bucket answers which documents
-are not the first (by smallest id) to hold a digest. Chunks so covered form runs; a run of at least
-MIN_WORDS words is cut out. The first document keeps its copy, and repeats inside one document stay.
+"""Removal of passages that an earlier document holds too, exact to the word.
+
+A passage is repeated where MIN_WORDS words in a row also stand in a document with a smaller id. Each
+run of MIN_WORDS words (a window) is named by the least digest of the shorter phrases inside it, so equal
+windows have equal names wherever they stand, and a document has few different names. Names are counted
+over all documents first; then only windows whose name several documents share are told apart by
+digests of their own. Digests go to buckets in packed arrays of each batch of documents, and a bucket
+answers which documents share them or are not the first (by smallest id) to hold them. What windows of
+an earlier document cover is cut out. The first document keeps its copy, and repeats inside one stay.
 """
 
 from __future__ import annotations
@@ -17,12 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import shingles
-from spanframe.llm.cdc import gear_hash
 from spanframe.llm.common import batch, map_arrow, stored, table
 
-#: Cuts fall on one word start in 2**BITS; where white space is rare, on one character in 2**PLAIN_BITS.
-BITS, PLAIN_BITS = 2, 4
-FOLLOW = 2
 MIN_WORDS = 25
 BUCKET_DIGESTS = 1_000_000
 _NULL_ID = -(1 << 63)
@@ -30,67 +27,94 @@ _ITEM = np.dtype([("digest", "<u8"), ("id", "<i8")])
 _FOUND = np.dtype([("id", "<i8"), ("digest", "<u8")])
 
 
-def cuts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(chunk edges from 0 to the length, word starts) of UTF-8 data."""
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(1, np.int64), np.zeros(0, np.int64)
+def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of UTF-8 bytes between white space."""
     space = shingles._IS_SPACE[raw]
-    word = ~space
-    word[1:] &= space[:-1]
-    starts = np.flatnonzero(word)
-    h = gear_hash(raw)
-    if len(starts) * 40 >= len(raw):
-        at = starts[starts > 0]
-        at = at[h[at - 1] >> np.uint16(16 - BITS) == 0]
-    else:
-        at = np.flatnonzero(raw & 0xC0 != 0x80)
-        at = at[at > 0]
-        at = at[h[at - 1] >> np.uint16(16 - PLAIN_BITS) == 0]
-    return np.concatenate(([0], at, [len(raw)])), starts
-
-
-def digests(data: bytes, edges: np.ndarray) -> np.ndarray:
-    """Digest of each chunk with its followers; the last ones stand with fewer only in texts of few chunks."""
-    n = max(0, len(edges) - 1 - FOLLOW) or (len(edges) > 1 and data != b"")
-    if not n:
-        return np.zeros(0, np.uint64)
+    start = ~space
+    start[1:] &= space[:-1]
+    stop = space.copy()
+    stop[1:] &= ~space[:-1]
+    starts = np.flatnonzero(start)
+    gaps = np.append(np.flatnonzero(stop), len(raw))
+    return starts, gaps[np.searchsorted(gaps, starts, "right")]
+
+
+def _prefix(values: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * shingles._grow(len(values))[0][: len(values)], out=total[1:])
+    return total
+
+
+def _phrases(total: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Digests of the values from first to before last, from their prefix sums."""
+    return shingles.mix((total[last] - total[first]) * shingles._grow(len(total))[1][first] + (last - first).astype(np.uint64))
+
+
+def windows(data: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of min_words words: its byte span (to the next word's start), its digest and its name."""
+    none = np.zeros(0, np.int64)
+    if not data:
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     raw = np.frombuffer(data, np.uint8)
-    power, inverse = shingles._grow(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(shingles._VALUE[raw] * power[: len(raw)], out=total[1:])
-    first = edges[:n]
-    last = edges[np.minimum(np.arange(n) + FOLLOW + 1, len(edges) - 1)]
-    return shingles.mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+    starts, ends = units(raw)
+    n = len(starts) - min_words + 1
+    if n < 1:
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+    total = _prefix(_phrases(_prefix(shingles._VALUE[raw]), starts, ends))
+    at = np.arange(n)
+    short = max(1, (min_words + 1) // 2)
+    inner = np.arange(len(starts) - short + 1)
+    names = _phrases(total, inner, inner + short)
+    names = np.lib.stride_tricks.sliding_window_view(names, min_words - short + 1).min(axis=1)
+    return starts[:n], np.append(starts, len(raw))[at + min_words], _phrases(total, at, at + min_words), names
+
+
+def _among(values: np.ndarray, flagged: np.ndarray) -> np.ndarray:
+    """Which values the sorted array flagged holds."""
+    if not len(flagged):
+        return np.zeros(len(values), bool)
+    return flagged[np.minimum(np.searchsorted(flagged, values), len(flagged) - 1)] == values
 
 
 def repeats(data: bytes, flagged: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Byte spans of the runs of min_words words or more that flagged digests (sorted) cover."""
-    edges, starts = cuts(data)
-    own = digests(data, edges)
-    if not len(own) or not len(flagged):
+    """Byte spans that windows with flagged digests (sorted) cover."""
+    first, last, own, _ = windows(data, min_words)
+    hit = _among(own, flagged)
+    first, last = first[hit], last[hit]
+    if not len(first):
         return []
-    at = np.minimum(np.searchsorted(flagged, own), len(flagged) - 1)
-    hit = np.flatnonzero(flagged[at] == own)
-    cover = np.zeros(len(edges), np.int64)
-    np.add.at(cover, hit, 1)
-    np.add.at(cover, np.minimum(hit + FOLLOW + 1, len(edges) - 1), -1)
-    on = np.concatenate(([0], (np.cumsum(cover)[:-1] > 0).view(np.int8), [0]))
-    turn = np.flatnonzero(np.diff(on))
-    spans = zip(edges[turn[::2]].tolist(), edges[turn[1::2]].tolist(), strict=True)
-    return [(a, b) for a, b in spans if np.searchsorted(starts, b) - np.searchsorted(starts, a) >= min_words]
-
-
-def _parts(bits: int):
+    turn = np.flatnonzero(first[1:] > last[:-1]) + 1
+    return list(zip(first[np.append(0, turn)].tolist(), last[np.append(turn - 1, len(last) - 1)].tolist(), strict=True))
+
+
+def _flagged(parts) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join(parts or []), "<u8"))
+
+
+def _names(min_words: int):
+    return lambda b: [np.unique(windows((t or "").encode(), min_words)[3]) for t in b.column(1).to_pylist()]
+
+
+def _shared(min_words: int):
+    """The digests of the windows whose names (third column) several documents share."""
+
+    def sets(b):
+        out = []
+        for t, parts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            _, _, own, names = windows((t or "").encode() if parts else b"", min_words)
+            out.append(np.unique(own[_among(names, _flagged(parts))]))
+        return out
+
+    return sets
+
+
+def _parts(bits: int, digests):
     def run(batches):
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 24
         for b in batches:
             ids = b.column(0).to_numpy()
-            sets = []
-            for t in b.column(1).to_pylist():
-                data = (t or "").encode()
-                sets.append(np.unique(digests(data, cuts(data)[0])))
+            sets = digests(b)
             item = np.zeros(sum(map(len, sets)), _ITEM)
             rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             item["digest"], item["id"] = np.concatenate(sets) if sets else [], ids[rows]
@@ -118,16 +142,17 @@ def _items(data: bytes) -> np.ndarray:
     return out
 
 
-def _later(t: pa.Table) -> pa.Table:
-    """One bucket: per block, the (id, digest) of which a document with a smaller id holds a copy."""
+def _held(t: pa.Table, every: bool) -> pa.Table:
+    """One bucket: per block, the (id, digest) of which a document with a smaller id (every: any other) holds a copy."""
     parts = [_items(x) for x in t["data"].to_pylist()]
     own = np.zeros(sum(map(len, parts)), [("digest", "<u8"), ("id", "<i8"), ("block", "<i8")])
     own["digest"], own["id"] = (np.concatenate([x[c] for x in parts]) for c in ("digest", "id"))
     own["block"] = np.repeat(t["block"].to_numpy(), [len(x) for x in parts])
     own = own[np.lexsort((own["id"], own["digest"]))]
     new = np.concatenate(([True], own["digest"][1:] != own["digest"][:-1]))
-    least = own["id"][new][np.cumsum(new) - 1]
-    own = own[own["id"] > least]
+    group = np.cumsum(new) - 1
+    least, most = own["id"][new][group], own["id"][np.append(new[1:], True)][group]
+    own = own[(own["id"] > least) | (every & (most > least))]
     own = own[np.argsort(own["block"], kind="stable")]
     turn = np.flatnonzero(np.diff(own["block"])) + 1
     first = np.concatenate(([0], turn)).astype(int) if len(own) else []
@@ -136,6 +161,14 @@ def _later(t: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([int(own["block"][s]) for s, _ in pairs], pa.int64()), "data": pa.array([own[["id", "digest"]][s:e].astype(_FOUND).tobytes() for s, e in pairs], pa.binary())})
 
 
+def _later(t: pa.Table) -> pa.Table:
+    return _held(t, False)
+
+
+def _several(t: pa.Table) -> pa.Table:
+    return _held(t, True)
+
+
 def _by_id(t: pa.Table) -> pa.Table:
     """One block: the repeated digests of each of its documents."""
     own = np.concatenate([np.frombuffer(x, _FOUND) for x in t["data"].to_pylist()])
@@ -145,16 +178,24 @@ def _by_id(t: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([int(own["id"][s]) for s, _ in pairs], pa.int64()), "digests": pa.array([own["digest"][s:e].tobytes() for s, e in pairs], pa.binary())})
 
 
-def repeated_digests(rows: DataFrame) -> DataFrame:
-    """(key, parts array<binary>): the digests of each document that an earlier one holds; rows: key, text."""
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(22, max(0, (int(chars / 24) // BUCKET_DIGESTS).bit_length()))
-    parts = map_arrow(rows, _parts(bits), "bucket long, block long, data binary")
-    later = parts.groupBy("bucket").applyInArrow(_later, "block long, data binary")
-    by_id = later.groupBy("block").applyInArrow(_by_id, "key long, digests binary")
+def _asked(rows: DataFrame, digests, n: int, answer) -> DataFrame:
+    """(key, parts array<binary>): the digests of each document that answer keeps, of about n; rows: key, text, ..."""
+    bits = min(22, max(0, (n // BUCKET_DIGESTS).bit_length()))
+    parts = map_arrow(rows, _parts(bits, digests), "bucket long, block long, data binary")
+    found = parts.groupBy("bucket").applyInArrow(answer, "block long, data binary")
+    by_id = found.groupBy("block").applyInArrow(_by_id, "key long, digests binary")
     return by_id.groupBy("key").agg(F.collect_list("digests").alias("parts"))
 
 
+def repeated_digests(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, parts array<binary>): the window digests of each document that an earlier one holds; rows: key, text."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    names = stored(_asked(rows, _names(min_words), chars // 40, _several), "names")
+    shared = names.agg(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p)))).first()[0] or 0
+    # A name stands for some min_words / 4 windows.
+    return _asked(rows.join(names, "key"), _shared(min_words), shared // 8 * (min_words // 4 + 1), _later)
+
+
 def remove_repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's columns, text_col without the repeated passages, then `spans` (array of struct start, end).
 
@@ -163,7 +204,7 @@ def remove_repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     """
     names = df.columns
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_key")
-    flags = stored(repeated_digests(df.select(key.alias("key"), F.col(text_col).alias("text"))), "repeats")
+    flags = stored(repeated_digests(df.select(key.alias("key"), F.col(text_col).alias("text")), min_words), "repeats")
     both = df.select("*", key).join(flags.withColumnsRenamed({"key": "_key", "parts": "_parts"}), "_key", "left")
 
     def run(batches):
@@ -173,7 +214,7 @@ def remove_repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
                 found = []
                 if text and parts:
                     data = text.encode()
-                    found = repeats(data, np.sort(np.frombuffer(b"".join(parts), "<u8")), min_words)
+                    found = repeats(data, _flagged(parts), min_words)
                 if found:
                     kept, at, chars, marks = [], 0, 0, []
                     for s, e in found:

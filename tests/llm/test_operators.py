@@ -206,6 +206,21 @@ def test_substring_dedup_cuts_planted_passages(spark):
     assert got[0]["digest"] == "x" and substring_dedup.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_substring_dedup_cuts_every_repeat_to_the_word(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("aeiourstlnd") for _ in range(rnd.randint(4, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(25 + i % 30) for i in range(150)] + [" ".join([word()] * 60), (prose(6) + "\n") * 12]
+    texts = [f"{prose(9)} {p} {prose(9)}" for p in passages]
+    ends = [(prose(12), prose(12)) for _ in passages]
+    texts += [f"{a} {p} {b}" for (a, b), p in zip(ends, passages, strict=True)]
+    texts += [f"{prose(9)} {' '.join(p.split()[:24])} {prose(9)}" for p in passages[:20]]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    n = len(passages)
+    for i, t in enumerate(texts):
+        assert got[i] == (" ".join(ends[i - n]) if n <= i < 2 * n else t), i
+
+
 def test_chunks_resist_shifts():
     rnd = random.Random(2)
     text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 9))) for _ in range(2_000))

@@ -6,7 +6,8 @@ windows have equal names wherever they stand, and a document has few different n
 over all documents first; then only windows whose name several documents share are told apart by
 digests of their own. Digests go to buckets in packed arrays of each batch of documents, and a bucket
 answers which documents share them or are not the first (by smallest id) to hold them. What windows of
-an earlier document cover is cut out. The first document keeps its copy, and repeats inside one stay.
+an earlier document cover is cut out. Where a script has no spaces or words are very long, characters
+stand for words and a window is MIN_WORDS mean words of bytes. The first document keeps its copy, and repeats inside one stay.
 """
 
 from __future__ import annotations
@@ -21,22 +22,52 @@ from spanframe.llm import shingles
 from spanframe.llm.common import batch, map_arrow, stored, table
 
 MIN_WORDS = 25
+#: Weight of a word, its mean bytes; longer words than LONG bytes are taken by their characters.
+WORD, LONG = 6, 40
 BUCKET_DIGESTS = 1_000_000
 _NULL_ID = -(1 << 63)
 _ITEM = np.dtype([("digest", "<u8"), ("id", "<i8")])
 _FOUND = np.dtype([("id", "<i8"), ("digest", "<u8")])
 
 
-def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the words of UTF-8 bytes between white space."""
+def _edges(start: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(start)
+    stop = start | space
+    stops = np.append(np.flatnonzero(stop), len(start))
+    return starts, stops[np.searchsorted(stops, starts, "right")]
+
+
+def units(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, weights) of the units of UTF-8 bytes: words between white space, each of weight WORD.
+
+    Letters of scripts written without spaces, and the characters of words of more than LONG bytes, are
+    units of their own and weigh their bytes. What a unit is depends on the text at its place only.
+    """
     space = shingles._IS_SPACE[raw]
     start = ~space
     start[1:] &= space[:-1]
-    stop = space.copy()
-    stop[1:] &= ~space[:-1]
-    starts = np.flatnonzero(start)
-    gaps = np.append(np.flatnonzero(stop), len(raw))
-    return starts, gaps[np.searchsorted(gaps, starts, "right")]
+    alone = np.zeros(len(raw), bool)
+    if raw.max(initial=0) >= 0xE0:
+        second = np.append(raw[1:], 0)
+        # Thai, Lao; Myanmar, Khmer; kana and ideographs; ideographs of the second and third plane.
+        own = (raw == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (raw == 0xE1) & ((second >= 0x80) & (second <= 0x82) | (second >= 0x9E) & (second <= 0x9F)) | (raw >= 0xE3) & (raw <= 0xE9) | (raw == 0xF0) & (second >= 0xA0) & (second <= 0xBF)
+        if own.any():
+            char = raw & 0xC0 != 0x80
+            after = own[np.maximum.accumulate(np.where(char, np.arange(len(raw)), 0))]
+            start |= own
+            start[1:] |= after[:-1] & char[1:] & ~space[1:]
+            alone |= own
+    starts, ends = _edges(start, space)
+    far = ends - starts > LONG
+    if far.any():
+        turn = np.zeros(len(raw) + 1, np.int8)
+        turn[starts[far]] += 1
+        turn[ends[far]] -= 1
+        inside = (np.cumsum(turn[:-1]) > 0) & (raw & 0xC0 != 0x80)
+        start |= inside
+        alone |= inside
+        starts, ends = _edges(start, space)
+    return starts, ends, np.where(alone[starts], ends - starts, WORD)
 
 
 def _prefix(values: np.ndarray) -> np.ndarray:
@@ -51,22 +82,27 @@ def _phrases(total: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
 
 
 def windows(data: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of min_words words: its byte span (to the next word's start), its digest and its name."""
+    """Of each run of units that weigh min_words words: its byte span (to the next unit's start), its digest and its name."""
     none = np.zeros(0, np.int64)
     if not data:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     raw = np.frombuffer(data, np.uint8)
-    starts, ends = units(raw)
-    n = len(starts) - min_words + 1
+    starts, ends, weights = units(raw)
+    weight = np.append(0, np.cumsum(weights))
+    # Units after the last of the run, and of the phrase, that begin at each; n runs fit.
+    last = np.searchsorted(weight, weight[:-1] + min_words * WORD)
+    n = int(np.searchsorted(last, len(starts), "right"))
     if n < 1:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     total = _prefix(_phrases(_prefix(shingles._VALUE[raw]), starts, ends))
-    at = np.arange(n)
-    short = max(1, (min_words + 1) // 2)
-    inner = np.arange(len(starts) - short + 1)
-    names = _phrases(total, inner, inner + short)
-    names = np.lib.stride_tricks.sliding_window_view(names, min_words - short + 1).min(axis=1)
-    return starts[:n], np.append(starts, len(raw))[at + min_words], _phrases(total, at, at + min_words), names
+    last, first = last[:n], np.arange(n)
+    end = np.searchsorted(weight, weight[:-1] + (min_words + 1) // 2 * WORD)
+    inner = int(np.searchsorted(end, len(starts), "right"))
+    names = _phrases(total, np.arange(inner), end[:inner])
+    # The phrases from a run's first to the last that ends in it.
+    pairs = np.column_stack((first, np.searchsorted(end[:inner], last, "right"))).ravel()
+    names = np.minimum.reduceat(np.append(names, ~np.uint64(0)), pairs)[::2]
+    return starts[:n], np.append(starts, len(raw))[last], _phrases(total, first, last), names
 
 
 def _among(values: np.ndarray, flagged: np.ndarray) -> np.ndarray:

@@ -221,6 +221,23 @@ def test_substring_dedup_cuts_every_repeat_to_the_word(spark):
         assert got[i] == (" ".join(ends[i - n]) if n <= i < 2 * n else t), i
 
 
+def test_substring_dedup_cuts_text_without_spaces(spark):
+    rnd = random.Random(12)
+    han = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n))
+    thai = lambda n: "".join(chr(rnd.randrange(0x0E01, 0x0E2F)) + " " * (rnd.random() < 0.1) for _ in range(n)).strip()
+    plain = lambda n: "".join(rnd.choice("abcdefghij0123456789") for _ in range(n))
+    prose = lambda n: " ".join(plain(rnd.randint(2, 9)) for _ in range(n))
+    passages = [han(120), thai(150), plain(600), han(60), f"{han(30)} {prose(20)} {han(10)}"]
+    around = [(han(40), han(40)), (thai(30) + " ", " " + thai(30)), (prose(300) + " ", " " + prose(300)), (prose(80) + " ", " " + prose(80)), (prose(9) + " ", " " + han(8))]
+    texts = [f"{prose(5)} {p} {prose(5)}" for p in passages] + [f"{a}{p}{b}" for p, (a, b) in zip(passages, around, strict=True)]
+    short = han(45)
+    texts += [han(20) + short, short + han(20)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        a, b = around[i - 5] if 5 <= i < 10 else (t, "")
+        assert got[i] == (a + b.lstrip() if 5 <= i < 10 else t), i
+
+
 def test_chunks_resist_shifts():
     rnd = random.Random(2)
     text = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 9))) for _ in range(2_000))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanframe.llm.common import BATCH_ROWS, crc_mod, stored
 from spanframe.llm.jaccard import similar_components
-from spanframe.llm.langid import identify, train, training_sample
+from spanframe.llm.langid import fit, identify, training_sample
 from spanframe.llm.packing import pack
 from spanframe.llm.substring_dedup import remove_repeats
 
@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without a letter go (`und`). Without a labelled document to learn from, all go.
     """
     docs = _ready(spark, docs)
-    crf = train(training_sample(docs.where(crc_mod("doc_id", 3) != 1)))
+    crf = fit(training_sample(docs.where(crc_mod("doc_id", 3) != 1)))
     kept = identify(docs, crf, keep=list(COLUMNS[1:]))
     return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)).select(*COLUMNS)
 

@@ -323,15 +323,38 @@ def test_language_id(spark):
     rows = [(i, text(lang, rnd.randint(3, 60)), lang) for i in range(60) for lang in ["xx" if i % 2 else "yy"]]
     odd = [(1_000, None, "xx"), (1_001, "123 ?! ", "yy"), (1_002, "", None), (1_003, text("xx", 40) + " " + text("yy", 9), None)]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
-    crf = langid.train(langid.training_sample(docs.where("doc_id % 3 <> 1")))
+    crf = langid.fit(langid.training_sample(docs.where("doc_id % 3 <> 1")))
     got = {r["doc_id"]: r for r in langid.identify(docs, crf, keep=["lang"]).collect()}
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
     assert [got[i]["lang_pred"] for i, _, _ in odd] == ["und", "und", "und", "xx"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    empty = langid.train([])
+    with pytest.raises(ValueError):
+        langid.identify(documents(spark, ["a"]), crf, keep=["score"])
+    assert langid.identify(docs.limit(0), crf).count() == 0
+    empty = langid.fit(langid.training_sample(docs.limit(0)))
     assert {r["lang_pred"] for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_features_depend_on_the_word_alone():
+    texts = ["Kala, \u00c9t\u00e9! kala 12 \u6f22\u5b57 x", "", "kala-kala K\u00e4se", "x"]
+    words = langid.Words(texts)
+    want = [(i, "".join(filter(str.isalpha, w))) for i, t in enumerate(texts) for w in t.lower().split()]
+    want = [(i, w) for i, w in want if w]
+    assert words.text.tolist() == [i for i, _ in want]
+    kinds = {}
+    for (_, w), k in zip(want, words.kind.tolist(), strict=True):
+        assert kinds.setdefault(w, k) == k
+    assert len(set(kinds.values())) == len(kinds)
+    lexicon = {int(words.hash[kinds["kala"]]): 1}
+    numbers, base = langid.features(words, lexicon)
+    ends = [*base.tolist(), len(numbers)]
+    for w, k in kinds.items():
+        alone = langid.Words([w])
+        assert sorted(langid.features(alone, lexicon)[0].tolist()) == sorted(numbers[ends[k] : ends[k + 1]].tolist())
+        n = len(w)
+        assert ends[k + 1] - ends[k] == 2 * n + 1 + 2 * min(3, max(1, n - 1)) + 2 * (w == "kala")
+
+
 def test_lm_gradient_and_distribution():
     rng = np.random.default_rng(0)
     ids = [rng.integers(0, 300, n).astype("<u2") for n in (5, 80, 200)]

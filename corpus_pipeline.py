@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import BATCH_ROWS, crc_mod, stored
+from spanframe.llm.common import bounded, crc_mod, stored
 from spanframe.llm.jaccard import similar_components
 from spanframe.llm.langid import fit, identify, training_sample
 from spanframe.llm.packing import pack
@@ -25,7 +25,7 @@ TOKENIZER, SEQUENCE = "byte_bpe_50k.json", 2048
 
 
 def _ready(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(spark)
     return docs.select(*COLUMNS)
 
 

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts of some KB each keep a batch within tens of MB.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 #: ASCII white space, the only separators of the word operators.
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches within BATCH_ROWS rows and BATCH_BYTES bytes, for what this session runs from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table, read in small Arrow batches downstream."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -41,11 +50,30 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _freed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
+def _freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have ended; it waits for the driver's collector otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def pieces(b: pa.RecordBatch, text: int, rows: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """b in slices of at most so many rows, and of so many bytes in column `text` unless one row has more."""
+    size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(size)))
+    at = 0
+    while at < b.num_rows:
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, total[at] + chars, "right")) - 1))
+        yield b.slice(at, end - at)
+        at = end
+
+
+def dropped(df: DataFrame) -> None:
     """Deletes the files behind a stored() table that nothing reads any more."""
+    spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:

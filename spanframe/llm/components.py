@@ -26,17 +26,16 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v) long pairs -> (node, component): component is the least node reachable; only nodes with edges.
+    """(u, v) pairs of any ordered type -> (node, component): component is the least node reachable; only nodes with edges.
 
     Each round is written to the shared folder; the rounds needed grow as the logarithm of the longest path.
     """
-    spark = edges.sparkSession
     mark = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = now.agg(*mark).first()
     while before["n"]:
         after = stored(_small(_large(now)), "edges")
-        dropped(spark, now)
+        dropped(now)
         now, seen = after, after.agg(*mark).first()
         if seen == before:
             break

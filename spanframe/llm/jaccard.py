@@ -5,22 +5,23 @@ all shingles, the first |A| - o + l shingles of A and the first |B| - o' + l of
 common, for every l. The order here is by document frequency, rarest first, so most prefixes are made
 of shingles that no other document has and cost nothing.
 
-1. Shingle hashes go to buckets of hash ranges in packed arrays of each batch of documents; a bucket counts how many
-   documents hold each hash and sends back, per batch, those that several do. Only these can be
-   shared: documents with fewer than o of them link with nothing and are done.
-2. Equal sets are one class, and one document stands for it.
-3. STARS rounds verify each document with one other of every posting list it is on, the first by a
-   hash of the round, and join what links into components; from the second on only where a posting
-   list holds several components.
-4. A last round compares documents of different components only. Each document takes the number l
-   of matches, 1 to MATCHES, whose longer prefix and fewer candidates cost least by its shingles'
-   frequencies; pairs that share l of them in prefixes of that length are verified.
-
-Before a pair is made its bitmaps are compared: each set's shingles toggle bits of BITMAP words, so
-the number of bits in which two differ is at most their symmetric difference, which linked sets bound.
+1. Equal sets are one class, and one document stands for it.
+2. Shingle hashes go to buckets of hash ranges in packed arrays of each block of documents, each hash
+   once a block; a bucket counts how many sets hold each hash and sends back, per block, those that
+   several do. Only these can be shared: sets with fewer than o of them link with no other set.
+3. Each set takes the number l of matches, 1 to MATCHES, whose longer prefix and fewer candidates cost
+   least by its shingles' frequencies; pairs that share l of them in prefixes of that length are
+   candidates, and what their bitmaps allow is verified on the whole sets.
+
+A bitmap's words toggle a bit for each shingle, so the number of bits in which two differ is at most
+their symmetric difference, which linked sets bound.
+
+Groups of thousands of near copies would make candidates of all their pairs. Sets whose least shingle
+under one of MERGE hashes is also that of more than HEAVY others are therefore compared with one of
+these before step 3, and posting lists that lie within one component afterwards make no candidates.
 
 Every linked pair is compared or already within one component, so the components are exact (up to
-collisions of hashes of at least 46 bits).
+collisions of 64-bit hashes).
 """
 
 from __future__ import annotations
@@ -33,82 +34,129 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import batch, map_arrow, stored, table
+from spanframe.llm.common import batch, dropped, map_arrow, pieces, stored, table
 from spanframe.llm.components import components
 from spanframe.llm.shingles import mix, shingle_hashes
 
 MATCHES = 4
-STARS = 3
+#: Hashes by which large groups of near copies meet, and what is a large group.
+MERGE, HEAVY = 4, 12
 #: 64-bit words of a set's bitmap.
 BITMAP = 8
 #: Weight of verifying a candidate against reading one posting.
 VERIFY = 8
-#: Shingles that one bucket counts.
+#: Shingles that one bucket counts, and documents and characters of one block.
 BUCKET_SHINGLES = 1_500_000
-_TOKEN = np.dtype([("low", "<u4"), ("high", "u1"), ("row", "<u2")])
-_BACK = np.dtype([("token", "<u8"), ("df", "<u4"), ("row", "<u2")])
+BLOCK_ROWS, BLOCK_CHARS = 1_000, 8_000_000
 _META = np.dtype([("id", "<i8"), ("null", "?"), ("n", "<i4"), ("digest", "<i8")])
+#: In place of a row: the whole block.
+_ALL = 0xFFFF
+_U = np.uint64
+
+
+def packed(values: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Ascending 64-bit values and 16-bit columns as bytes: steps between the values, of as few bytes as pay."""
+    base = int(values[0]) if len(values) else 0
+    step = np.diff(values, prepend=_U(base))
+    costs = []
+    for width in range(3, 9):
+        fill = step // _U((1 << 8 * width) - 1)
+        costs.append(((len(step) + float(fill.sum(dtype=np.float64))) * (width + 2 * len(columns)), width))
+    width = min(costs)[1]
+    top = _U((1 << 8 * width) - 1)
+    fill = (step // top).astype(np.int64)
+    # A step of the largest number stands for itself and says that its value is not whole.
+    at = np.cumsum(fill + 1) - 1
+    out = np.full(int(at[-1]) + 1 if len(at) else 0, top, _U)
+    out[at] = step % top
+    parts = [np.array([base], "<u8").tobytes(), bytes([width]), np.ascontiguousarray(out.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()]
+    for c in columns:
+        full = np.zeros(len(out), "<u2")
+        full[at] = c
+        parts.append(full.tobytes())
+    return b"".join(parts)
+
+
+def unpacked(data: bytes, columns: int) -> tuple[np.ndarray, ...]:
+    """What packed() was given."""
+    width = data[8]
+    n = (len(data) - 9) // (width + 2 * columns)
+    raw = np.zeros((n, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(data, np.uint8, n * width, 9).reshape(n, width)
+    step = raw.view("<u8").ravel()
+    whole = step != _U((1 << 8 * width) - 1)
+    value = np.cumsum(step) + np.frombuffer(data, "<u8", 1)[0]
+    at = 9 + n * width
+    return value[whole], *(np.frombuffer(data, "<u2", n, at + 2 * n * i)[whole] for i in range(columns))
+
+
+def _runs(values: np.ndarray) -> zip:
+    """(first, end) of runs of equal neighbours."""
+    cut = np.flatnonzero(np.diff(values)) + 1
+    return zip([0, *cut.tolist()], [*cut.tolist(), len(values)], strict=True) if len(values) else zip((), ())
 
 
 def _parts(k: int, bits: int):
-    """Batches of documents -> (bucket, block, data): each bucket's shingles, and the documents themselves."""
+    """Batches of documents -> (bucket, block, kind, data): each bucket's shingles; and, in buckets below 0, the
+    documents themselves and the shingles that several sets of the block hold."""
 
     def run(batches):
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 24
         for b in batches:
-            for at in range(0, b.num_rows, 1_000):
-                some = b.slice(at, 1_000)
+            for some in pieces(b, 1, BLOCK_ROWS, BLOCK_CHARS):
                 sets = [shingle_hashes(t or "", k) for t in some.column(1).to_pylist()]
                 ids = some.column(0).to_pylist()
                 meta = np.zeros(len(ids), _META)
                 meta["id"], meta["null"] = [0 if i is None else i for i in ids], [i is None for i in ids]
                 meta["n"] = [len(s) for s in sets]
                 meta["digest"] = [int.from_bytes(hashlib.sha256(s.tobytes()).digest()[:8], "little", signed=True) for s in sets]
-                rows = np.repeat(np.arange(len(sets), dtype=np.uint16), meta["n"])
-                tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                first = np.zeros(len(sets), bool)
+                first[np.unique(meta["digest"], return_index=True)[1]] = True
+                own = np.flatnonzero(first & (meta["n"] > 0))
+                tokens = np.concatenate([sets[i] for i in own]) if len(own) else np.zeros(0, _U)
+                rows = np.repeat(own.astype(np.uint16), meta["n"][own])
                 order = np.argsort(tokens, kind="stable")
                 tokens, rows = tokens[order], rows[order]
-                bucket = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-                packed = np.zeros(len(tokens), _TOKEN)
-                rest = tokens >> np.uint64(24 - bits)  # 40 bits below those of the bucket
-                packed["low"], packed["high"] = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
-                packed["row"] = rows
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                starts = np.concatenate(([0], cuts)).astype(int) if len(bucket) else []
-                ends = np.concatenate((cuts, [len(bucket)])).astype(int)
-                data = [packed[s:e].tobytes() for s, e in zip(starts, ends, strict=False)]
-                buckets = [int(bucket[s]) for s in starts]
-                yield batch({"bucket": pa.array([*buckets, -1 - (block * 0x9E3779B1 >> 12) % (1 << 20)], pa.int64()), "block": pa.array([block] * (len(data) + 1), pa.int64()), "data": pa.array([*data, meta.tobytes()], pa.binary())})
+                new = np.ones(len(tokens), bool)
+                new[1:] = tokens[1:] != tokens[:-1]
+                count = np.diff(np.append(np.flatnonzero(new), len(tokens)))
+                several = np.repeat(count > 1, count)
+                inside = packed(tokens[several], rows[several])
+                tokens, rows = tokens[new], np.where(count > 1, _ALL, rows[new])
+                bucket = (tokens >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+                data, buckets = [], []
+                for s, e in _runs(bucket):
+                    buckets.append(int(bucket[s]))
+                    data.append(packed(tokens[s:e], rows[s:e], np.minimum(count[s:e], 0xFFFF)))
+                home = -1 - (block * 0x9E3779B1 >> 12) % (1 << 20)
+                kinds = [0] * len(data) + [1, 2]
+                yield batch({"bucket": pa.array([*buckets, home, home], pa.int64()), "block": pa.array([block] * len(kinds), pa.int64()), "kind": pa.array(kinds, pa.int8()), "data": pa.array([*data, meta.tobytes(), inside], pa.binary())})
                 block += 1
 
     return run
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    """One bucket: per block, the shingles that more than one document holds, with how many do."""
-    bucket = t["bucket"][0].as_py()
-    if bucket < 0:
-        return t.select(["block", "data"]).append_column("meta", pa.array([True] * t.num_rows))
-    arrays = [np.frombuffer(x, _TOKEN) for x in t["data"].to_pylist()]
-    owner = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
-    own = np.concatenate(arrays)
-    token = own["low"].astype(np.uint64) | own["high"].astype(np.uint64) << np.uint64(32) | np.uint64(bucket) << np.uint64(40)
+    """One bucket: per block, the shingles that more than one set holds, with how many do (65,535 at most)."""
+    if t["bucket"][0].as_py() < 0:
+        return t.select(["block", "kind", "data"])
+    parts = [unpacked(x, 2) for x in t["data"].to_pylist()]
+    owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    token, row, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
     order = np.argsort(token, kind="stable")
     s = token[order]
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    size = np.diff(np.append(first, len(s)))
-    df = np.repeat(size, size)
-    keep = order[df > 1]
-    back = np.zeros(len(keep), _BACK)
-    back["token"], back["df"], back["row"] = s[df > 1], np.minimum(df[df > 1], 2**32 - 1), own["row"][keep]
-    at = np.argsort(owner[keep], kind="stable")
-    back, owner = back[at], owner[keep][at]
-    blocks = t["block"].to_numpy()
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    starts = np.concatenate(([0], cuts)).astype(int) if len(owner) else []
-    ends = np.concatenate((cuts, [len(owner)])).astype(int)
-    return pa.table({"block": pa.array([int(blocks[owner[i]]) for i in starts], pa.int64()), "data": pa.array([back[i:j].tobytes() for i, j in zip(starts, ends, strict=False)], pa.binary()), "meta": pa.array([False] * len(starts), pa.bool_())})
+    total = np.add.reduceat(count[order].astype(np.int64), first)
+    df = np.empty(len(s), np.int64)
+    df[order] = np.repeat(total, np.diff(np.append(first, len(s))))
+    keep = np.flatnonzero(df > 1)
+    blocks, out = t["block"].to_numpy(), ([], [])
+    for i, j in _runs(owner[keep]):
+        own = keep[i:j]
+        out[0].append(int(blocks[owner[own[0]]]))
+        out[1].append(packed(token[own], row[own], np.minimum(df[own], 0xFFFF)))
+    return pa.table({"block": pa.array(out[0], pa.int64()), "kind": pa.array([0] * len(out[0]), pa.int8()), "data": pa.array(out[1], pa.binary())})
 
 
 def least_overlap(n, num: int, den: int):
@@ -117,20 +165,26 @@ def least_overlap(n, num: int, den: int):
 
 
 def _assembled(num: int, den: int):
-    """One block: a row for every document, with its shared shingles in the global order if it can link."""
+    """One block: a row for every document, with its shared shingles in the global order if its set can link with another."""
 
     def run(t: pa.Table) -> pa.Table:
-        meta = np.concatenate([np.frombuffer(d, _META) for d, m in zip(t["data"].to_pylist(), t["meta"].to_pylist(), strict=True) if m])
-        back = [np.frombuffer(d, _BACK) for d, m in zip(t["data"].to_pylist(), t["meta"].to_pylist(), strict=True) if not m]
-        back = np.concatenate(back) if back else np.zeros(0, _BACK)
-        back = back[np.lexsort((back["token"], back["df"], back["row"]))]
-        ends = np.searchsorted(back["row"], np.arange(len(meta) + 1))
-        tokens, dfs = [], []
-        for i, n in enumerate(meta["n"].tolist()):
-            own = back[ends[i] : ends[i + 1]]
-            links = n > 0 and len(own) >= least_overlap(n, num, den)
-            tokens.append(own["token"].tobytes() if links else None)
-            dfs.append(own["df"].tobytes() if links else None)
+        of = {kind: [d for d, k in zip(t["data"].to_pylist(), t["kind"].to_pylist(), strict=True) if k == kind] for kind in (0, 1, 2)}
+        meta = np.frombuffer(of[1][0], _META)
+        back = [unpacked(d, 2) for d in of[0]]
+        token, row, df = (np.concatenate([b[i] for b in back]) if back else np.zeros(0, _U if i == 0 else np.uint16) for i in range(3))
+        # Shingles of several sets of the block came back once: to each of these.
+        inside, rows = unpacked(of[2][0], 1)
+        whole = row == _ALL
+        order = np.argsort(token[whole], kind="stable")
+        common, common_df = token[whole][order], df[whole][order]
+        own_df = common_df[np.searchsorted(common, inside)] if len(inside) else np.zeros(0, np.uint16)
+        token, row, df = np.concatenate((token[~whole], inside)), np.concatenate((row[~whole], rows)), np.concatenate((df[~whole], own_df))
+        order = np.lexsort((token, df, row))
+        token, row, df = token[order], row[order], df[order]
+        ends = np.searchsorted(row, np.arange(len(meta) + 1))
+        able = (meta["n"] > 0) & (np.diff(ends) >= least_overlap(meta["n"].astype(np.int64), num, den))
+        tokens = [token[ends[i] : ends[i + 1]].tobytes() if able[i] else None for i in range(len(meta))]
+        dfs = [df[ends[i] : ends[i + 1]].tobytes() if able[i] else None for i in range(len(meta))]
         block = t["block"][0].as_py()
         return pa.table({"uid": pa.array((block << 16) + np.arange(len(meta)), pa.int64()), "id": pa.array(meta["id"], pa.int64(), mask=meta["null"]), "n": pa.array(meta["n"], pa.int64()), "digest": pa.array(meta["digest"], pa.int64()), "tokens": pa.array(tokens, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
 
@@ -158,35 +212,50 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 def _may_link(x: str, y: str, num: int, den: int):
     """Sizes and bitmaps allow a link: the symmetric difference is at most (n + n') (den - num) / (den + num)."""
     differ = sum((F.bit_count(F.col(f"bits{i}_{x}").bitwiseXOR(F.col(f"bits{i}_{y}"))) for i in range(BITMAP)), F.col(f"alone_{x}") + F.col(f"alone_{y}"))
-    return _near_size(f"n_{x}", f"n_{y}", num, den) & (differ * (den + num) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num))
+    near_size = (F.col(f"n_{x}") * den >= F.col(f"n_{y}") * num) & (F.col(f"n_{y}") * den >= F.col(f"n_{x}") * num)
+    return near_size & (differ * (den + num) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (den - num))
 
 
 def _postings(num: int, den: int):
-    """(token, uid, n, alone, bits, level, matches): level is the smallest l whose prefix holds the token,
-    alone the number of shingles that no other document has, bits the bitmap of the rest."""
+    """(token, uid, component, n, alone, bits, level, matches): level is the smallest l whose prefix holds the token,
+    alone the number of shingles that no other set has, bits the bitmap of the rest."""
 
     def run(batches):
         for b in batches:
-            out = tuple([] for _ in range(6 + BITMAP))
-            for uid, n, tokens, dfs in zip(*(b.column(c).to_pylist() for c in ("uid", "n", "tokens", "dfs")), strict=True):
-                token, df = np.frombuffer(tokens, "<u8"), np.frombuffer(dfs, "<u4").astype(np.int64)
+            out = tuple([] for _ in range(7 + BITMAP))
+            for uid, component, n, tokens, dfs in zip(*(b.column(c).to_pylist() for c in ("uid", "component", "n", "tokens", "dfs")), strict=True):
+                token, df = np.frombuffer(tokens, "<u8"), np.frombuffer(dfs, "<u2").astype(np.int64)
                 spare = len(token) - least_overlap(n, num, den)  # shared shingles of the 0-prefix
                 k = min(len(token), spare + MATCHES)
                 out[0].append(token[:k].astype(np.int64))
-                out[1].append(np.full(k, uid, np.int64))
-                out[2].append(np.full(k, n, np.int64))
-                out[3].append(np.maximum(1, np.arange(k) - spare + 1).astype(np.int32))
-                out[4].append(np.full(k, best_matches(df, spare), np.int32))
-                out[5].append(np.full(k, n - len(token), np.int64))
+                level = np.maximum(1, np.arange(k) - spare + 1).astype(np.int32)
+                for i, value in enumerate((uid, component, n, len(token), best_matches(df, spare)), 1):
+                    out[i].append(np.full(k, n - value if i == 4 else value, np.int64))
+                out[6].append(level)
                 for i, word in enumerate(bitmap(token)):
-                    out[6 + i].append(np.full(k, word, np.int64))
+                    out[7 + i].append(np.full(k, word, np.int64))
             if out[0]:
-                names = ("token", "uid", "n", "level", "matches", "alone", *(f"bits{i}" for i in range(BITMAP)))
+                names = ("token", "uid", "component", "n", "alone", "matches", "level", *(f"bits{i}" for i in range(BITMAP)))
                 yield batch({c: pa.array(np.concatenate(x)) for c, x in zip(names, out, strict=True)})
 
     return run
 
 
+_SALTS = mix(np.arange(1, MERGE + 1, dtype=_U) << _U(40))
+
+
+def _met(batches):
+    """Sets -> (uid, key): the least shingle under each of MERGE hashes."""
+    for b in batches:
+        uid, key = [], []
+        for own, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            token = np.frombuffer(tokens, "<u8")
+            uid.append(np.full(MERGE, own, np.int64))
+            key.append(np.array([mix(mix(token ^ s).min() + s) for s in _SALTS], _U).astype(np.int64))
+        if uid:
+            yield batch({"uid": pa.array(np.concatenate(uid)), "key": pa.array(np.concatenate(key))})
+
+
 def _linked(num: int, den: int):
     def run(batches):
         for b in batches:
@@ -207,8 +276,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return map_arrow(pairs.join(b, "b").join(a, "a"), _linked(num, den), "u long, v long")
 
 
-def _near_size(x: str, y: str, num: int, den: int):
-    return (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
+def _merged(sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """(uid, component) of sets that link with the first of a large group they meet in; None without such groups."""
+    met = map_arrow(sets.select("uid", "tokens"), _met, "uid long, key long")
+    heavy = stored(met.groupBy("key").agg(F.min("uid").alias("b"), F.count("*").alias("size")).where(F.col("size") > HEAVY).select("key", "b"), "heavy")
+    if not heavy.limit(1).count():
+        dropped(heavy)
+        return None
+    pairs = met.join(heavy, "key").select(F.col("uid").alias("a"), "b").where("a <> b").distinct()
+    near = stored(components(_verified(pairs, sets, num, den)).select(F.col("node").alias("uid"), "component"), "near")
+    dropped(heavy)
+    return near
+
+
+def linked_sets(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """(edges (u, v) found by adaptive prefixes, edges of large groups merged before or None) of sets (uid, n, tokens, dfs)."""
+    near = _merged(sets, num, den)
+    placed = sets.withColumn("component", F.col("uid")) if near is None else sets.join(near, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    kinds = "token long, uid long, component long, n long, alone long, matches long, level int, " + ", ".join(f"bits{i} long" for i in range(BITMAP))
+    postings = map_arrow(placed.select("uid", "component", "n", "tokens", "dfs"), _postings(num, den), kinds)
+    mixed = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    open_ = stored(postings.join(mixed, "token"), "open")
+
+    def sided(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token"))
+
+    later = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("uid_x") > F.col("uid_y")))
+    shared = sided(open_.where("level <= matches"), "x").join(sided(open_, "y"), "token")
+    shared = shared.where(later & (F.col("component_x") != F.col("component_y")) & (F.col("level_y") <= F.col("matches_x")) & _may_link("x", "y", num, den))
+    pairs = shared.groupBy(F.col("uid_x").alias("a"), F.col("uid_y").alias("b"), "matches_x").agg(F.count("*").alias("c")).where("c >= matches_x").select("a", "b")
+    found = stored(_verified(pairs, sets, num, den), "links")
+    dropped(open_)
+    return found, None if near is None else near.where("uid <> component").select(F.col("uid").alias("u"), F.col("component").alias("v"))
 
 
 def similar_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,59 +316,34 @@ def similar_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Sets link when den * |A & B| >= num * |A | B|. A text without words (null, empty, only white space)
     has no shingles and links with nothing. component_id is the smallest id of the component, null if
     it holds null ids only; rows that share an id stay rows of their own. is_first marks the row with
-    that id (the first read of several).
+    that id (the first read of several). An empty table gives no rows; other columns are not read.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(22, max(0, (int(chars / 6) // BUCKET_SHINGLES).bit_length()))
-    parts = map_arrow(rows, _parts(k, bits), "bucket long, block long, data binary")
-    back = parts.groupBy("bucket").applyInArrow(_counted, "block long, data binary, meta boolean")
+    bits = min(30, max(0, (int(chars / 6) // BUCKET_SHINGLES).bit_length()))
+    parts = map_arrow(rows, _parts(k, bits), "bucket long, block long, kind byte, data binary")
+    back = parts.groupBy("bucket").applyInArrow(_counted, "block long, kind byte, data binary")
     docs = stored(back.groupBy("block").applyInArrow(_assembled(num, den), "uid long, id long, n long, digest long, tokens binary, dfs binary"), "sets")
 
-    able = docs.where(F.col("tokens").isNotNull())
-    classes = stored(able.select("uid", "n", "digest").groupBy("digest", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "classes")
-    sets = stored(able.select("uid", "n", "tokens", "dfs").join(classes.select(F.col("rep").alias("uid")), "uid"), "reps")
-    kinds = "token long, uid long, n long, level int, matches int, alone long, " + ", ".join(f"bits{i} long" for i in range(BITMAP))
-    postings = stored(map_arrow(sets, _postings(num, den), kinds), "postings")
-    own = [c for c in postings.columns if c != "token"]
-
-    def sided(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token"))
-
-    near = spark.createDataFrame([], "node long, component long")
-    for turn in range(STARS):
-        grouped = postings.join(near.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        mixed = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        open_ = stored(grouped.join(mixed, "token"), "open").select("token", "component", *own)
-        first = open_.where("level = 1")
-        order = F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), "uid")
-        star = first.groupBy("token").agg(F.min(order).alias("m")).select("token", F.col("m.uid").alias("uid"))
-        centre = sided(first.join(star, ["token", "uid"]), "a")
-        pairs = centre.join(sided(first, "b"), "token").where((F.col("component_a") != F.col("component_b")) & _may_link("a", "b", num, den)).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")).distinct()
-        links = _verified(pairs, sets, num, den)
-        near = stored(components(near.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(links)), "near")
-
-    grouped = postings.join(near.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    mixed = grouped.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = stored(grouped.join(mixed, "token"), "open")
-    later = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("uid_x") > F.col("uid_y")))
-    shared = sided(open_.where("level <= matches"), "x").join(sided(open_, "y"), "token")
-    shared = shared.where(later & (F.col("component_x") != F.col("component_y")) & (F.col("level_y") <= F.col("matches_x")) & _may_link("x", "y", num, den))
-    pairs = shared.groupBy(F.col("uid_x").alias("a"), F.col("uid_y").alias("b"), "matches_x").agg(F.count("*").alias("c")).where("c >= matches_x").select("a", "b")
-    more = _verified(pairs, sets, num, den)
-    final = stored(components(near.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "final")
+    # Nodes order by id, null ids last, so a component's least node has its smallest id.
+    small = docs.select(F.struct(F.col("id").isNull().alias("none"), "id", "uid").alias("node"), "n", "digest")
+    able = F.min(F.when(F.col("tokens").isNotNull(), F.col("uid"))).alias("able")
+    classes = stored(docs.where("n > 0").groupBy("digest", "n").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("node"), able), "classes")
+    sets = stored(docs.where(F.col("tokens").isNotNull()).select("uid", "n", "tokens", "dfs").join(classes.select(F.col("able").alias("uid")), "uid", "left_semi"), "reps")
+    found, merged = linked_sets(sets, num, den)
+    dropped(sets)
+    edges = found if merged is None else found.unionAll(merged)
+    nodes = classes.where("able is not null").select("able", "node")
+    edges = edges.join(nodes.select(F.col("able").alias("u"), F.col("node").alias("x")), "u").join(nodes.select(F.col("able").alias("v"), F.col("node").alias("y")), "v")
+    final = components(edges.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    least = stored(classes.join(final, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component")), "components")
 
-    small = docs.select("uid", "id", F.col("n").alias("n_shingles"), "digest", F.col("tokens").isNotNull().alias("able"))
-    named = small.where("able").join(classes.select("digest", F.col("n").alias("n_shingles"), "rep"), ["digest", "n_shingles"])
-    named = named.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = stored(named.select("uid", "id", "n_shingles", "component"), "named")
-    least = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("least"))
-    linked = named.join(least, "component").select("id", "n_shingles", F.col("least.id").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("is_first"))
-    alone = small.where("not able").select("id", "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("is_first"))
-    return linked.unionAll(alone).withColumnRenamed("id", id_col)
+    linked = small.where("n > 0").join(least, ["digest", "n"]).select("node", "n", "component")
+    alone = small.where("n = 0").select("node", "n", F.col("node").alias("component"))
+    return linked.unionAll(alone).select(F.col("node.id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component.id").alias("component_id"), (F.col("component.uid") == F.col("node.uid")).alias("is_first"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, as similar_components() says."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return similar_components(docs, k=3, num=90, den=100).drop("is_first")

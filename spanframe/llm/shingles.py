@@ -39,14 +39,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 data begin and end."""
+    space = _IS_SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """Hashes of the words of UTF-8 data in order."""
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, _U)
-    space = _IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    first, last = edge[::2], edge[1::2]
+    first, last = word_edges(data)
     power, inverse = _grow(len(raw))
     total = np.zeros(len(raw) + 1, _U)
     np.cumsum(_VALUE[raw] * power[: len(raw)], out=total[1:])

@@ -357,30 +357,69 @@ def test_language_features_depend_on_the_word_alone():
 
 def test_lm_gradient_and_distribution():
     rng = np.random.default_rng(0)
-    ids = [rng.integers(0, 300, n).astype("<u2") for n in (5, 80, 200)]
-    model = lm.initial(ids, 400, 399)
-    p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    model = lm.Model(p, model.leaf_of, model.rare, model.end)
-    x = model.leaf_of[np.concatenate(ids)[: 4 * lm.WINDOW]].reshape(4, lm.WINDOW)
-    y, mark = np.roll(x, -1, 1), rng.random(x.shape) < 0.8
-    _, g = lm.gradient(model, x, y, mark)
-    for k, v in p.items():
+    some = rng.integers(0, 300, (30, lm.WINDOW + lm.STRIDE)).astype("<u2")
+    some[:9, : lm.WINDOW - lm.STRIDE] = lm._PAD
+    some[7, -3:] = lm._PAD
+    count = rng.integers(0, 50, 400)
+    model = lm.initial(some, count, 399)
+    model = model.with_weights({k: v.astype(np.float64) for k, v in model.p.items()})
+    inputs, targets = some[:, : lm.WINDOW], some[:, lm.WINDOW :]
+    x, y = np.where(inputs == lm._PAD, lm.LEAVES, model.leaf_of[np.minimum(inputs, 399)]), model.class_of[np.minimum(targets, 399)]
+    _, g = lm.gradient(model, x, y, targets != lm._PAD)
+    for k, v in model.p.items():
         i = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
         kept, h = v[i], 1e-4
         v[i] = kept + h
-        up = lm.gradient(model, x, y, mark)[0]
+        up = lm.gradient(model, x, y, targets != lm._PAD)[0]
         v[i] = kept - h
-        down = lm.gradient(model, x, y, mark)[0]
+        down = lm.gradient(model, x, y, targets != lm._PAD)[0]
         v[i] = kept
         assert g[k][i] == pytest.approx((up - down) / 2 / h, rel=1e-3, abs=1e-6)
-    z = np.repeat(model.hidden(x)[0, :1], lm.LEAVES, axis=0)
-    assert np.exp(model.log_probs(z, np.arange(lm.LEAVES))).sum() == pytest.approx(1.0)
+    follow = rng.integers(0, 3, (lm.GROUPS + 1, lm.LEAVES)) * (rng.random(lm.LEAVES) < 0.1)
+    model.follow(follow)
+    # After any text the chances of all next subwords sum to one.
+    for text in ([], [3], rng.integers(0, 399, 40).tolist()):
+        ends = [np.array([*text, w]) for w in range(400)]
+        logs = model.log_tokens(np.concatenate(ends), np.array([len(e) for e in ends]))
+        assert (10.0 ** logs[np.cumsum([len(e) for e in ends]) - 1]).sum() == pytest.approx(1.0, rel=1e-4)
+
+
+def test_lm_scores_as_token_by_token():
+    rng = np.random.default_rng(2)
+    some = rng.integers(0, 300, (200, lm.WINDOW + lm.STRIDE)).astype("<u2")
+    model = lm.train(lm.initial(some, np.bincount(some.ravel(), minlength=400), 399), some, 20)
+    model.follow(rng.integers(0, 3, (lm.GROUPS + 1, lm.LEAVES)))
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    texts = [np.append(rng.integers(0, 399, n), 399) for n in (0, 1, lm.STRIDE - 1, lm.STRIDE, 77)]
+    got = model.log_tokens(np.concatenate(texts), np.array([len(t) for t in texts]))
+    want = []
+    for t in texts:
+        source = [399, *t[:-1].tolist()]
+        for i, w in enumerate(t.tolist()):
+            first = max(0, i // lm.STRIDE * lm.STRIDE + lm.STRIDE - lm.WINDOW)
+            e = p["E"][[model.leaf_of[s] for s in source[first : i + 1]]]
+            q = e[-1] @ p["Q"]
+            s = np.exp([q @ (k @ p["K"]) + p["B"][len(e) - 1 - j] for j, k in enumerate(e)])
+            h = e[-1] + (s / s.sum()) @ e @ p["V"] @ p["O"]
+            z = h + np.maximum(h @ p["M"] + p["m"], 0) @ p["N"]
+            o = z @ p["C"] + p["c"]
+            own = o[model.class_of[w]] - np.log(np.exp(o).sum())
+            want.append(own / np.log(10) + model.after.reshape(-1, lm.LEAVES)[model.group_of[source[i]], model.leaf_of[w]] + model.share[w])
+    assert np.allclose(got, want, atol=2e-4)
 
 
 def test_lm_windows_score_each_token_once():
-    lengths = np.array([1, lm.WINDOW, lm.WINDOW + 1, 200])
-    index, scored, real = lm.windows(lengths)
-    assert sorted(index[scored].tolist()) == list(range(lengths.sum())) and not (scored & ~real).any()
+    lengths = np.array([1, lm.STRIDE, lm.STRIDE + 1, 200])
+    place, scored = lm.windows(lengths)
+    assert sorted(scored[scored >= 0].tolist()) == list(range(lengths.sum()))
+    text = np.repeat(np.arange(4), lengths)
+    for row in place:
+        assert len(set(text[row[row >= 0]])) == 1 and (np.diff(row[row >= 0]) == 1).all()
+
+
+def lm_words(text):
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    return [*(text or "").encode().translate(low).split(), None]
 
 
 def test_lm_base_counts(spark, monkeypatch):
@@ -388,37 +427,81 @@ def test_lm_base_counts(spark, monkeypatch):
     import math
 
     monkeypatch.setattr(lm, "STEPS", 5)
-    texts = ["The cat\tsat", "the dog", None, "", "THE end the", "rare é É", "the cat"]
-    rows = lm.score_texts(documents(spark, texts), "byte_bpe_50k.tiktoken", F.col("doc_id") != 6).collect()
-    low = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-    words = [[*(t or "").encode().translate(low).split(), None] for t in texts]
-    c = collections.Counter(w for own in words[:6] for w in own)
-    n, v = sum(c.values()), len(c)
-    assert len(rows) == len(texts)
+    texts = ["The cat\tsat", "the dog", None, "", "THE end the", "rare é É", "the cat", LONG]
+    rows = lm.score_texts(documents(spark, [*texts, "the cat"], [*range(8), 0]), "byte_bpe_50k.tiktoken", F.col("doc_id") != 6).collect()
+    words = [lm_words(t) for t in texts]
+    c = collections.Counter(w for i in (0, 0, 1, 2, 3, 4, 5, 7) for w in words[i])
+    c.update(words[6])
+    c.subtract(words[0])
+    n, v = sum(c.values()), sum(x > 0 for x in c.values())
+    assert len(rows) == 9
     for r in rows:
-        own = words[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (r["doc_id"] == 6, len(own), sum(c[w] > 0 for w in own), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
+        own = words[r["doc_id"]] if r["doc_id"] or r["n_tokens"] == 4 else words[6]
+        assert (r["held_out"], r["train_tokens"]) == (r["doc_id"] == 6, n)
+        if r["doc_id"]:
+            assert (r["n_tokens"], r["n_known"]) == (len(own), sum(c[w] > 0 for w in own))
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
         assert r["score"] < 0
+    assert lm.score_texts(documents(spark, []), "byte_bpe_50k.tiktoken", F.col("doc_id") != 6).count() == 0
+    none = lm.score_texts(documents(spark, texts[:3]), "byte_bpe_50k.tiktoken", F.lit(False)).collect()
+    assert {(r["held_out"], r["n_known"], r["train_tokens"]) for r in none} == {(True, 0, 0)} and all(np.isfinite(r["score"]) for r in none)
 
 
-def test_lm_learns_from_all_training_documents(spark, monkeypatch):
+def test_lm_whole_words_and_memory_leave_a_document_out(monkeypatch):
+    """Scores against a plain count over the other documents, word by word; buckets and blocks without Spark."""
+    import math
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "MEMORY", 1)
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 30))) for _ in range(25)]
+    texts += [texts[3], None]
+    ids = list(range(len(texts)))
+    model = SimpleNamespace(log_tokens=lambda ids, lengths: np.full(len(ids), -1.0), words=sum(len(lm_words(t)) for i, t in enumerate(texts) if i % 5 != 2))
+    batches = [pa.RecordBatch.from_pydict({"id": ids[k::3], "text": pa.array(texts[k::3], pa.string()), "train": [i % 5 != 2 for i in ids[k::3]]}) for k in range(3)]
+    asked = pa.Table.from_batches(list(lm._parts(2)(iter(batches))))
+
+    def grouped(t, key, fn):
+        return pa.concat_tables([fn(t.filter(pa.array([x == k for x in t[key].to_pylist()]))) for k in sorted(set(t[key].to_pylist()))])
+
+    answers = grouped(asked, "bucket", lm._counted)
+    out = grouped(answers, "block", lm._scored(public_tokenizers.path("byte_bpe_50k.tiktoken"), SimpleNamespace(value=model))).to_pydict()
+    assert sorted(out["id"]) == ids
+    got = dict(zip(out["id"], out["score"], strict=True))
+    words = [lm_words(t) for t in texts]
+    for i, own in enumerate(words):
+        others = [w for j, w in enumerate(words) if j % 5 != 2 and j != i]
+        count, n = Counter(w for o in others for w in o), sum(map(len, others))
+        after = {}
+        for o in others:
+            for k in range(lm.CONTEXT, len(o)):
+                after.setdefault(tuple(o[k - lm.CONTEXT : k]), Counter())[o[k]] += 1
+        want = 0.0
+        for k, w in enumerate(own):
+            # Every word here is one subword.
+            p = (1 - lm.MIXED) * 0.1 + lm.MIXED * count[w] / n
+            seen = after.get(tuple(own[k - lm.CONTEXT : k])) if k >= lm.CONTEXT else None
+            if seen:
+                p = (max(seen[w] - lm.DISCOUNT, 0) + lm.DISCOUNT * len(seen) * p) / sum(seen.values())
+            want += math.log10(p)
+        assert got[i] == pytest.approx(want, abs=1e-9), i
+
+
+def test_lm_rounds_learn_from_all_shards(spark, monkeypatch):
     rnd = random.Random(4)
-    common, other = (["".join(rnd.choice(letters) for _ in range(5)) for _ in range(40)] for letters in ("aeinrst", "ouklmpg"))
-    texts = [" ".join(rnd.choice(words) for _ in range(150)) for words in [common] * 30 + [other] * 31]
-    # The sample holds none of the other words.
-    monkeypatch.setattr(lm, "seed_documents", lambda *_: texts[:10])
-    monkeypatch.setattr(lm, "STEPS", 40)
-
-    def held_out(last):
-        rows = lm.score_texts(documents(spark, texts), "byte_bpe_50k.tiktoken", F.col("doc_id") < last).collect()
-        return next(r["score"] for r in rows if r["doc_id"] == 60)
-
-    # Only leaves and frequencies, then also the rounds.
-    without = held_out(30)
-    rounds = lm.rounds
+    vocabulary = ["".join(rnd.choice("aeinrst") for _ in range(5)) for _ in range(40)]
+    texts = [" ".join(vocabulary[(i + k) % 40] for k in range(150)) for i in range(60)]
+    monkeypatch.setattr(lm, "STEPS", 10)
+    monkeypatch.setattr(lm, "EVERY", 2)
+    monkeypatch.setattr(lm, "SHARD_CHARS", 8_000)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = documents(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    words = lm.Words([texts[0].encode()])
+    ids, size = lm.Subwords(path)(words)
+    score = lambda: lm.fit(docs, path).log_tokens(ids, np.array([len(ids)])).sum()
+    after = score()
     monkeypatch.setattr(lm, "rounds", lambda model, *_: model)
-    counted = held_out(60)
-    monkeypatch.setattr(lm, "SHARD_CHARS", 2_000)
-    monkeypatch.setattr(lm, "rounds", rounds)
-    assert without < counted - 100 and counted < held_out(60) - 10
+    assert score() < after - 1

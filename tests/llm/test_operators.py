@@ -92,15 +92,55 @@ def page(n, body, extra=""):
 def test_html_text(spark):
     article = "<article><h1>T&amp;{0}</h1><p>one  <b>two</b><br>three{0}<p>four{0}</p><ul><li>item{0}</ul></article>"
     rows = [(i, "http://a.org/x", page(i, article.format(i))) for i in range(8)]
-    plain = "<div class='body'><p>Same words on every page</p><p>Own words {0}</p></div>"
+    plain = "<div class='body'><p>Same words on every page</p><p>Own words {0} of this page, which say something of their own</p></div>"
     rows += [(100 + i, "http://b.org/x", page(i, plain.format(i))) for i in range(8)]
-    rows += [(200, None, None), (201, "x", ""), (202, "http://c.org", "<p>a<p>b &lt;c&gt;"), (203, "http://c.org", "<div" * 3 + "<div>" * 5_000 + "deep")]
-    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for i in range(8):
+    rows += [(200, None, None), (201, "x", ""), (202, "http://c.org", "<p>a<p>b &lt;c&gt;"), (203, "http://d.org", "<div" * 3 + "<div>" * 5_000 + "deep"), (8, "http://a.org/x", page(8, article.format(8))), (8, "http://a.org/x", page(8, article.format(8)))]
+    rows += [(300 + i, "http://long.org", page(i, f"<article><p>{LONG} {i}</p></article>")) for i in range(2)]
+    # Small hosts of one shape know each other's template.
+    small = "<body><div><p>One notice of the shop system</p></div><section><p>Text of page {0} is here</p><p>and goes on with {0}</p></section></body>"
+    rows += [(400 + i, f"http://small{i}.org", small.format(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("slots", F.lit(1))
+    got = {r["page_id"]: r for r in html_extract.extract(df).collect()}
+    assert html_extract.extract(df).where("page_id = 8").count() == 2 and html_extract.extract(df.limit(0)).count() == 0
+    for i in range(9):
         assert got[i]["text"] == f"T&{i}\n\none two three{i}\n\nfour{i}\n\nitem{i}"
-        assert got[100 + i]["text"] == f"Own words {i}"
+    for i in range(8):
+        assert got[100 + i]["text"] == f"Own words {i} of this page, which say something of their own"
     assert (got[200]["text"], got[200]["n_chars"], got[201]["text"]) == ("", 0, "")
     assert got[202]["text"] == "a\n\nb <c>" and got[203]["text"].endswith("deep")
+    for i in range(2):
+        assert got[300 + i]["text"] == f"{LONG} {i}"
+    for i in range(4):
+        assert got[400 + i]["text"] == f"Text of page {i} is here\n\nand goes on with {i}"
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_html_slots_decide_without_names(spark, named):
+    """Menus, adverts and footers vary from page to page; without element names the slots still tell them apart."""
+    rnd = random.Random(7)
+    words = lambda n: " ".join("".join(rnd.choice("aeiourstln") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        paragraphs = [words(4), *(words(rnd.randint(20, 60)) for _ in range(rnd.randint(2, 5)))]
+        menu = "".join(f"<li><a href='/{k}'>{words(1)}</a></li>" for k in range(rnd.randint(3, 6)))
+        body = f"<h1>{paragraphs[0]}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs[1:])
+        parts = ("nav", "article", "footer") if named else ("div", "div", "div")
+        html = f"<body class='has-sidebar'><{parts[0]}><ul>{menu}</ul></{parts[0]}><div>{words(3)}</div><{parts[1]}>{body}</{parts[1]}><{parts[2]}>{words(5)}</{parts[2]}></body>"
+        rows.append((i, f"http://x.org/{i}", html))
+        want[i] = "\n\n".join(paragraphs)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_odd_pages_take_linear_time():
+    import json
+    import time
+
+    began = time.time()
+    assert html_extract.Wrapper(None).text("<p>text</p>" + "<a " * 20_000).startswith("text")
+    html = "<body>" + "<h2>a</h2><p>b</p>" * 3_000 + "</body>"
+    html_extract.Wrapper(json.dumps(html_extract.skeleton([html_extract.parse(html)]))).text(html)
+    assert time.time() - began < 20
 
 
 def word_sets(text, k):

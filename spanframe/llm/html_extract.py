@@ -40,6 +40,8 @@ LINK_SHARE, MAIN_SHARE, MOST = 0.6, 0.75, 0.5
 RUNS = 48
 #: Deeper elements are not nested further.
 DEPTH = 150
+#: In place of a slot: the whole page.
+_PAGE = -2
 #: Templates of all hosts are broadcast up to this size, joined by host beyond it.
 BROADCAST_BYTES = 8 << 20
 
@@ -398,27 +400,12 @@ def _small(df: DataFrame, bytes_: int) -> DataFrame:
     return F.broadcast(df) if size <= bytes_ else df
 
 
-def _shape(page: str) -> str:
-    """A name of the kinds of elements near a page's root."""
-
-    def flat(node, depth):
-        return f"{node.tag}({','.join(sorted({flat(c, depth - 1) for c in node.elements() if not c.dropped}))})" if depth else node.tag
-
-    return f"#{digest(flat(parse(page), 4)):016x}"
-
-
 def grouped(pages: DataFrame) -> DataFrame:
-    """pages with `host` replaced by the shape of the page where the host has fewer than OWN_PAGES pages."""
+    """pages with `host` replaced by the page's shape, the elements it is made of, where the host has fewer than OWN_PAGES pages."""
     few = stored(pages.groupBy("host").count().where(F.col("count") < OWN_PAGES).select("host", F.lit(True).alias("few")), "few")
     marked = pages.join(_small(few, BROADCAST_BYTES), "host", "left")
-    kind = pages.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            host = [_shape(page) if f else h for h, page, f in zip(*(b.column(c).to_pylist() for c in ("host", "html", "few")), strict=True)]
-            yield batch({"id": b.column("id"), "url": b.column("url"), "html": b.column("html"), "host": pa.array(host, pa.string())})
-
-    return map_arrow(marked, run, f"id {kind}, url string, html string, host string")
+    names = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1)), F.lower)))
+    return marked.withColumn("host", F.when(F.col("few"), F.concat(F.lit("#"), F.array_join(names, " "))).otherwise(F.col("host"))).drop("few")
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -441,22 +428,22 @@ def induce(pages: DataFrame) -> DataFrame:
             out = ([], [], [], [], [], [])
             for h, page, pivot in zip(*(b.column(c).to_pylist() for c in ("host", "html", "pivot")), strict=True):
                 found = blocks(_wrapper(h, pivot, None, None).aligned(page))
+                own = {(x.node.slot, digest(x.text)): (len(x.text), x.links) for x in found} | {(_PAGE, 0): (0, 0)}
                 whole = digest("\n".join(x.text for x in found))
-                own = {key_of(x): (x.node.slot, len(x.text), x.links) for x in found} | {"": (-2, 0, 0)}
-                for key, (slot, chars, links) in own.items():
-                    for column, value in zip(out, (h, key, whole, slot, chars, links), strict=True):
+                for (slot, text), (chars, links) in own.items():
+                    for column, value in zip(out, (h, slot, text, whole, chars, links), strict=True):
                         column.append(value)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield batch({n: pa.array(x, k) for n, x, k in zip(("host", "key", "content", "slot", "chars", "links"), out, kinds, strict=True)})
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield batch({n: pa.array(x, k) for n, x, k in zip(("host", "slot", "block", "content", "chars", "links"), out, kinds, strict=True)})
 
-    seen = map_arrow(both, counted, "host string, key string, content long, slot int, chars long, links long")
-    once = seen.groupBy("host", "key", "content").agg(*(F.first(c).alias(c) for c in ("slot", "chars", "links")))
+    seen = map_arrow(both, counted, "host string, slot int, block long, content long, chars int, links int")
+    once = seen.groupBy("host", "slot", "block", "content").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
     # Blocks of one text have one length and, but for odd pages, one part in links.
-    counts = stored(once.groupBy("host", "key").agg(F.count("*").alias("n"), F.first("slot").alias("slot"), F.first("chars").alias("chars"), F.max("links").alias("links")), "blocks")
-    total = counts.where(F.col("key") == "").select("host", F.col("n").alias("total"))
-    known = counts.where(F.col("key") != "").join(total, "host").withColumn("constant", (F.col("n") >= 2) & (F.col("n") >= TEMPLATE_SHARE * F.col("total")))
-    # At most blocks-per-page / TEMPLATE_SHARE keys pass for a host, and slots are those of one page.
-    template = known.where("constant").groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template"))
+    counts = stored(once.groupBy("host", "slot", "block").agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.max("links").alias("links")), "blocks")
+    total = counts.where(F.col("slot") == _PAGE).select("host", F.col("n").alias("total"))
+    known = counts.where(F.col("slot") != _PAGE).join(_small(total, BROADCAST_BYTES), "host").withColumn("constant", (F.col("n") >= 2) & (F.col("n") >= TEMPLATE_SHARE * F.col("total")))
+    # At most blocks-per-page / TEMPLATE_SHARE blocks pass for a host, and slots are those of one page.
+    template = known.where("constant").groupBy("host").agg(F.sort_array(F.collect_list(F.concat_ws(":", "slot", "block"))).alias("template"))
     varying = F.when(F.col("constant"), 0).otherwise(F.col("n") * (F.col("chars") - F.col("links")))
     sums = known.where("slot >= 0").groupBy("host", "slot").agg(F.sum(varying).alias("varying"), F.sum(F.col("n") * F.col("links")).alias("links"), F.sum(F.col("n") * F.col("chars")).alias("chars"))
     per_host = sums.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "varying", "links", "chars"))).alias("slots"))

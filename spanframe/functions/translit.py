@@ -52,7 +52,7 @@ def cyrillic_to_latin(c: Column) -> Column:
 
 def cyrillic_pieces(c: Column) -> Column:
     """array of struct(source, piece) of Latin text: pairs first, then letters; a source of two letters is one piece."""
-    pairs, single = _table(K.LATIN_PAIRS), _table(dict(zip(K.LATIN_LETTERS, K.CYRILLIC_LETTERS, strict=True)))
+    pairs, single = _table(K.LATIN_PAIRS), _table(K.LATIN_TO_CYRILLIC)
     pattern = "(?is)" + "|".join(K.LATIN_PAIRS) + "|."
 
     def word(w):

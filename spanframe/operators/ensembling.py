@@ -1,69 +1,94 @@
-"""Models' outputs on a common word grid: tokens to words, emissions, bands; batches by length."""
+"""Models' outputs on a common word grid, as DataFrames: tokens to words, emissions, spans; batches by length.
+
+Tokens, words and cells are rows of a document id, a number within it and character bounds. They meet by the
+id and by overlap, so nothing is compared across documents, and means are grouped sums.
+"""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
 
-from spanframe.operators.decoding import EPS
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
-def group_words(tokens: list[tuple[int, int]], text: str) -> list[list[int]]:
-    """Token numbers of each word: neighbours that touch with letters or digits on both sides are one word; empty tokens go."""
-    words: list[list[int]] = []
-    end = None
-    for i, (a, b) in enumerate(tokens):
-        if a >= b:
-            continue
-        if end is not None and a == end and text[a - 1].isalnum() and text[a].isalnum():
-            words[-1].append(i)
-        else:
-            words.append([i])
-        end = b
-    return words
-
-
-def word_emissions(probs: np.ndarray, words: list[list[int]], first_known: list[bool] | None = None) -> np.ndarray:
-    """(W, C) from token probabilities (O, then B and I of each type): the mass of a type is the words' mean, split
-    between B and I as on the first token; no B where the first token began in an earlier word. A word without tokens is O."""
-    out = np.zeros((len(words), probs.shape[1]))
-    for row, own in enumerate(words):
-        if not own:
-            out[row, 0] = 1.0
-            continue
-        mean, first = probs[own].mean(axis=0), probs[own[0]]
-        b, i = first[1::2], first[2::2]
-        share = b / np.maximum(b + i, EPS)
-        if first_known is not None and not first_known[row]:
-            share = np.zeros_like(share)
-        mass = mean[1::2] + mean[2::2]
-        out[row, 0], out[row, 1::2], out[row, 2::2] = mean[0], mass * share, mass * (1 - share)
-    return out
+def grouped_words(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """tokens (doc_id, token, start, end) with `word`, its number in the document; empty tokens go.
 
+    A token joins the word before it where the two touch and a letter or digit stands on both sides.
+    """
+    order = Window.partitionBy("doc_id").orderBy("start", "token")
+    rows = tokens.where("start < end").join(docs.select("doc_id", "text"), "doc_id")
+    sides = F.substring(F.col("text"), F.col("start"), F.lit(2))
+    rows = rows.withColumn("inside", sides.rlike(r"^[\p{L}\p{N}]{2}$") & (F.col("start") > 0)).drop("text")
+    opens = ~(F.col("inside") & (F.lag("end").over(order) == F.col("start")))
+    word = F.sum(F.coalesce(opens, F.lit(True)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return rows.select("doc_id", "token", "start", "end", word.alias("word"))
 
-def on_words(tokens: list[tuple[int, int]], probs: np.ndarray, words: list[tuple[int, int]]) -> np.ndarray:
-    """Emissions on given words: a token counts for every word that it overlaps."""
-    covers = [[i for i, (a, b) in enumerate(tokens) if a < b and a < e and s < b] for s, e in words]
-    starts_here = [not own or tokens[own[0]][0] >= s for own, (s, _) in zip(covers, words, strict=True)]
-    return word_emissions(probs, covers, starts_here)
-
-
-def band_on_words(band: np.ndarray, own: list[tuple[int, int]], words: list[tuple[int, int]], width: int) -> np.ndarray:
-    """A model's (Wm, Km, C) band on given words: cells go to the first and last word they cover, others are none."""
-    out = np.zeros((len(words), width, band.shape[2]))
-    out[:, :, 0] = 1.0
-    met = [[j for j, (s, e) in enumerate(words) if a < e and s < b] for a, b in own]
-    for i in range(band.shape[0]):
-        for k in range(min(band.shape[1], band.shape[0] - i)):
-            if met[i] and met[i + k]:
-                first, last = met[i][0], met[i + k][-1]
-                if 0 <= last - first < width:
-                    out[first, last - first] = band[i, k]
-    return out
+
+def _share(begin: Column, inside: Column) -> Column:
+    return F.when(begin + inside > 0, begin / (begin + inside)).otherwise(0.0)
+
+
+def word_emissions(tokens: DataFrame, words: DataFrame, classes: int) -> DataFrame:
+    """(doc_id, word, probs): tag probabilities (O, then B and I of each type) of words from those of tokens.
+
+    tokens: doc_id, token, start, end, probs; words: doc_id, word, start, end, of any model's grid. A token counts
+    for every word that it overlaps. A type's mass is the mean over a word's tokens, dealt to B and I as on the
+    first of them; none goes to B where that token began before the word. Words that no token meets are O.
+    """
+    t = tokens.where("start < end").select("doc_id", "token", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "probs")
+    met = words.join(t, "doc_id").where((F.col("t_start") < F.col("end")) & (F.col("start") < F.col("t_end")))
+    means = F.array(*(F.avg(F.get("probs", F.lit(c))) for c in range(classes)))
+    first = F.min_by(F.struct("probs", (F.col("t_start") >= F.col("start")).alias("whole")), F.struct("t_start", "token"))
+    by_word = met.groupBy("doc_id", "word").agg(means.alias("mean"), first.alias("first"))
+
+    def dealt(c: int) -> Column:
+        begin, mass = c - (c + 1) % 2, F.get("mean", F.lit(c - (c + 1) % 2)) + F.get("mean", F.lit(c - (c + 1) % 2 + 1))
+        share = F.when(F.col("first.whole"), _share(F.get("first.probs", F.lit(begin)), F.get("first.probs", F.lit(begin + 1)))).otherwise(0.0)
+        return mass * (share if c % 2 else 1 - share)
+
+    probs = F.array(F.get("mean", F.lit(0)), *(dealt(c) for c in range(1, classes)))
+    outside = F.array(*(F.lit(float(c == 0)) for c in range(classes)))
+    return words.select("doc_id", "word").join(by_word, ["doc_id", "word"], "left").select("doc_id", "word", F.when(F.col("mean").isNull(), outside).otherwise(probs).alias("probs"))
+
+
+def cells_on_words(cells: DataFrame, own: DataFrame, words: DataFrame, width: int) -> DataFrame:
+    """A model's span cells on another grid: (doc_id, first, last, probs), where the span has at most `width` words.
+
+    cells: doc_id, first, last (words of its own grid), probs; own and words: doc_id, word, start, end. A cell goes
+    from the first word that its first meets to the last that its last meets; cells that meet none are left out,
+    and cells that share a place there keep the one with the least chance of being no span.
+    """
+    a = own.select("doc_id", F.col("word").alias("mine"), F.col("start").alias("a"), F.col("end").alias("b"))
+    met = a.join(words, "doc_id").where((F.col("a") < F.col("end")) & (F.col("start") < F.col("b")))
+    bounds = met.groupBy("doc_id", "mine").agg(F.min("word").alias("low"), F.max("word").alias("high"))
+    left = bounds.select("doc_id", F.col("mine").alias("first"), F.col("low").alias("to_first"))
+    right = bounds.select("doc_id", F.col("mine").alias("last"), F.col("high").alias("to_last"))
+    placed = cells.join(left, ["doc_id", "first"]).join(right, ["doc_id", "last"]).where((F.col("to_first") <= F.col("to_last")) & (F.col("to_last") - F.col("to_first") < width))
+    return placed.groupBy("doc_id", F.col("to_first").alias("first"), F.col("to_last").alias("last")).agg(F.min("probs").alias("probs"))
+
+
+def combined(parts: Sequence[tuple[DataFrame, float]], keys: Sequence[str], classes: int) -> DataFrame:
+    """keys and probs: the mean, by weight, of models' rows of the same keys; a row that a model lacks is none of the classes but the first there."""
+    total = sum(w for _, w in parts)
+    rows = None
+    for df, weight in parts:
+        own = df.select(*keys, "probs", F.lit(float(weight)).alias("weight"))
+        rows = own if rows is None else rows.unionAll(own)
+    sums = [F.sum(F.get("probs", F.lit(c)) * F.col("weight")) for c in range(classes)]
+    missing = F.lit(float(total)) - F.sum("weight")
+    return rows.groupBy(*keys).agg(F.array((sums[0] + missing) / total, *(s / total for s in sums[1:])).alias("probs"))
 
 
-def combined(parts: list[tuple[np.ndarray, float]]) -> np.ndarray:
-    """Weighted mean of arrays of one shape."""
-    return sum(a * w for a, w in parts) / sum(w for _, w in parts)
+def check_label_sets(models: dict[str, Sequence[str]]) -> tuple[str, ...]:
+    """The label set that all models have; raises with the differences where they have not one."""
+    sets = {name: frozenset(labels) for name, labels in models.items()}
+    every = frozenset().union(*sets.values())
+    lacking = {name: sorted(every - own) for name, own in sets.items() if own != every}
+    if lacking:
+        raise ValueError(f"models lack labels: {lacking}")
+    return tuple(sorted(every))
 
 
 def length_batches(lengths: list[int], rows: int, padded: int) -> list[list[int]]:

@@ -1,36 +1,51 @@
-"""Word grids, emissions and batches on hand-written rows."""
+"""Word grids, emissions, cells and batches on hand-written rows."""
 
-import numpy as np
+import pytest
 
 from spanframe.operators import ensembling as E
 
 
-def test_group_words():
-    assert E.group_words([(0, 0), (0, 3), (3, 5), (5, 6), (7, 9), (9, 9)], "Toshk, ab") == [[1, 2], [3], [4]]
+def test_grouped_words(spark):
+    tokens = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate([(0, 0), (0, 3), (3, 5), (5, 6), (7, 9), (9, 9)])], "doc_id long, token long, start long, end long")
+    got = E.grouped_words(tokens, spark.createDataFrame([(1, "Toshk, ab")], "doc_id long, text string")).collect()
+    assert {r["token"]: r["word"] for r in got} == {1: 0, 2: 0, 3: 1, 4: 2}
 
 
-def test_word_emissions_keep_mass():
-    p = np.array([[0.2, 0.6, 0.2], [0.4, 0.1, 0.5]])
-    got = E.word_emissions(p, [[0, 1], []])
-    assert np.allclose(got.sum(axis=1), 1) and got[1].tolist() == [1, 0, 0]
-    assert np.isclose(got[0, 1], 0.7 * 0.75)
-    assert E.word_emissions(p, [[0]], [False])[0, 1] == 0
+def emissions(spark, tokens, words):
+    t = spark.createDataFrame([(1, i, a, b, p) for i, (a, b, p) in enumerate(tokens)], "doc_id long, token long, start long, end long, probs array<double>")
+    w = spark.createDataFrame([(1, i, a, b) for i, (a, b) in enumerate(words)], "doc_id long, word long, start long, end long")
+    return {r["word"]: r["probs"] for r in E.word_emissions(t, w, 3).collect()}
 
 
-def test_on_words_spreads_a_token():
-    got = E.on_words([(0, 5)], np.array([[0.1, 0.7, 0.2]]), [(0, 2), (3, 5), (6, 8)])
-    assert got[0, 1] > 0 and got[1, 1] == 0 and got[2, 0] == 1
+def test_word_emissions_keep_mass(spark):
+    got = emissions(spark, [(0, 2, [0.2, 0.6, 0.2]), (2, 4, [0.4, 0.1, 0.5])], [(0, 4), (5, 6)])
+    assert got[0] == pytest.approx([0.3, 0.7 * 0.75, 0.7 * 0.25]) and got[1] == [1, 0, 0]
 
 
-def test_band_on_words():
-    band = np.zeros((2, 2, 2))
-    band[:, :, 0], band[0, 1] = 1, (0.1, 0.9)
-    got = E.band_on_words(band, [(0, 2), (2, 6)], [(0, 1), (1, 2), (3, 6)], 3)
-    assert got[0, 2].tolist() == [0.1, 0.9] and got[1, 1].tolist() == [1, 0]
-    assert E.band_on_words(band, [(0, 2), (2, 6)], [(0, 1), (1, 2), (3, 6)], 2)[0, 1].tolist() == [1, 0]
+def test_a_token_counts_for_every_word_it_meets(spark):
+    got = emissions(spark, [(0, 5, [0.1, 0.7, 0.2])], [(0, 2), (3, 5), (6, 8)])
+    assert got[0] == pytest.approx([0.1, 0.7, 0.2]) and got[1] == pytest.approx([0.1, 0.0, 0.9]) and got[2] == [1, 0, 0]
+
+
+def test_cells_on_words_and_their_mean(spark):
+    grid = "doc_id long, word long, start long, end long"
+    cells = spark.createDataFrame([(1, 0, 0, [0.5, 0.5]), (1, 0, 1, [0.1, 0.9])], "doc_id long, first long, last long, probs array<double>")
+    own = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 2, 6)], grid)
+    words = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 1, 2), (1, 2, 3, 6)], grid)
+    got = {(r["first"], r["last"]): r["probs"] for r in E.cells_on_words(cells, own, words, 3).collect()}
+    assert got == {(0, 1): [0.5, 0.5], (0, 2): [0.1, 0.9]}
+    assert E.cells_on_words(cells, own, words, 2).count() == 1
+    other = spark.createDataFrame([(1, 0, 2, [0.3, 0.7])], cells.schema)
+    both = E.combined([(E.cells_on_words(cells, own, words, 3), 1.0), (other, 3.0)], ["doc_id", "first", "last"], 2)
+    got = {(r["first"], r["last"]): r["probs"] for r in both.collect()}
+    assert got[0, 2] == pytest.approx([0.25, 0.75]) and got[0, 1] == pytest.approx([0.875, 0.125])
+
+
+def test_label_sets():
+    assert E.check_label_sets({"a": ["X", "Y"], "b": ["Y", "X"]}) == ("X", "Y")
+    with pytest.raises(ValueError, match="lack"):
+        E.check_label_sets({"a": ["X", "Y"], "b": ["Y"]})
 
 
 def test_length_batches():
-    got = E.length_batches([3, 9, 1, 20, 3], 3, 12)
-    assert got == [[3], [1], [0, 4, 2]]
-    assert E.combined([(np.array([1.0]), 1), (np.array([0.0]), 3)]).tolist() == [0.25]
+    assert E.length_batches([3, 9, 1, 20, 3], 3, 12) == [[3], [1], [0, 4, 2]]

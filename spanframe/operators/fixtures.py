@@ -44,8 +44,8 @@ def pred_spans(docs: DataFrame) -> DataFrame:
 
 
 SPANS_SQL = r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS pos FROM documents),
-s AS (SELECT doc_id, pos, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM w),
-c AS (SELECT doc_id, pos, word, start, start + length(word) AS "end", (doc_id * 7 + pos) % 10 AS k, (doc_id + pos) % 3 AS lab FROM s WHERE regexp_full_match(word, '\p{Lu}\p{Ll}+') AND length(word) > 3),
-gold AS (SELECT doc_id, start, "end", ['ORG', 'NAME', 'GEO'][CAST(lab AS INT) + 1] AS label FROM c WHERE k <> 3),
-pred AS (SELECT doc_id, start, CASE WHEN k = 1 THEN "end" - 1 ELSE "end" END AS "end", ['ORG', 'NAME', 'GEO'][CAST(CASE WHEN k = 2 THEN (lab + 1) % 3 ELSE lab END AS INT) + 1] AS label FROM c WHERE k <> 0)
+s AS MATERIALIZED (SELECT doc_id, pos, word, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM w),
+c AS MATERIALIZED (SELECT doc_id, pos, word, start, start + length(word) AS "end", (doc_id * 7 + pos) % 10 AS k, (doc_id + pos) % 3 AS lab FROM s WHERE regexp_full_match(word, '\p{Lu}\p{Ll}+') AND length(word) > 3),
+gold AS MATERIALIZED (SELECT doc_id, start, "end", ['ORG', 'NAME', 'GEO'][CAST(lab AS INT) + 1] AS label FROM c WHERE k <> 3),
+pred AS MATERIALIZED (SELECT doc_id, start, CASE WHEN k = 1 THEN "end" - 1 ELSE "end" END AS "end", ['ORG', 'NAME', 'GEO'][CAST(CASE WHEN k = 2 THEN (lab + 1) % 3 ELSE lab END AS INT) + 1] AS label FROM c WHERE k <> 0)
 """

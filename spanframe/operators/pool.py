@@ -78,19 +78,56 @@ def build_pool(mentions: DataFrame, min_count: int = 1, min_purity: float = 0.7)
     return j.select("label", "stem", F.size(words(F.col("stem"))).alias("n_words"), script_presence(F.col("stem")).alias("script"), "l.lang", "l.source")
 
 
-def replacements(mentions: DataFrame, pool: DataFrame, seed: int, shelves: int = 64, bias: float = 0.0) -> DataFrame:
-    """One other stem of the pool for each mention (id, label, stem, script): the same for all forms in a document.
+_ANY = "*"
 
-    The pool of a (label, script) is dealt to shelves by hash and a mention looks at one shelf, chosen by
-    its own hash, so no group is expanded against itself; within it the weighted pick is by u ** (1 / w).
+
+def replacements(mentions: DataFrame, pool: DataFrame, seed: int, bias: float = 0.0, extra: int | None = None, max_per_doc: int | None = None) -> DataFrame:
+    """(id, label, stem, new): another stem of the pool for each mention (id, label, stem, script, and lang if it has one).
+
+    All forms of a stem in a document get the same one. Stems of the mention's own language are preferred, those of
+    any language stand in where that has no other; the draw is weighted by n_words ** bias, among stems of at most
+    `extra` words more than the mention's, and of a document at most max_per_doc stems are replaced (those of the
+    least hashes). Only a mention whose pool holds no other stem has none.
+
+    Stems of a group (label, script, language) stand in a row by words and name, each as long as its weight; a
+    mention draws a place in the part that its number of words allows, and what holds the place is found by an
+    equi-join on slices of the row, as many as it has stems. A draw of the mention's own stem takes the next one.
     """
-    shelf = lambda *k: F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(shelves))
-    stock = pool.select("label", "script", F.col("stem").alias("new"), "n_words").withColumn("shelf", shelf(F.col("new")))
-    asked = mentions.select("id", "label", "stem", "script").distinct().withColumn("shelf", shelf(F.col("id"), F.col("stem")))
-    j = asked.join(stock, ["label", "script", "shelf"]).where(F.lower("stem") != F.lower("new"))
-    weight = F.pow(F.col("n_words").cast("double"), F.lit(bias))
-    score = F.log(uniform(seed, "id", "stem", "new") + 1e-12) / weight
-    return j.groupBy("id", "label", "stem").agg(F.max_by("new", F.struct(score, "new")).alias("new"))
+    group = ["label", "script", "lang"]
+    own = F.col("lang") if "lang" in pool.columns else F.lit(None).cast("string")
+    stock = pool.select("label", "script", own.alias("lang"), F.col("stem").alias("new"), "n_words")
+    stock = stock.where("lang is not null").unionAll(stock.withColumn("lang", F.lit(_ANY))).groupBy(*group, F.lower("new").alias("key")).agg(F.min("new").alias("new"), F.min("n_words").alias("n_words"))
+    row = Window.partitionBy(*group).orderBy("n_words", "key")
+    sized = stock.withColumn("weight", F.pow(F.col("n_words").cast("double"), F.lit(bias)))
+    to = F.sum("weight").over(row.rowsBetween(Window.unboundedPreceding, 0))
+    placed = sized.withColumns({"to": to, "count": F.count("*").over(Window.partitionBy(*group)), "place": F.row_number().over(row)})
+    placed = placed.withColumn("from", F.coalesce(F.lag("to").over(row), F.lit(0.0)))
+    limits = placed.groupBy(*group, F.col("n_words").alias("up_to")).agg(F.max("to").alias("part"), F.max("place").alias("others"))
+
+    lang = F.col("lang") if "lang" in mentions.columns else F.lit(None).cast("string")
+    asked = mentions.select("id", "label", "stem", "script", lang.alias("own")).groupBy("id", "label", "stem").agg(F.min("script").alias("script"), F.min("own").alias("own"))
+    if max_per_doc is not None:
+        first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), "id", "label", "stem"), "label", "stem"))
+        asked = asked.withColumn("_n", first).where(F.col("_n") <= max_per_doc).drop("_n")
+    # The widest part that the mention's words allow, of its own language's group and of all languages'.
+    allowed = F.lit(True) if extra is None else F.col("up_to") <= F.size(words(F.col("stem"))) + extra
+    choice = asked.join(limits, ["label", "script"]).where((F.col("lang").eqNullSafe(F.col("own")) | (F.col("lang") == _ANY)) & allowed)
+    choice = choice.groupBy("id", "label", "stem", "script", "lang").agg(F.max("part").alias("part"), F.max("others").alias("others"))
+    same = placed.select(*group, F.col("key").alias("_same"), F.col("place").alias("_place"))
+    choice = choice.withColumn("_same", F.lower("stem")).join(same, [*group, "_same"], "left")
+    holds_other = F.col("others") > F.when(F.col("_place") <= F.col("others"), 1).otherwise(0)
+    prefer = F.struct((F.col("lang") != _ANY).cast("int").alias("own"), "lang", "part", "others", F.coalesce("_place", F.lit(0)).alias("_place"))
+    draw = choice.where(holds_other).groupBy("id", "label", "stem", "script").agg(F.max(prefer).alias("c")).select("id", "label", "stem", "script", "c.lang", "c.part", "c.others", "c._place")
+    draw = draw.withColumn("u", uniform(seed, "id", "label", "stem") * F.col("part"))
+
+    whole = placed.groupBy(*group).agg(F.max("to").alias("whole"), F.max("count").alias("slices"))
+    slice_of = lambda at: F.least(F.floor(F.col(at) / F.col("whole") * F.col("slices")), F.col("slices") - 1)
+    parts = placed.join(whole, group).withColumn("slice", F.explode(F.sequence(slice_of("from"), slice_of("to")))).select(*group, "slice", "from", "to", "place")
+    hit = draw.join(whole, group).withColumn("slice", slice_of("u")).join(parts, [*group, "slice"]).where((F.col("from") <= F.col("u")) & (F.col("u") < F.col("to")))
+    hit = hit.select("id", "label", "stem", *[F.col(c).alias(c) for c in ("script", "lang")], "others", "_place", F.col("place").alias("drawn"))
+    place = F.when(F.col("drawn") == F.col("_place"), F.col("drawn") % F.col("others") + 1).otherwise(F.col("drawn"))
+    named = placed.select(*group, "place", "new")
+    return hit.withColumn("place", place).join(named, [*group, "place"]).select("id", "label", "stem", "new")
 
 
 def transliterated_stem(c: Column, to: str) -> Column:

@@ -147,7 +147,7 @@ def type_purity(spark, sf_dir):
 @query(_MENTIONS + """, a AS (SELECT left(stem, 4) AS stem, word, count(*) AS n, min(doc_id * 100000 + pos) AS first FROM k2 GROUP BY 1, 2)
 SELECT stem, arg_max(word, n * 1000000000000 - first) AS mode, sum(n)::BIGINT AS n FROM a GROUP BY 1""")
 def stem_mode_spelling(spark, sf_dir):
-    m = _mentions(spark, sf_dir).select(F.left("stem", F.lit(4)).alias("stem"), "word", (F.col("doc_id") * 100000 + F.col("pos")).alias("ord"))
+    m = _mentions(spark, sf_dir).select(F.left("stem", F.lit(4)).alias("stem"), "word", (F.shiftleft("doc_id", 32) + F.col("pos")).alias("ord"))
     return exact_mode(m, "stem", "word", "ord")
 
 
@@ -167,7 +167,7 @@ def pool_stats_pivot(spark, sf_dir):
 @query()
 def mention_pool(spark, sf_dir):
     m = _mentions(spark, sf_dir).join(_docs(spark, sf_dir, "doc_id", "lang", "source"), "doc_id")
-    return P.build_pool(m.select("label", F.col("word").alias("surface"), "lang", "source", (F.col("doc_id") * 100000 + F.col("pos")).alias("ord")), 2, 0.5)
+    return P.build_pool(m.select("label", F.col("word").alias("surface"), "lang", "source", (F.shiftleft("doc_id", 32) + F.col("pos")).alias("ord")), 2, 0.5)
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanframe.functions.constants import LABELS
 from spanframe.operators import alignment as A
 from spanframe.operators import decoding as D
+from spanframe.operators import ensembling as E
 from spanframe.operators import prompting as L
 from spanframe.operators.fixtures import SPANS_SQL, gold_spans, read, word_table
 from spanframe.operators.validation import request_errors
@@ -44,20 +45,35 @@ def span_targets(spark, sf_dir):
     return A.word_bounds(tokens, spans, 2)
 
 
-_TAG_ROWS = [(0, ["B-ORG", "I-ORG", "O", "I-GEO"]), (1, ["I-NAME", "B-NAME", "I-ORG"]), (2, []), (3, ["O", "B-GEO"])]
+_TAGS = ("B-ORG", "I-ORG", "O", "I-GEO", "S-NAME", "B-GEO", "E-GEO")
+_TAGS_SQL = """WITH w AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS pos FROM documents), g AS (SELECT doc_id, pos, ['B-ORG', 'I-ORG', 'O', 'I-GEO', 'S-NAME', 'B-GEO', 'E-GEO'][CAST((doc_id + pos * pos + pos // 3) % 7 AS INT) + 1] AS tag FROM w),
+k AS (SELECT *, tag[1:1] AS p, tag[3:] AS kind FROM g), b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS last_kind FROM k),
+"""
+
+
+def _document_tags(spark, sf_dir):
+    """A tag for each word of each document, from its place."""
+    tags = F.array(*map(F.lit, _TAGS))
+    pos = F.sequence(F.lit(0).cast("long"), (F.size(F.split("text", " ")) - 1).cast("long"))
+    one = lambda i: F.get(tags, F.pmod(F.col("doc_id") + i * i + F.floor(i / 3), F.lit(7)).cast("int"))
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(pos, one).alias("tags"))
+
+
+def _runs(df, orphans):
+    return df.select("doc_id", F.explode(A.decode_tags(F.col("tags"), orphans)).alias("s")).select("doc_id", "s.*")
 
 
-@query("""SELECT * FROM (VALUES (0, 0, 1, 'ORG'), (0, 3, 3, 'GEO'), (1, 0, 0, 'NAME'), (1, 1, 1, 'NAME'), (1, 2, 2, 'ORG'), (3, 1, 1, 'GEO')) v(id, first, last, label)""")
+@query(_TAGS_SQL + """o AS (SELECT *, CASE WHEN kind = '' THEN 0 WHEN p IN ('B', 'S') OR last_kind IS DISTINCT FROM kind THEN 1 ELSE 0 END AS opens FROM b), r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM o WHERE kind <> '')
+SELECT doc_id, min(pos)::INT AS first, max(pos)::INT AS last, any_value(kind) AS label FROM r GROUP BY doc_id, run""")
 def bio_decode(spark, sf_dir):
-    df = spark.createDataFrame(_TAG_ROWS, "id int, tags array<string>")
-    return df.select("id", F.explode(A.decode_tags(F.col("tags"))).alias("s")).select("id", "s.*")
+    return _runs(_document_tags(spark, sf_dir), True)
 
 
-@query("""SELECT * FROM (VALUES (0, 0, 1, 'ORG'), (1, 1, 3, 'GEO'), (1, 4, 4, 'NAME')) v(id, first, last, label)""")
+@query(_TAGS_SQL + """o AS (SELECT *, CASE WHEN p IN ('B', 'S') THEN 1 ELSE 0 END AS opens, CASE WHEN p IN ('I', 'E') AND last_kind IS NOT DISTINCT FROM kind THEN 0 ELSE 1 END AS breaks FROM b), r AS (SELECT *, sum(breaks) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM o)
+SELECT doc_id, min(pos)::INT AS first, max(pos)::INT AS last, any_value(kind) AS label FROM r GROUP BY doc_id, run HAVING max(opens) = 1""")
 def bioes_records(spark, sf_dir):
     """Inside tags without a begin are ignored; end closes, single stands alone."""
-    df = spark.createDataFrame([(0, ["B-ORG", "E-ORG", "I-GEO"]), (1, ["O", "B-GEO", "I-GEO", "E-GEO", "S-NAME"])], "id int, tags array<string>")
-    return df.select("id", F.explode(A.decode_tags(F.col("tags"), orphans=False)).alias("s")).select("id", "s.*")
+    return _runs(_document_tags(spark, sf_dir), False)
 
 
 _ITEMS = [("ORG", "Bank"), ("GEO", "O'zbekiston"), ("ORG", "Bank"), ("NAME", "ali"), ("FOO", "bor"), ("GEO", "yo'q")]
@@ -177,3 +193,38 @@ def stream_prepared(spark, sf_dir):
 def _is_folder(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+_PIECES_SQL = SPANS_SQL + """, wd AS (SELECT doc_id, pos, start, start + length(word) AS "end" FROM s WHERE length(word) > 0),
+tk AS (SELECT doc_id, 2 * pos AS token, start, least(start + 3, "end") AS "end" FROM wd UNION ALL SELECT doc_id, 2 * pos + 1, start + 3, "end" FROM wd WHERE "end" > start + 3)
+"""
+
+
+def _pieces(spark, sf_dir):
+    """(tokens, words): the first three characters of each word and the rest of it."""
+    w = word_table(read(spark, sf_dir, "documents")).where(F.length("word") > 0)
+    part = F.explode(F.when(F.col("end") > F.col("start") + 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("part")
+    w = w.select("doc_id", F.col("pos").alias("word"), "start", "end")
+    t = w.select("doc_id", "word", "start", "end", part)
+    rest = F.col("part") == 1
+    start, end = F.when(rest, F.col("start") + 3).otherwise(F.col("start")), F.when(rest, F.col("end")).otherwise(F.least(F.col("start") + 3, "end"))
+    return t.select("doc_id", (2 * F.col("word") + F.col("part")).alias("token"), start.alias("start"), end.alias("end")), w
+
+
+@query(_PIECES_SQL + """, j AS (SELECT tk.*, lag(tk."end") OVER (PARTITION BY tk.doc_id ORDER BY tk.start, token) AS before, tk.start > 0 AND regexp_full_match(substring(d.text, CAST(tk.start AS INT), 2), '[\\p{L}\\p{N}]{2}') AS inside FROM tk JOIN documents d ON d.doc_id = tk.doc_id)
+SELECT doc_id, token, start, "end", CAST(sum(CASE WHEN inside AND before = start THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start, token ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS word FROM j""")
+def token_words(spark, sf_dir):
+    """Sub-word tokens to words: what touches with letters or digits on both sides is one word."""
+    return E.grouped_words(_pieces(spark, sf_dir)[0], read(spark, sf_dir, "documents"))
+
+
+@query(_PIECES_SQL + """, a AS (SELECT *, 1 + (doc_id * 31 + token * 17) % 97 AS o, 1 + (doc_id * 31 + token * 17 + 7) % 97 AS b, 1 + (doc_id * 31 + token * 17 + 14) % 97 AS i FROM tk), p AS (SELECT doc_id, token, start, "end", o / (o + b + i) AS o, b / (o + b + i) AS b, i / (o + b + i) AS i FROM a),
+g AS (SELECT doc_id, pos, start + 1 AS ws, "end" + 1 AS we FROM wd), m AS (SELECT g.doc_id, g.pos, avg(p.o) AS o, avg(p.b) + avg(p.i) AS mass, arg_min(p.b / (p.b + p.i), p.start) AS share, arg_min(p.start >= g.ws, p.start) AS whole FROM g JOIN p ON g.doc_id = p.doc_id AND p.start < g.we AND g.ws < p."end" GROUP BY 1, 2)
+SELECT g.doc_id, g.pos AS word, round(coalesce(o, 1.0), 6) AS o, round(coalesce(CASE WHEN whole THEN mass * share ELSE 0.0 END, 0.0), 6) AS b, round(coalesce(CASE WHEN whole THEN mass * (1 - share) ELSE mass END, 0.0), 6) AS i FROM g LEFT JOIN m ON g.doc_id = m.doc_id AND g.pos = m.pos""")
+def word_emissions(spark, sf_dir):
+    """Tag probabilities of tokens on the words of another grid, which begin and end one character later."""
+    tokens, words = _pieces(spark, sf_dir)
+    raw = [(1 + F.pmod(F.col("doc_id") * 31 + F.col("token") * 17 + 7 * c, F.lit(97))).cast("double") for c in range(3)]
+    tokens = tokens.withColumn("probs", F.array(*(r / sum(raw[1:], raw[0]) for r in raw)))
+    words = words.select("doc_id", "word", (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"))
+    return E.word_emissions(tokens, words, 3).select("doc_id", "word", *(F.round(F.get("probs", F.lit(c)), 6).alias(n) for c, n in enumerate("obi")))

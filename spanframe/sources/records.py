@@ -17,19 +17,26 @@ RECORD = "hash string, text string, entities array<struct<label:string,start:int
 
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True, labels: tuple[str, ...] | None = None, require_entities: bool = False, limit: int | None = None) -> DataFrame:
-    """Records of JSON lines. Strict: a bad line, an empty or repeated hash or invalid entities raise an error."""
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
-    parsed = lines.select("value", F.try_parse_json("value").alias("json"), F.from_json("value", RECORD).alias("r"))
+    """Records of JSON lines. Strict: a blank or bad line, an empty or repeated hash, invalid entities or a file set
+    without records raise an error that names the file. limit: the first so many records by file and place.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * F.lit(1)).alias("block"))
+    lines = lines.withColumn("turn", F.monotonically_increasing_id())
+    if not strict:
+        lines = lines.where(F.col("value").rlike(r"\S"))
     if limit is not None:
-        parsed = parsed.limit(limit)
+        lines = lines.orderBy("file", "block", "turn").limit(limit)
+    parsed = lines.select("value", "file", F.try_parse_json("value").alias("json"), F.from_json("value", RECORD).alias("r"))
     if not strict:
         return parsed.select("r.*")
+    if not lines.limit(1).count():
+        raise ValueError(f"no records: {path}")
     r = F.col("r")
     bad = F.col("json").isNull() | r["hash"].isNull() | (r["hash"] == "") | r["text"].isNull()
     if require_entities:
         bad |= r["entities"].isNull()
     bad |= r["entities"].isNotNull() & ~valid(r["entities"], F.length(r["text"]), labels)
-    kept = parsed.select(F.when(bad, F.raise_error(F.concat(F.lit("invalid record: "), F.left("value", F.lit(200))))).otherwise(r).alias("r")).select("r.*")
+    kept = parsed.select(F.when(bad, F.raise_error(F.concat(F.lit("invalid record in "), F.col("file"), F.lit(": "), F.left("value", F.lit(200))))).otherwise(r).alias("r")).select("r.*")
     count = F.count("*").over(Window.partitionBy("hash"))
     once = kept.withColumn("_n", count)
     return once.select(*(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated hash: "), "hash"))).otherwise(F.col(c)).alias(c) if c == "hash" else F.col(c) for c in kept.columns))
@@ -88,11 +95,18 @@ def long_texts(df: DataFrame, column: str, least: int = 200) -> DataFrame:
 
 
 def write_bucket(df: DataFrame, path: str, val_every: int, order: list[str], bucket, text_col: str = "text", least: int = 0) -> None:
-    """text partitioned by split: every val_every-th kept row is validation. An existing bucket stays as it is."""
+    """text partitioned by split: every val_every-th kept row is validation. A finished bucket stays as it is."""
     from spanframe.operators.sampling import every_nth
 
     kept = df.where(F.length(strip(F.col(text_col))) >= least)
-    every_nth(kept, val_every, order, bucket).select("split", text_col).write.mode("ignore").partitionBy("split").parquet(path)
+    if not finished(df.sparkSession, path):
+        every_nth(kept, val_every, order, bucket).select("split", text_col).write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder ended; what a lost run left there is no result."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def scaled_budgets(scale: float) -> dict[str, int]:
@@ -107,5 +121,6 @@ def cache_key(payload: dict) -> str:
 def cached(df: DataFrame, root: str, payload: dict) -> DataFrame:
     """df from the folder of its payload's key, written there once; a finished folder is never rewritten."""
     path = f"{root}/{cache_key(payload)}"
-    df.write.mode("ignore").parquet(path)
+    if not finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

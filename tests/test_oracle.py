@@ -13,7 +13,7 @@ def test_query(spark, name):
     if name in oracle_sql():
         assert difference(spark, queries()[name], oracle_sql()[name], SF) is None
     else:
-        assert queries()[name](spark, SF).columns
+        assert queries()[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

@@ -14,13 +14,31 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert "Oʻzbek" in "".join(p.read_text() for p in (tmp_path / "r").glob("part*"))
 
 
-@pytest.mark.parametrize("line", ["{", "[]", '{"hash":"","text":"x"}', '{"hash":"h","text":"x","entities":[{"label":"A","start":0,"end":5}]}', '{"hash":"a","text":"x"}\n{"hash":"a","text":"y"}'])
+@pytest.mark.parametrize("line", ["{", '{"hash":"a","text":"x"}\n\n{"hash":"b","text":"x"}', "[]", '{"hash":"","text":"x"}', '{"hash":"h","text":"x","entities":[{"label":"A","start":0,"end":5}]}', '{"hash":"a","text":"x"}\n{"hash":"a","text":"y"}'])
 def test_strict_reader_refuses(spark, tmp_path, line):
     (tmp_path / "bad.jsonl").write_text(line + "\n")
-    with pytest.raises(Exception, match=r"invalid record|repeated hash"):
+    with pytest.raises(Exception, match=r"invalid record in .*bad.jsonl|repeated hash"):
         S.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
+def test_reader_of_nothing_and_of_the_first(spark, tmp_path):
+    (tmp_path / "none.jsonl").write_text("")
+    with pytest.raises(ValueError, match="no records"):
+        S.read_jsonl(spark, str(tmp_path / "none.jsonl"))
+    assert S.read_jsonl(spark, str(tmp_path / "none.jsonl"), strict=False).count() == 0
+    (tmp_path / "five.jsonl").write_text("".join(f'{{"hash":"{c}","text":"x"}}\n' for c in "edcba"))
+    assert sorted(r["hash"] for r in S.read_jsonl(spark, str(tmp_path / "five.jsonl"), limit=2).collect()) == ["d", "e"]
+
+
+def test_an_unfinished_folder_is_written_again(spark, tmp_path):
+    df = spark.range(3)
+    at = tmp_path / "c" / S.cache_key({"v": 2})
+    at.mkdir(parents=True)
+    df.limit(1).write.mode("overwrite").parquet(str(at))
+    (at / "_SUCCESS").unlink()
+    assert S.cached(df, str(tmp_path / "c"), {"v": 2}).count() == 3
+
+
 def test_tagged_tsv(spark, tmp_path):
     (tmp_path / "g.tsv").write_text("Sentence\tTokenOrder\tToken\tNER_Tag\n1\t1\tAli\tB-PER\n1\t2\t\tO\n1\t3\tkeldi\t\n2\t1\tUy\tO\n1\t1\tEski\tO\n")
     got = S.read_tagged_tsv(spark, str(tmp_path / "g.tsv"), "Sentence", "Token", "NER_Tag").orderBy("sentence").collect()

@@ -21,8 +21,9 @@ CODEBOOKS, WORDS, BEAM = 16, 128, 4
 #: The index is fitted on at most so many rows; every row is indexed.
 FIT_ROWS = 8_192
 FIT_ROUNDS = 2
-#: Rows reranked exactly for each query and block of at most BLOCK rows.
-RERANK, BLOCK = 256, 4_096
+#: Rows reranked exactly for each query and block: so many, but no more than one in RERANK_SHARE of the block and 4 k
+#: at least, so that the share hardly depends on how rows fall into partitions.
+RERANK, RERANK_SHARE, BLOCK = 128, 16, 4_096
 #: Queries whose tables are broadcast at once: 20,000 of 64 doubles are 10 MB.
 QUERIES_AT_ONCE = 20_000
 SCORED_AT_ONCE = 256
@@ -109,9 +110,13 @@ def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 def build_index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, np.ndarray | None]:
     """(stored table of id, vector, codes, norm2; codebooks) over every usable row of df.
 
-    Rows whose vector is null, zero or holds null or non-finite components are left out.
+    Rows whose vector is null, zero or holds null or non-finite components are left out, and so are vectors of
+    another length than most have (of equally common lengths the smallest counts), and rows without an id.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable("vector") & F.col("id").isNotNull())
+    lengths = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if lengths is not None:
+        rows = rows.where(F.size("vector") == lengths["size"])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vector").toArrow()["vector"]
     if not len(sample):
         return rows.withColumns({"codes": F.lit(b""), "norm2": F.lit(0.0)}).limit(0), None
@@ -136,27 +141,30 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: int = 5, metric_rows: int = RERANK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest rows of the index but itself.
 
-    queries: columns id and vector, usable vectors only. Queries go in blocks of QUERIES_AT_ONCE, each
-    broadcast, so what is broadcast is bounded however many there are. Ties go to the smaller id.
+    queries: columns id and vector, usable vectors only. Queries go in blocks of QUERIES_AT_ONCE, one block
+    after the other: each is broadcast, its result stored and the broadcast given up before the next, so what
+    is held is bounded however many there are. Ties go to the smaller id. Rows that share the query's id count
+    as its own; rows that share another id stay rows of their own.
     """
     schema = "query_id long, vec_id long, score double"
     spark = index.sparkSession
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    parts = []
     n = queries.count()
     blocks = max(1, -(-n // QUERIES_AT_ONCE))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = None
     for block in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "vector").toArrow()
         ids = own["id"].to_numpy()
         raw = np.array(own["vector"].to_pylist(), float).reshape(len(ids), -1)
         sent = spark.sparkContext.broadcast((ids, raw, books))
-        parts.append(map_arrow(index, _scorer(sent, k, metric_rows), schema))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        nearest = map_arrow(index, _scorer(sent, k, metric_rows), schema).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            nearest = stored(nearest, "nearest")
+            sent.unpersist()
+        found = nearest if found is None else found.unionAll(nearest)
+    return found
 
 
 def _scorer(sent, k: int, rerank: int):
@@ -187,7 +195,7 @@ def _block(held, ids, q, tables, k, rerank):
     x = unit(np.concatenate([_matrix(b.column(1)) for b in held])[order])
     codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(own), -1)[order]
     half = (rows["norm2"].to_numpy()[order] / 2).astype(np.float32)
-    keep = min(rerank, len(own))
+    keep = min(len(own), max(4 * k, min(rerank, -(-len(own) // RERANK_SHARE))))
     for at in range(0, len(ids), SCORED_AT_ONCE):
         t = tables[at : at + SCORED_AT_ONCE]
         score = np.zeros((len(t), len(own)), np.float32) - half
@@ -213,5 +221,6 @@ def _block(held, ids, q, tables, k, rerank):
 
 
 def op6_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found for every vector whose vec_id is divisible by 50: query_id, rank, vec_id, score."""
     index, books = build_index(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
     return search(index, books, index.where(F.pmod("id", F.lit(50)) == 0), k=5)

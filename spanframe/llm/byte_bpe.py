@@ -171,4 +171,5 @@ def _mapped(df: DataFrame, ranks: str, id_col: str, text_col: str, columns: str,
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens and the digests of ids and of the decoded bytes; a null text is empty, rows that share an id stay apart."""
     return round_trip_digests(table(spark, sf_dir, "documents", "doc_id", "text"), "byte_bpe_multi_50k.tiktoken")

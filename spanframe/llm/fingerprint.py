@@ -97,7 +97,8 @@ def with_next(df: DataFrame, out_schema: str, made, id_col: str = "doc_id", text
                 yield batch({"part": pa.array([before[k] for k in key[at].tolist()], pa.int64()), "copy": pa.array(np.ones(len(at), bool)), "key": b.column(0).take(pa.array(at)), "text": b.column(1).take(pa.array(at))})
 
     rows = map_arrow(keys, dealt, "part long, copy boolean, key long, text string")
-    spread = rows.repartition(max(1, len(parts)), "part").sortWithinPartitions("part", "copy", "key", "text")
+    # Each range is one partition: dealt by hash, several would meet in one.
+    spread = rows.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "copy", "key", "text")
 
     def paired(batches):
         held = None
@@ -122,6 +123,12 @@ def edited(text: str, following: str) -> str:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its fingerprint beside those of its edited text and of the next document, by with_next().
+
+    A null text is empty; the fingerprint of an empty text is empty and is like no other but an empty one. An
+    empty table gives no rows; of a single row it is its own next.
+    """
+
     def made(own: list[str], following: list[str]) -> dict[str, pa.Array]:
         rows = []
         for text, after in zip(own, following, strict=True):

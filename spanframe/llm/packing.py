@@ -250,4 +250,5 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, i
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece of each document: where it is cut and where it stands, as pack() says; a null text is empty, rows that share an id stay apart."""
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), "byte_bpe_50k.json")

@@ -307,6 +307,37 @@ def test_fingerprints_follow_the_next_id(spark, monkeypatch):
     assert (fingerprint.containment({}, {}), fingerprint.containment(weights, {})) == (1.0, 0.0)
 
 
+def plain_chunks(data):
+    """Chunks byte by byte, each hash anew."""
+    ends, at = [], 0
+    for e in range(1, len(data) + 1):
+        h = sum(int(cdc.GEAR[data[e - 1 - k]]) << k for k in range(16) if e - 1 - k >= 0) & 0xFFFF
+        size = e - at
+        whole = e == len(data) or data[e] & 0xC0 != 0x80
+        bits = fingerprint.STRICT_BITS if size < fingerprint.NORMAL else fingerprint.LOOSE_BITS
+        if e < len(data) and whole and size >= fingerprint.LEAST and len(data) - at > fingerprint.LEAST and h >> (16 - bits) == 0:
+            ends.append(e)
+            at = e
+        elif size == fingerprint.MOST and e < len(data):
+            back = e
+            while data[back] & 0xC0 == 0x80:
+                back -= 1
+            ends.append(back)
+            at = back
+    return [*ends, len(data)]
+
+
+def test_chunks_against_a_plain_loop():
+    rnd = random.Random(13)
+    for n in (0, 5, 13, 40, 200, 900):
+        text = "".join(rnd.choice("abcdefgh é漢 ") for _ in range(n))
+        data = text.encode()
+        ends = plain_chunks(data) if data else []
+        assert cdc.boundaries(data, fingerprint.LEAST, fingerprint.NORMAL, fingerprint.MOST, fingerprint.STRICT_BITS, fingerprint.LOOSE_BITS) == ends
+        pieces = {data[a:b] for a, b in zip([0, *ends], ends, strict=False)}
+        assert sorted(fingerprint.chunk_weights(text).values()) == sorted(map(len, pieces))
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3_000, 32))
@@ -329,6 +360,9 @@ def test_ann_recall(spark):
         assert all(abs(score[v] - s) < 1e-12 for _, v, s in found)
     assert hits >= 0.9 * 5 * len(got)
     assert [v for _, v, _ in sorted(got[100])] == [99, 101, 102, 103, 104]
+    odd = df.unionAll(spark.createDataFrame([(9_300, [1.0] * 7), (None, [1.0] * 32), (99, x[99].tolist())], df.schema))
+    index, books = ann.build_index(odd)
+    assert index.count() == 3_001 and ann.search(index, books, index.where("id = 100"), 5).orderBy("rank").first()["vec_id"] == 99
     none, books = ann.build_index(df.limit(0))
     assert ann.search(none, books, none, 5).count() == 0
 

@@ -215,15 +215,20 @@ def sentences(c: Column, least: int = 6, most: int = 40) -> Column:
     return F.filter(parts, lambda s: F.size(words(s)).between(least, most))
 
 
-def detokenize(tokens: Column) -> Column:
-    """Tokens joined by spaces, none before closing marks and after opening ones."""
+def spaced(tokens: Column) -> Column:
+    """Tokens with a space before each but the first, closing marks, and what follows an opening mark."""
     before, after = _one_of(K.NO_SPACE_BEFORE), _one_of(K.NO_SPACE_AFTER)
 
     def piece(t, i):
         glued = (i == 0) | t.rlike(f"^{before}") | F.coalesce(F.get(tokens, i - 1), F.lit("")).rlike(f"{after}$")
         return F.when(glued, t).otherwise(F.concat(F.lit(" "), t))
 
-    return F.array_join(F.transform(tokens, piece), "")
+    return F.transform(tokens, piece)
+
+
+def detokenize(tokens: Column) -> Column:
+    """Tokens joined by spaces, none before closing marks and after opening ones."""
+    return F.array_join(spaced(tokens), "")
 
 
 def trim_parenthesis(c: Column) -> Column:

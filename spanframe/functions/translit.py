@@ -82,22 +82,25 @@ def corpus_latin_to_cyrillic(c: Column) -> Column:
     return F.translate(out, K.CORPUS_LATIN, K.CORPUS_CYRILLIC)
 
 
+def moves(source: Column, to: str) -> Column:
+    """struct(text, old, new): the other alphabet's text, and where each piece ends in both, from 0 on."""
+    pieces = latin_pieces(source) if to == "latin" else cyrillic_pieces(source)
+    olds = with_offsets(F.transform(pieces, lambda p: p["source"]))
+    news = with_offsets(F.transform(pieces, lambda p: p["piece"]))
+    ends = lambda x: F.concat(F.array(F.lit(0)), F.transform(x, lambda o: o["end"]))
+    return F.struct(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"), ends(olds).alias("old"), ends(news).alias("new"))
+
+
 def transliterate(text: Column, entities: Column, to: str) -> Column:
     """struct(text, entities, reason): spans follow their pieces; null with a reason where one cannot.
 
     A span may not begin or end inside a pair that becomes one letter, nor vanish.
     """
-    source = unify_apostrophes(text)
-    pieces = latin_pieces(source) if to == "latin" else cyrillic_pieces(source)
-    olds = with_offsets(F.transform(pieces, lambda p: p["source"]))
-    news = with_offsets(F.transform(pieces, lambda p: p["piece"]))
-    ends = F.concat(F.array(F.lit(0)), F.transform(olds, lambda o: o["end"]))
-    to_end = F.concat(F.array(F.lit(0)), F.transform(news, lambda o: o["end"]))
+    new = moves(unify_apostrophes(text), to)
 
     def moved(at):
-        return F.element_at(to_end, F.nullif(F.array_position(ends, at).cast("int"), F.lit(0)))
+        return F.element_at(new["new"], F.nullif(F.array_position(new["old"], at).cast("int"), F.lit(0)))
 
     spans = F.transform(entities, lambda e: F.struct(e["label"].alias("label"), moved(e["start"]).alias("start"), moved(e["end"]).alias("end")))
     reason = F.when(F.exists(spans, lambda e: e["start"].isNull() | e["end"].isNull()), "inside a pair").when(F.exists(spans, lambda e: e["start"] >= e["end"]), "vanished")
-    new = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
-    return F.struct(F.when(reason.isNull(), new).alias("text"), F.when(reason.isNull(), spans).alias("entities"), reason.alias("reason"))
+    return F.struct(F.when(reason.isNull(), new["text"]).alias("text"), F.when(reason.isNull(), spans).alias("entities"), reason.alias("reason"))

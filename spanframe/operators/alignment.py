@@ -22,6 +22,25 @@ def bio_tags(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return tokens.select("doc_id", "pos").join(tagged, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("tag", F.lit("O")).alias("tag"))
 
 
+def covering_tags(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, pos, tag: a token that holds the first character of the span it overlaps (the first of several) begins
+    it, others are inside, or O; null for empty tokens."""
+    hit = overlapping(tokens.where("t_end > t_start"), spans)
+    begins = (F.col("t_start") <= F.col("start")) & (F.col("start") < F.col("t_end"))
+    tag = F.concat(F.when(begins, "B-").otherwise("I-"), "label")
+    tagged = hit.groupBy("doc_id", "pos").agg(F.min_by(tag, F.struct("start", "end", "label")).alias("_tag"))
+    found = F.when(F.col("t_end") > F.col("t_start"), F.coalesce("_tag", F.lit("O")))
+    return tokens.join(tagged, ["doc_id", "pos"], "left").select("doc_id", "pos", found.alias("tag"))
+
+
+def truncated(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, truncated: whether the text, but for white space at its end, goes on after its last token; null texts do not."""
+    covered = tokens.groupBy("doc_id").agg(F.max("t_end").alias("_end"))
+    whole = F.length(F.regexp_replace("text", r"[\s\p{Z}]+$", ""))
+    j = docs.select("doc_id", whole.alias("_whole")).join(covered, "doc_id", "left")
+    return j.select("doc_id", F.coalesce(F.coalesce("_end", F.lit(0)) < F.col("_whole"), F.lit(False)).alias("truncated"))
+
+
 def alignment_counts(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Per document: n_misaligned (an edge off the token edges, or nothing met inside covered text), n_lost (beyond it)."""
     hit = overlapping(tokens, spans).groupBy("doc_id", "start", "end", "label").agg(F.min("t_start").alias("a"), F.max("t_end").alias("b"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.functions.text import corpus_script, looks_clean, sentences, split_chunks, strip
+from spanframe.functions.text import corpus_script, looks_clean, sentences, split_chunks, strip, words
 from spanframe.functions.translit import corpus_latin_to_cyrillic
 from spanframe.operators.ordered import row_index, running_before, uniform
 
@@ -30,9 +30,10 @@ def script_documents(docs: DataFrame, script: str) -> DataFrame:
     return docs.where(corpus_script(F.col("text")) == script)
 
 
-def code_switched(docs: DataFrame, n: int, seed: int, lang_col: str = "lang") -> DataFrame:
-    """n texts of two sentences of two languages each, in random order: sentences are numbered in hash order per
-    language and the k-th text takes the next one of each of its languages, so no pair is searched for."""
+def code_switched(docs: DataFrame, n: int, seed: int, lang_col: str = "lang", pairs: float = 0.5) -> DataFrame:
+    """n texts of two languages each: a share of `pairs` two sentences in random order, the others a sentence with one
+    to four words of another inside. Sentences are numbered in hash order per language and each text takes one of
+    either language by number, so no pair is searched for."""
     pool = docs.select("doc_id", lang_col, F.posexplode(sentences(F.col("text"))).alias("i", "sentence"))
     pool = pool.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("i").cast("string"))))
     ranked = row_index(pool, ["_h", "doc_id", "i"], F.substring("_h", 1, 2), [lang_col], "place").select(lang_col, "place", "sentence")
@@ -51,4 +52,15 @@ def code_switched(docs: DataFrame, n: int, seed: int, lang_col: str = "lang") ->
     one = ranked.select(F.col(lang_col).alias("la"), F.col("place").alias("pa"), F.col("sentence").alias("sa"))
     two = ranked.select(F.col(lang_col).alias("lb"), F.col("place").alias("pb"), F.col("sentence").alias("sb"))
     j = x.join(one, ["la", "pa"]).join(two, ["lb", "pb"])
-    return j.select("k", F.when(F.col("swap"), F.concat_ws(" ", "sb", "sa")).otherwise(F.concat_ws(" ", "sa", "sb")).alias("text"))
+    pair = F.when(F.col("swap"), F.concat_ws(" ", "sb", "sa")).otherwise(F.concat_ws(" ", "sa", "sb"))
+    j = j.withColumns({"wa": words(F.col("sa")), "wb": words(F.col("sb"))})
+    inside = inserted(F.col("wa"), F.col("wb"), *(uniform(seed + i, "k") for i in (6, 7, 8)))
+    return j.select("k", F.when(uniform(seed + 9, "k") < pairs, pair).otherwise(inside).alias("text"))
+
+
+def inserted(base: Column, other: Column, size: Column, start: Column, at: Column) -> Column:
+    """The words of base with one to four neighbouring words of other among them, by three draws from [0, 1)."""
+    n = 1 + F.floor(size * F.least(F.lit(4), F.size(other))).cast("int")
+    first = 1 + F.floor(start * (F.size(other) - n + 1)).cast("int")
+    left = F.greatest(1 + F.floor(at * (F.size(base) - 1)).cast("int"), F.lit(1))
+    return F.concat_ws(" ", F.concat(F.slice(base, F.lit(1), left), F.slice(other, first, n), F.slice(base, left + 1, F.size(base))))

@@ -6,20 +6,25 @@ is the window's inside a bucket plus the sum of the buckets before it, of which
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def running_before(df: DataFrame, value: Column, order: list[str], bucket: Column, by: list[str] | None = None, name: str = "before") -> DataFrame:
-    """df and the sum of value over all rows before, within the groups of `by`."""
+    """df and the sum of value over all rows before, within the groups of `by`; null is a group like others."""
     by = by or []
     rows = df.withColumns({"_v": value.cast("long"), "_b": bucket})
     inner = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(*by, "_b").agg(F.sum("_v").alias("_t"))
     outer = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*by, "_b", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_o"))
-    j = rows.join(offsets, [*by, "_b"])
-    return j.withColumn(name, (F.coalesce(F.sum("_v").over(inner), F.lit(0)) + F.col("_o")).cast("long")).drop("_v", "_b", "_o")
+    keys = [*by, "_b"]
+    offsets = sums.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_o"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    j = rows.join(offsets, reduce(and_, same))
+    return j.withColumn(name, (F.coalesce(F.sum("_v").over(inner), F.lit(0)) + F.col("_o")).cast("long")).drop("_v", "_b", "_o", *(f"_k{i}" for i in range(len(keys))))
 
 
 def capped(df: DataFrame, value: Column, cap: Column, order: list[str], bucket: Column, by: list[str] | None = None) -> DataFrame:

@@ -18,6 +18,11 @@ def quotas(weights: Mapping[str, float], size: int) -> dict[str, int]:
     return out
 
 
+def subset_seed(seed: int, subset: str) -> int:
+    """Another seed for each subset, the same in every run."""
+    return seed + ("train", "val").index(subset)
+
+
 def hash_bucket(column: str = "_h"):
     """The first two hex digits of an md5 order: 256 buckets that follow the order."""
     return F.substring(column, 1, 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +64,19 @@ def source_agreement(df: DataFrame, column: str, weights: Mapping[str, float]) -
     return a.unionAll(given.join(seen, column, "left_anti").select(column, F.lit("no data").alias("side")))
 
 
+def unknown_labels(train: DataFrame, val: DataFrame, column: str = "label") -> DataFrame:
+    """Labels of val that train lacks."""
+    return val.select(column).distinct().join(train.select(column).distinct(), column, "left_anti")
+
+
+def check_tags(given: Iterable[str], types: Iterable[str]) -> None:
+    """A model's tags are O and both tags of every type, no others."""
+    expected = {"O", *(f"{p}-{t}" for t in types for p in "BI")}
+    given = set(given)
+    if given != expected:
+        raise ValueError(f"missing tags {sorted(expected - given)}, unknown tags {sorted(given - expected)}")
+
+
 def check_probabilities(values: Mapping[str, float], total: float | None = None, tolerance: float = 1e-6) -> None:
     """Settings: probabilities at most 1 together, or weights that sum to total."""
     s = sum(values.values())

@@ -21,7 +21,8 @@ def _docs(spark, sf_dir, *columns):
     return read(spark, sf_dir, "documents").select(*columns)
 
 
-@query("""WITH t AS (SELECT doc_id, source, regexp_extract_all(text, '[A-Za-z0-9]+') AS tok FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, array_to_string(tok, ' ') AS line FROM t),
+@query("""WITH x AS (SELECT doc_id, source, string_split(text, '. ') AS parts FROM documents), y AS (SELECT doc_id, source, unnest(parts) AS part, unnest(generate_series(0, len(parts) - 1)) AS i FROM x),
+t AS (SELECT doc_id, i, source, regexp_extract_all(part, '[A-Za-z0-9]+') AS tok FROM y), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS place, array_to_string(tok, ' ') AS line FROM t),
 g AS (SELECT *, place // 4 AS grp, coalesce(sum(length(line) + 1) OVER (PARTITION BY source, place // 4 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM r),
 d AS (SELECT source, grp, string_agg(line, chr(10) ORDER BY place) AS text FROM g GROUP BY 1, 2),
 w AS (SELECT source, grp, place, base, unnest(tok) AS word, unnest(generate_series(1, len(tok))) AS pos FROM g),
@@ -29,11 +30,12 @@ p AS (SELECT *, base + coalesce(sum(length(word) + 1) OVER (PARTITION BY source,
 e AS (SELECT source, grp, count(*) AS n, sum(start)::BIGINT AS starts, sum(start + length(word))::BIGINT AS ends FROM p WHERE regexp_full_match(word, '[A-Z][a-z]+') AND length(word) % 4 < 3 GROUP BY 1, 2)
 SELECT sha1(d.source || ':' || (grp + 1) || ':' || text) AS hash, d.source, length(text) AS n_chars, coalesce(n, 0) AS n, coalesce(starts, 0) AS starts, coalesce(ends, 0) AS ends FROM d LEFT JOIN e USING (source, grp)""")
 def assembled_records(spark, sf_dir):
-    """Words of the documents as tagged sentences; a fourth label is not mapped."""
-    tokens = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+    """Words of the documents' sentences with tags; a fourth label is not mapped."""
+    parts = _docs(spark, sf_dir, "doc_id", "source", "lang", F.posexplode(F.split("text", r"\. ")).alias("i", "part"))
+    tokens = F.regexp_extract_all("part", F.lit("[A-Za-z0-9]+"), F.lit(0))
     names = F.array(*(F.lit(f"B-{x}") for x in (*LABELS, "OTHER")))
     tags = F.transform("tokens", lambda t: F.when(t.rlike("^[A-Z][a-z]+$"), F.get(names, F.length(t) % 4)).otherwise("O"))
-    sentences = _docs(spark, sf_dir, "source", "lang", F.col("doc_id").alias("sentence"), tokens.alias("tokens")).withColumn("tags", tags)
+    sentences = parts.select("source", "lang", (F.shiftleft("doc_id", 20) + F.col("i")).alias("sentence"), tokens.alias("tokens")).withColumn("tags", tags)
     out = B.assembled(sentences, {x: x for x in LABELS})
     total = lambda c: F.aggregate("entities", F.lit(0).cast("long"), lambda a, e: a + e[c])
     return out.select("hash", "source", F.length("text").cast("long").alias("n_chars"), F.size("entities").cast("long").alias("n"), total("start").alias("starts"), total("end").alias("ends"))

@@ -166,12 +166,27 @@ def detect_language(c: Column) -> Column:
 # ---------------------------------------------------------------- words, sentences, chunks
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for all its uses, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums_before(n: Column) -> Column:
+    """For each number the sum of those before it, in blocks of about the root of their count, as a fold copies what it has."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
+    block = F.ceil(F.sqrt(F.size(n))).cast("int")
+    firsts = F.sequence(F.lit(1), F.size(n), block)
+    sums = F.transform(firsts, lambda i: F.aggregate(F.slice(n, i, block), zero, step))
+    bases = lambda s: F.aggregate(F.transform(s, lambda x: x["at"]), zero, step)["starts"]
+    whole = let(sums, lambda s: F.flatten(F.zip_with(s, bases(s), lambda x, o: F.transform(x["starts"], lambda v: v + o))))
+    return F.when(F.size(n) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+
 def with_offsets(pieces: Column) -> Column:
     """array of struct(text, start, end) for the pieces of a text laid end to end."""
-    lengths = F.transform(pieces, F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(lengths, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
-    return F.transform(F.arrays_zip(pieces.alias("p"), starts.alias("s")), lambda x: F.struct(x["p"].alias("text"), x["s"].alias("start"), (x["s"] + F.length(x["p"])).alias("end")))
+    placed = lambda t, s: F.struct(t.alias("text"), s.alias("start"), (s + F.length(t)).alias("end"))
+    return let(pieces, lambda p: let(F.transform(p, lambda t: F.length(t)), lambda n: F.zip_with(p, _sums_before(n), placed)))
 
 
 WORD_PIECES = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}\p{Cf}]|[\s\p{Z}\p{Cf}]+"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanframe.functions import constants as K
-from spanframe.functions.text import prepare, unify_apostrophes, with_offsets
+from spanframe.functions.text import let, prepare, unify_apostrophes, with_offsets
 
 #: Words (letter runs) and what is between them; casing is decided by word.
 _RUNS = r"[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{Nl}\p{No}]+"
@@ -84,11 +84,12 @@ def corpus_latin_to_cyrillic(c: Column) -> Column:
 
 def moves(source: Column, to: str) -> Column:
     """struct(text, old, new): the other alphabet's text, and where each piece ends in both, from 0 on."""
-    pieces = latin_pieces(source) if to == "latin" else cyrillic_pieces(source)
-    olds = with_offsets(F.transform(pieces, lambda p: p["source"]))
-    news = with_offsets(F.transform(pieces, lambda p: p["piece"]))
-    ends = lambda x: F.concat(F.array(F.lit(0)), F.transform(x, lambda o: o["end"]))
-    return F.struct(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"), ends(olds).alias("old"), ends(news).alias("new"))
+
+    def told(pieces):
+        ends = lambda c: F.concat(F.array(F.lit(0)), F.transform(with_offsets(F.transform(pieces, lambda p: p[c])), lambda o: o["end"]))
+        return F.struct(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"), ends("source").alias("old"), ends("piece").alias("new"))
+
+    return let(latin_pieces(source) if to == "latin" else cyrillic_pieces(source), told)
 
 
 def transliterate(text: Column, entities: Column, to: str) -> Column:
@@ -96,11 +97,12 @@ def transliterate(text: Column, entities: Column, to: str) -> Column:
 
     A span may not begin or end inside a pair that becomes one letter, nor vanish.
     """
-    new = moves(unify_apostrophes(text), to)
+    def told(new):
+        def moved(at):
+            return F.element_at(new["new"], F.nullif(F.array_position(new["old"], at).cast("int"), F.lit(0)))
 
-    def moved(at):
-        return F.element_at(new["new"], F.nullif(F.array_position(new["old"], at).cast("int"), F.lit(0)))
+        spans = F.transform(entities, lambda e: F.struct(e["label"].alias("label"), moved(e["start"]).alias("start"), moved(e["end"]).alias("end")))
+        reason = F.when(F.exists(spans, lambda e: e["start"].isNull() | e["end"].isNull()), "inside a pair").when(F.exists(spans, lambda e: e["start"] >= e["end"]), "vanished")
+        return F.struct(F.when(reason.isNull(), new["text"]).alias("text"), F.when(reason.isNull(), spans).alias("entities"), reason.alias("reason"))
 
-    spans = F.transform(entities, lambda e: F.struct(e["label"].alias("label"), moved(e["start"]).alias("start"), moved(e["end"]).alias("end")))
-    reason = F.when(F.exists(spans, lambda e: e["start"].isNull() | e["end"].isNull()), "inside a pair").when(F.exists(spans, lambda e: e["start"] >= e["end"]), "vanished")
-    return F.struct(F.when(reason.isNull(), new["text"]).alias("text"), F.when(reason.isNull(), spans).alias("entities"), reason.alias("reason"))
+    return let(moves(unify_apostrophes(text), to), told)

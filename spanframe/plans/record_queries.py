@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from spanframe.functions.constants import LABELS
 from spanframe.operators import alignment as A
 from spanframe.operators import assembly as B
-from spanframe.operators import augmentation as U
 from spanframe.operators import reports as R
 from spanframe.operators.fixtures import SPANS_SQL, candidates, gold_spans, label_name, read
 from spanframe.operators.scoring import label_metrics, match
@@ -116,9 +115,3 @@ def truncated_texts(spark, sf_dir):
 def source_without_label(spark, sf_dir):
     left = B.without_label(F.col("entities"), F.col("source"), {"src1": "ORG"})
     return _records(spark, sf_dir).select(F.col("hash").cast("long").alias("doc_id"), F.size(left).cast("long").alias("n")).where("n > 0")
-
-
-@query()
-def augmented_records(spark, sf_dir):
-    out = U.augmented(_records(spark, sf_dir), "hash", 17, {"upper": 0.1, "lower": 0.1, "title": 0.1}, 0.5, 0.5)
-    return out.select("hash", "text", "entities", "augmented")

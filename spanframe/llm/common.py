@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; a longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 #: ASCII white space, the only separators of the word operators.
 SPACE = " \t\n\x0b\x0c\r"
@@ -116,6 +117,16 @@ def vocabulary(name: str) -> str:
 _WORKER: dict = {}
 
 
+def fresh() -> None:
+    """Drops what earlier operators left in this Python worker and hands freed memory back to the system."""
+    _WORKER.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def per_worker(kind: str, key, make: Callable):
     """make() once per Python worker and kind, again when key changes.
 

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import shingles
-from spanframe.llm.common import batch, map_arrow, stored, table
+from spanframe.llm.common import batch, fresh, map_arrow, stored, table
 
 MIN_WORDS = 25
 #: Weight of a word, its mean bytes; longer words than LONG bytes are taken by their characters.
 WORD, LONG = 6, 40
-BUCKET_DIGESTS = 1_000_000
+BUCKET_DIGESTS = 250_000
 _NULL_ID = -(1 << 63)
 _ITEM = np.dtype([("digest", "<u8"), ("id", "<i8")])
 _FOUND = np.dtype([("id", "<i8"), ("digest", "<u8")])
@@ -146,6 +146,7 @@ def _shared(min_words: int):
 
 def _parts(bits: int, digests):
     def run(batches):
+        fresh()
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 24
         for b in batches:
@@ -180,6 +181,7 @@ def _items(data: bytes) -> np.ndarray:
 
 def _held(t: pa.Table, every: bool) -> pa.Table:
     """One bucket: per block, the (id, digest) of which a document with a smaller id (every: any other) holds a copy."""
+    fresh()
     parts = [_items(x) for x in t["data"].to_pylist()]
     own = np.zeros(sum(map(len, parts)), [("digest", "<u8"), ("id", "<i8"), ("block", "<i8")])
     own["digest"], own["id"] = (np.concatenate([x[c] for x in parts]) for c in ("digest", "id"))

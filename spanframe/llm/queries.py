@@ -16,6 +16,7 @@ from spanframe.llm.langid import op10_language_id
 from spanframe.llm.lm import op7_lm_scores
 from spanframe.llm.packing import op3_best_fit_packing
 from spanframe.llm.substring_dedup import op2_substring_dedup
+from spanframe.llm.token_alignment import op13_token_alignment
 from spanframe.llm.token_counts import op9_token_counts
 
 QUERIES = (
@@ -30,6 +31,7 @@ QUERIES = (
     op9_token_counts,
     op10_language_id,
     op12_fill_in_middle,
+    op13_token_alignment,
 )
 
 

@@ -14,6 +14,7 @@ from spanframe.llm.infilling import OP12_SQL, op12_fill_in_middle
 from spanframe.llm.jaccard import op5_jaccard_join
 from spanframe.llm.langid import op10_language_id
 from spanframe.llm.lm import op7_lm_scores
+from spanframe.llm.minhash import OP11_SQL, op11_minhash_dedup
 from spanframe.llm.packing import op3_best_fit_packing
 from spanframe.llm.substring_dedup import op2_substring_dedup
 from spanframe.llm.token_alignment import op13_token_alignment
@@ -30,6 +31,7 @@ QUERIES = (
     op8_fingerprints,
     op9_token_counts,
     op10_language_id,
+    op11_minhash_dedup,
     op12_fill_in_middle,
     op13_token_alignment,
 )
@@ -41,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can say; each of the others is tested against a brute-force version or its library."""
-    return {"op12_fill_in_middle": OP12_SQL}
+    return {"op11_minhash_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -34,6 +34,8 @@ from spanframe.llm.common import batch, bounded, dropped, map_arrow, per_worker,
 
 #: Pieces and transitions that a worker remembers; longer pieces are aligned each time.
 PIECES, TRANSITIONS, LONG_PIECE = 200_000, 200_000, 100
+#: Links of a group that are listed one by one; those of a larger one are counted by distinct ids.
+FEW = 16
 #: Characters of the texts whose pieces are looked up together.
 RUN_CHARS = 1_000_000
 SPACE_MARK = "▁"
@@ -55,59 +57,75 @@ def piece_bytes(model) -> list[bytes]:
 
 
 class Transducer:
-    """groups(a ids, b ids) -> list of (a ids, b ids), or None where the two sides' bytes differ."""
+    """Reads two sides' ids in turn. A state is which side leads and by what bytes; state 0 is neither, and A reads.
+
+    States with A in the lead have positive numbers, with B negative ones. Transitions are remembered by
+    state and the next id of the side that lags.
+    """
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
         self.bytes_of = (a_bytes, b_bytes)
-        self.steps: dict[tuple[bytes, bytes], tuple[bool, bytes] | None] = {}
-
-    def step(self, left: bytes, token: bytes) -> tuple[bool, bytes] | None:
-        """(whether the lead changes, bytes left) when the side that lags reads a token."""
-        key = (left, token)
-        if key not in self.steps:
-            if len(self.steps) >= TRANSITIONS:
-                self.steps.clear()
-            self.steps[key] = (False, left[len(token) :]) if left.startswith(token) else (True, token[len(left) :]) if token.startswith(left) else None
-        return self.steps[key]
-
-    def groups(self, a, b) -> list[tuple[list[int], list[int]]] | None:
-        sides, at, since = (a, b), [0, 0], [0, 0]
-        lead, left, out = 0, b"", []
-        while at[0] < len(a) or at[1] < len(b):
-            reads = 1 - lead if left else 0
-            if at[reads] == len(sides[reads]):
-                return None
-            token = self.bytes_of[reads][sides[reads][at[reads]]]
-            at[reads] += 1
-            if left:
-                step = self.step(left, token)
-                if step is None:
+        self.span = max(len(a_bytes), len(b_bytes))
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[tuple[int, bytes], int] = {(0, b""): 0, (1, b""): 0}
+        self.left: dict[int, bytes] = {0: b""}
+        self.steps: dict[int, int | None] = {}
+
+    def state(self, lead: int, left: bytes) -> int:
+        key = (lead, left)
+        if key not in self.number:
+            n = len(self.number) if not lead else -len(self.number)
+            self.number[key], self.left[n] = n, left
+        return self.number[key]
+
+    def step(self, state: int, token: int) -> int | None:
+        """The state after the side that lags reads a token; None where its bytes differ from those left."""
+        reads = int(state > 0)
+        left, read = self.left[state], self.bytes_of[reads][token]
+        after = self.state(1 - reads, left[len(read) :]) if left.startswith(read) else self.state(reads, read[len(left) :]) if read.startswith(left) else None
+        self.steps[state * self.span + token] = after
+        return after
+
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
+        """The groups of two sides' ids, or None where the bytes of the sides differ."""
+        if len(self.steps) > TRANSITIONS or len(self.number) > TRANSITIONS:
+            self.clear()
+        known, span, out = self.steps.get, self.span, []
+        i = j = i0 = j0 = state = 0
+        n, m = len(a), len(b)
+        while i < n or j < m:
+            if state > 0:
+                if j == m:
                     return None
-                lead, left = lead ^ step[0], step[1]
+                token = b[j]
+                j += 1
             else:
-                lead, left = reads, token
-            if not left:
-                out.append((a[since[0] : at[0]], b[since[1] : at[1]]))
-                since = at[:]
-        return None if left else out
-
-
-def written(groups) -> str:
-    """`a1,a2|b1;a3|b2,b3`"""
-    return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups])
+                if i == n:
+                    return None
+                token = a[i]
+                i += 1
+            key = state * span + token
+            state = known(key)
+            if state is None:
+                state = self.step(key // span, token)
+                if state is None:
+                    return None
+            if not state:
+                out.append((a[i0:i], b[j0:j]))
+                i0, j0 = i, j
+        return None if state else out
 
 
 def links(groups) -> Counter:
     """(a id, b id) -> linked occurrence pairs."""
     out = Counter()
     for a, b in groups:
-        if len(a) == len(b) == 1:
-            out[a[0], b[0]] += 1
-        else:
-            own = Counter(b)
-            for x, n in Counter(a).items():
-                for y, m in own.items():
-                    out[x, y] += n * m
+        own = Counter(b)
+        for x, n in Counter(a).items():
+            for y, m in own.items():
+                out[x, y] += n * m
     return out
 
 
@@ -138,16 +156,38 @@ class Aligner:
         if not new:
             return
         sides = zip(self.a._encode([" " + p for p in new]), self.b.encode(new, num_threads=1), strict=True)
+        place, text, size = self.place, self.text, self.size_b
+        n_a, n_b, n_groups, n_links = self.columns
         for piece, (ids, b) in zip(new, sides, strict=True):
             a = array("I", ids).tolist()
             groups = self.by.groups(a, b) if SPACE_MARK not in piece else None
-            self.place[piece] = len(self.text)
-            own = links(groups or ())
-            for column, value in zip(self.columns, (len(a), len(b), len(groups or ()), sum(own.values())), strict=True):
-                column.append(value)
-            self.text.append(None if groups is None else written(groups))
-            self.pair.extend(x * self.size_b + y for x, y in own)
-            self.times.extend(own.values())
+            place[piece] = len(text)
+            n_a.append(len(a))
+            n_b.append(len(b))
+            n_groups.append(len(groups or ()))
+            if groups is None:
+                text.append(None)
+                n_links.append(0)
+            else:
+                parts, pairs, total = [], [], 0
+                for x, y in groups:
+                    if len(x) == 1 and len(y) == 1:
+                        parts.append(f"{x[0]}|{y[0]}")
+                        pairs.append(x[0] * size + y[0])
+                        total += 1
+                        continue
+                    parts.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+                    total += len(x) * len(y)
+                    if len(x) * len(y) <= FEW:
+                        pairs += [u * size + v for u in x for v in y]
+                    else:
+                        some = links([(x, y)])
+                        self.pair.extend(u * size + v for u, v in some)
+                        self.times.extend(some.values())
+                text.append(";".join(parts))
+                n_links.append(total)
+                self.pair.extend(pairs)
+                self.times.extend([1] * len(pairs))
             self.offset.append(len(self.pair))
 
     def forget_long(self, pieces: set[str]) -> None:

@@ -107,4 +107,6 @@ def test_steps():
     assert by.groups([1, 0], [0, 1, 0]) == [([1], [0, 1]), ([0], [0])]
     assert by.groups([0, 2], [3]) == [([0, 2], [3])]
     assert by.groups([0, 2], [0, 1]) is None and by.groups([0], [4]) is None and by.groups([], []) == [] and by.groups([], [0]) is None
-    assert by.step(b"bc", b"b") == (False, b"c") and by.step(b"b", b"bc") == (True, b"c") and by.step(b"b", b"c") is None
+    ahead = by.state(0, b"ab")
+    assert ahead > 0 and by.left[by.step(ahead, 0)] == b"b" and by.step(ahead, 3) == by.state(1, b"c") < 0 and by.step(ahead, 4) is None
+    assert T.links([([1, 1, 2], [5, 6, 5])]) == {(1, 5): 4, (1, 6): 2, (2, 5): 2, (2, 6): 1}

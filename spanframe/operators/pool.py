@@ -63,21 +63,6 @@ def dedupe_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*[F.expr(b).alias(f"_k{i}") for i, b in enumerate(by)]).agg(F.min_by(rest, F.struct(*order)).alias("r")).select("r.*")
 
 
-def build_pool(mentions: DataFrame, min_count: int = 1, min_purity: float = 0.7) -> DataFrame:
-    """mentions: label, surface, lang, source, ord -> label, stem, n_words, script, lang, source of clean, pure stems.
-
-    Spelling and language are each stem's commonest (first seen on ties); counts and purity are over all labels.
-    """
-    clean = mentions.where(is_clean_mention(F.col("surface")) & ~is_plural(F.col("surface"))).withColumn("key", F.lower("surface"))
-    by_label = clean.groupBy("key", "label").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("key"))
-    pure = by_label.withColumn("total", total).where((F.col("total") >= min_count) & (F.col("n") >= min_purity * F.col("total")))
-    spelling = clean.groupBy("key", "surface").agg(F.count("*").alias("c"), F.min("ord").alias("o")).groupBy("key").agg(F.max_by("surface", F.struct("c", -F.col("o"))).alias("stem"))
-    lang = clean.groupBy("key", "lang", "source").agg(F.count("*").alias("c"), F.min("ord").alias("o")).groupBy("key").agg(F.max_by(F.struct("lang", "source"), F.struct("c", -F.col("o"))).alias("l"))
-    j = pure.join(spelling, "key").join(lang, "key")
-    return j.select("label", "stem", F.size(words(F.col("stem"))).alias("n_words"), script_presence(F.col("stem")).alias("script"), "l.lang", "l.source")
-
-
 _ANY = "*"
 
 

@@ -156,27 +156,6 @@ def pool_dedupe_first_wins(spark, sf_dir):
     return P.dedupe_first(_mentions(spark, sf_dir).select("label", "stem", "word", "doc_id", "pos"), ["label", "stem"], ["doc_id", "pos"])
 
 
-@query(_MENTIONS + """SELECT label, count(DISTINCT stem) FILTER (lang = 'en') AS en, count(DISTINCT stem) FILTER (lang = 'de') AS de, count(DISTINCT stem) FILTER (lang = 'es') AS es, count(DISTINCT stem) FILTER (lang = 'fr') AS fr, count(DISTINCT stem) AS total FROM k2 JOIN documents USING (doc_id) GROUP BY label""")
-def pool_stats_pivot(spark, sf_dir):
-    """Stems per label and language: distinct pairs once, then counted."""
-    m = _mentions(spark, sf_dir).select("doc_id", "label", "stem").join(_docs(spark, sf_dir, "doc_id", "lang"), "doc_id")
-    one = m.groupBy("label", "stem").agg(*(F.max((F.col("lang") == x).cast("int")).alias(x) for x in ("en", "de", "es", "fr")))
-    return one.groupBy("label").agg(*(F.sum(x).alias(x) for x in ("en", "de", "es", "fr")), F.count("*").alias("total"))
-
-
-@query()
-def mention_pool(spark, sf_dir):
-    m = _mentions(spark, sf_dir).join(_docs(spark, sf_dir, "doc_id", "lang", "source"), "doc_id")
-    return P.build_pool(m.select("label", F.col("word").alias("surface"), "lang", "source", (F.shiftleft("doc_id", 32) + F.col("pos")).alias("ord")), 2, 0.5)
-
-
-@query()
-def replaced_mentions(spark, sf_dir):
-    m = _mentions(spark, sf_dir).select(F.col("doc_id").alias("id"), "label", F.col("word").alias("stem"), T.script_presence(F.col("word")).alias("script"))
-    pool = m.groupBy("label", "script", "stem").agg(F.lit(1).alias("n_words"))
-    return P.replacements(m, pool, 11)
-
-
 @query("""SELECT source, lang, count(*) AS chunks, sum(n_chars)::BIGINT AS chars, count(*) FILTER (n_chars < 200) AS dropped FROM documents GROUP BY 1, 2""")
 def bucket_accounting(spark, sf_dir):
     d = _docs(spark, sf_dir, "source", "lang", "n_chars")

@@ -11,8 +11,9 @@
    cannot link; the others are confirmed on the full sets, which are hashed again from the texts of
    these classes only.
 4. A bucket all of whose classes are in one component is done. In the others, classes that do not link with the
-   least one may still link with each other: the next 3 of the bucket become centers of stars, then the
-   next 12 and so on, until each pair of classes of a bucket has been compared or is within one component.
+   least one may still link with each other: those outside of the bucket's largest component become centers
+   of stars, a few in the first round and four times as many in each further one, until each pair of
+   classes of a bucket has been compared or is within one component.
 
 So no link of classes that share a bucket is lost, and no bucket is paired off where its stars suffice.
 """
@@ -33,8 +34,8 @@ from spanframe.llm.shingles import mix, shingle_hashes
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: A later round takes this many times as many centers of a bucket as all before.
-WIDER = 4
+#: Centers that a bucket's second round takes, and how many times as many each further one.
+STRAYS, WIDER = 8, 4
 #: Characters hashed at once, and the most bits of the broadcast filter of ids (8 MB).
 RUN_CHARS, FILTER_BITS = 4_000_000, 1 << 26
 _U = np.uint64
@@ -174,10 +175,13 @@ def _side(classes: DataFrame, side: str, key: str) -> DataFrame:
     return classes.select(F.col("uid").alias(key), F.col("n").alias(f"n_{side}"), *(F.col(f"bits{i}").alias(f"bits{i}_{side}") for i in range(BITMAP)))
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (u, v) of classes that link, on the full sets."""
+def confirmed(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """Those of the pairs (u, v) of classes that link, on the full sets; None where sizes and bitmaps leave no pair."""
     able = pairs.join(_side(classes, "x", "u"), "u").join(_side(classes, "y", "v"), "v").where(may_link("x", "y", num, den)).select("u", "v")
     able = stored(able, "candidates")
+    if able.isEmpty():
+        dropped(able)
+        return None
     uids = able.select(F.col("u").alias("uid")).unionAll(able.select(F.col("v").alias("uid"))).distinct()
     wanted = stored(uids.join(classes.select("uid", "digest", "id"), "uid"), "wanted")
     sets = stored(_sets(rows, wanted, k), "confirming")
@@ -192,30 +196,54 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def linked_classes(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) of classes; rows: id, text; classes: uid, digest, id, n, bits0.., keys."""
+def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label (uid, component) with further links: components of the components that they join, then of their members."""
+    if label is None:
+        return stored(components(links).withColumnsRenamed({"node": "uid"}), "labels")
+    at = lambda c: label.select(F.col("uid").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select("u", "v", F.coalesce("of_u", "u").alias("x"), F.coalesce("of_v", "v").alias("y"))
+    whole = stored(components(ends.select(F.col("x").alias("u"), F.col("y").alias("v"))), "joined")
+    every = label.unionAll(ends.select(F.col("u").alias("uid"), F.col("x").alias("component"))).unionAll(ends.select("v", "y")).distinct()
+    to = whole.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    out = stored(every.join(to, "component", "left").select("uid", F.coalesce("into", "component").alias("component")), "labels")
+    dropped(whole)
+    return out
+
+
+def class_components(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """(uid, component) of the classes that link; rows: id, text; classes: uid, digest, id, n, bits0.., keys.
+
+    After the first round a bucket's classes are those of its largest component there and strays. Strays become
+    centers, a few and then four times as many, each compared with all of the bucket that are not in its
+    component, and leave the bucket; it is done when one component is left in it.
+    """
     members = classes.select("uid", F.explode("keys").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("uid").alias("center"), F.count("*").alias("size")).where("size > 1")
-    met = stored(members.join(heads, "bucket"), "met")
-    links = confirmed(met.where("uid <> center").select(*_ordered("uid", "center")).distinct(), rows, classes, k, num, den)
-    done = 1  # the first classes of each bucket that were compared with all its others
-    ranked = None
+    met = stored(members.join(heads, "bucket").where("uid <> center"), "met")
+    links = confirmed(met.select(*_ordered("uid", "center")).distinct(), rows, classes, k, num, den)
+    label = None if links is None else _joined(None, links)
+    rest, taken = met.where("size > 2").select("bucket", "uid"), STRAYS
     while True:
-        label = components(links).withColumnsRenamed({"node": "uid"})
-        rest = met.where(F.col("size") > done + 1).select("bucket", "uid", "size") if ranked is None else ranked.where(F.col("size") > done + 1).drop("component")
-        placed = stored(rest.join(label, "uid", "left").withColumn("component", F.coalesce("component", "uid")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        still = placed.join(mixed, "bucket", "left_semi")
-        dropped(met if ranked is None else ranked)
-        ranked = stored(still if "rank" in still.columns else still.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))), "open")
+        if label is None:
+            placed = rest.withColumn("component", F.col("uid"))
+        else:
+            placed = rest.join(label, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+        placed = stored(placed, "placed")
+        counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        open_ = stored(placed.join(main.select("bucket", "main"), "bucket"), "open")
         dropped(placed)
-        if not ranked.limit(1).count():
-            dropped(ranked)
-            return links
-        centers = ranked.where((F.col("rank") > done) & (F.col("rank") <= done * WIDER)).select("bucket", F.col("uid").alias("center"), F.col("rank").alias("at"), F.col("component").alias("other"))
-        more = ranked.join(centers, "bucket").where("rank > at and component <> other").select(*_ordered("uid", "center")).distinct()
-        links = links.unionAll(confirmed(more, rows, classes, k, num, den))
-        done *= WIDER
+        if open_.isEmpty():
+            dropped(open_)
+            return label
+        strays = open_.where("component <> main")
+        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))
+        centers = strays.withColumn("turn", turn).where(F.col("turn") <= taken).select("bucket", F.col("uid").alias("center"), F.col("component").alias("other"))
+        pairs = open_.join(centers, "bucket").where("component <> other").select(*_ordered("uid", "center")).distinct()
+        links = confirmed(pairs, rows, classes, k, num, den)
+        label = label if links is None else _joined(label, links)
+        rest = open_.join(centers.select("bucket", F.col("center").alias("uid")), ["bucket", "uid"], "left_anti").select("bucket", "uid")
+        taken *= WIDER
 
 
 def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,13 +263,11 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id
     own = signed.where(F.col("keys").isNotNull()).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", *bits, "keys")))
     numbered = own.join(named, "digest").withColumn("uid", F.monotonically_increasing_id())
     classes = stored(numbered.select("uid", "digest", "least", F.col("least.id").alias("id"), "n", *bits, "keys"), "classes")
-    links = linked_classes(rows, classes, k, num, den)
-
-    # Nodes order by id, null ids last, so a component's least node has its smallest id.
-    node = classes.select("uid", "digest", F.struct("least.none", "least.id", "uid").alias("node"))
-    edges = links.join(node.select(F.col("uid").alias("u"), F.col("node").alias("x")), "u").join(node.select(F.col("uid").alias("v"), F.col("node").alias("y")), "v")
-    final = components(edges.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    of_class = stored(node.join(final, "node", "left").select("digest", F.coalesce("component", "node")["id"].alias("component_id")), "components")
+    label = class_components(rows, classes, k, num, den)
+    placed = classes.select("digest", "least", "uid") if label is None else classes.select("digest", "least", "uid").join(label, "uid", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "uid") if label is not None else F.col("uid"))
+    smallest = placed.groupBy("component").agg(F.min("least").alias("of_all"))
+    of_class = stored(placed.join(smallest, "component").select("digest", F.col("of_all.id").alias("component_id")), "components")
     named = signed.where("n > 0").select("id", "n", "digest").join(of_class, "digest").select("id", "n", "component_id")
     alone = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return named.unionAll(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from spanframe.functions.constants import LABELS
@@ -176,12 +178,7 @@ def stream_prepared(spark, sf_dir):
 
     from spanframe.streaming.twins import prepared, run_available
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spanframe-stream-")
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(source).schema
     reader = spark.readStream.schema(schema)
@@ -228,3 +225,44 @@ def word_emissions(spark, sf_dir):
     tokens = tokens.withColumn("probs", F.array(*(r / sum(raw[1:], raw[0]) for r in raw)))
     words = words.select("doc_id", "word", (F.col("start") + 1).alias("start"), (F.col("end") + 1).alias("end"))
     return E.word_emissions(tokens, words, 3).select("doc_id", "word", *(F.round(F.get("probs", F.lit(c)), 6).alias(n) for c, n in enumerate("obi")))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS request, string_agg(length(text), ',' ORDER BY turn) AS answers FROM conversations GROUP BY conv_id")
+def stream_answers(spark, sf_dir):
+    """Every conversation is a request of its turns' texts, answered with their lengths in batches of up to 16 requests.
+
+    The stream ends when all requests are answered; the last of each shard wait for their timer.
+    """
+    import time
+    import uuid
+
+    from spanframe.streaming import coalescing as C
+
+    at = f"{_shared(spark)}/answers-{uuid.uuid4().hex}"
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    requests = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    requests.select(F.col("conv_id").cast("string").alias("request"), F.transform("t", lambda x: x["text"]).alias("items")).write.parquet(f"{at}/in")
+    n = spark.read.parquet(f"{at}/in").count()
+    key, provider = C.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        stream = spark.readStream.schema("request string, items array<string>").parquet(f"{at}/in")
+        out = C.answered_together(stream, lambda items: [str(len(x)) for x in items], 16, 1.0, 8)
+        running = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(processingTime="1 second").start()
+        done = -1
+        while done < n and running.isActive:
+            time.sleep(1)
+            done = spark.read.schema(out.schema).parquet(f"{at}/out").count()
+        running.stop()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(out.schema).parquet(f"{at}/out").select("request", F.array_join("answers", ",").alias("answers"))
+
+
+def _shared(spark) -> str:
+    """The folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return root or f"file:{os.getcwd()}/spark-warehouse"

@@ -1,13 +1,7 @@
-"""Stateless text operators on streams, and requests answered together.
-
-The same column functions run on readStream; a request table is answered in batches of a trigger,
-each batch split back by request.
-"""
+"""Stateless text operators on streams: the same column functions run on readStream."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +16,3 @@ def prepared(docs: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Everything there is now, once, exactly once by the checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def answer_together(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, seconds: float | None = None) -> None:
-    """Requests of one trigger form one batch: answer(items) once, one file set per batch."""
-
-    def put(items: DataFrame, batch: int) -> None:
-        answer(items).withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
-    writer.start().awaitTermination()

@@ -12,7 +12,7 @@
    these classes only.
 4. A bucket all of whose classes are in one component is done. In the others, classes that do not link with the
    least one may still link with each other: those outside of the bucket's largest component become centers
-   of stars, a few in the first round and four times as many in each further one, until each pair of
+   of stars, a few in the first round and several times as many in each further one, until each pair of
    classes of a bucket has been compared or is within one component.
 
 So no link of classes that share a bucket is lost, and no bucket is paired off where its stars suffice.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import batch, bounded, dropped, map_arrow, pieces, stored, table
+from spanframe.llm.common import KeyFilter, batch, bounded, dropped, map_arrow, pieces, stored, table
 from spanframe.llm.components import components
 from spanframe.llm.jaccard import BITMAP, bitmap
 from spanframe.llm.shingles import mix, shingle_hashes
@@ -35,9 +35,9 @@ from spanframe.llm.shingles import mix, shingle_hashes
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
 #: Centers that a bucket's second round takes, and how many times as many each further one.
-STRAYS, WIDER = 8, 4
-#: Characters hashed at once, and the most bits of the broadcast filter of ids (8 MB).
-RUN_CHARS, FILTER_BITS = 4_000_000, 1 << 26
+STRAYS, WIDER = 32, 8
+#: Characters hashed at once.
+RUN_CHARS = 4_000_000
 _U = np.uint64
 _EDGES = np.array([-(-(i << 64) // BINS) for i in range(BINS)], dtype=_U)
 
@@ -107,14 +107,12 @@ def _signed(k: int):
     return run
 
 
-def _hashed(k: int, filter_bits):
-    """(id, text, slot) -> (digest, tokens) of rows whose slot is set in the broadcast filter."""
+def _hashed(k: int, may: KeyFilter):
+    """(id, text, slot) -> (digest, tokens) of rows that the filter holds."""
 
     def run(batches):
         for b in batches:
-            mask = np.frombuffer(filter_bits.value, np.uint8)
-            slot = b.column(2).to_numpy()
-            keep = b.filter(pa.array(mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))
+            keep = b.filter(pa.array(may.holds(b.column(2))))
             for some in pieces(keep, 1, 1000, RUN_CHARS):
                 sets = {_digest(s): s for s in (shingle_hashes(t or "", k) for t in some.column(1).to_pylist()) if len(s)}
                 yield batch({"digest": pa.array(list(sets), pa.binary()), "tokens": pa.array([s.tobytes() for s in sets.values()], pa.binary())})
@@ -122,31 +120,10 @@ def _hashed(k: int, filter_bits):
     return run
 
 
-def _bits_of(t: pa.Table) -> pa.Table:
-    """(part, slot) of one part -> (part, bits)."""
-    here = np.zeros(1 << 16, np.uint8)
-    here[t["slot"].to_numpy() & 0xFFFF] = 1
-    return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(here, bitorder="little").tobytes()], pa.binary())})
-
-
-def _slot(size: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(0))), F.lit(size))
-
-
 def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(uid, tokens) of the wanted (uid, digest, id): only texts whose id may be wanted are hashed.
-
-    The ids go into a filter of at most FILTER_BITS bits, built in parts and broadcast; what passes it
-    by chance is dropped by the join, so the filter changes the work only.
-    """
-    spark = rows.sparkSession
-    size = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * wanted.count()).bit_length()))
-    slots = wanted.select(_slot(size).alias("slot")).distinct().withColumn("part", F.shiftright("slot", 16))
-    parts = slots.groupBy("part").applyInArrow(_bits_of, "part long, bits binary").collect()
-    bits = bytearray(size >> 3)
-    for r in parts:
-        bits[r["part"] << 13 : (r["part"] + 1) << 13] = r["bits"]
-    hashed = map_arrow(rows.withColumn("slot", _slot(size)), _hashed(k, spark.sparkContext.broadcast(bytes(bits))), "digest binary, tokens binary")
+    """(uid, tokens) of the wanted (uid, digest, id): only texts whose id may be wanted are hashed."""
+    may = KeyFilter(wanted, "id")
+    hashed = map_arrow(rows.withColumn("slot", may.slot(F.col("id"))), _hashed(k, may), "digest binary, tokens binary")
     return hashed.join(wanted.select("digest", "uid"), "digest").groupBy("uid").agg(F.first("tokens").alias("tokens"))
 
 
@@ -214,7 +191,7 @@ def class_components(rows: DataFrame, classes: DataFrame, k: int, num: int, den:
     """(uid, component) of the classes that link; rows: id, text; classes: uid, digest, id, n, bits0.., keys.
 
     After the first round a bucket's classes are those of its largest component there and strays. Strays become
-    centers, a few and then four times as many, each compared with all of the bucket that are not in its
+    centers, STRAYS and then WIDER times as many, each compared with all of the bucket that are not in its
     component, and leave the bucket; it is done when one component is left in it.
     """
     members = classes.select("uid", F.explode("keys").alias("bucket"))

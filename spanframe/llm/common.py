@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; a longer text is a batch of its own.
@@ -82,6 +82,41 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+#: Most bits of a broadcast filter of keys (8 MB).
+FILTER_BITS = 1 << 26
+
+
+class KeyFilter:
+    """A broadcast bitmap of long keys: holds() is true of every key put in, and of others by chance.
+
+    It has 16 bits a key, FILTER_BITS at most, and is put together in parts by the executors. It only
+    spares work: whatever passes by chance has to be dropped by a join after it.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        self.size = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * keys.count()).bit_length()))
+        slots = keys.select(self.slot(F.col(column)).alias("slot")).distinct().withColumn("part", F.shiftright("slot", 16))
+        bits = bytearray(self.size >> 3)
+        for r in slots.groupBy("part").applyInArrow(_part_of_bits, "part long, bits binary").collect():
+            bits[r["part"] << 13 : (r["part"] + 1) << 13] = r["bits"]
+        self.bits = keys.sparkSession.sparkContext.broadcast(bytes(bits))
+
+    def slot(self, key: Column) -> Column:
+        """The place of a key; a null one counts as 0."""
+        return F.pmod(F.xxhash64(F.coalesce(key, F.lit(0).cast("long"))), F.lit(self.size))
+
+    def holds(self, slots: pa.Array) -> np.ndarray:
+        """In tasks: which slots are set."""
+        at = slots.to_numpy()
+        return np.frombuffer(self.bits.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _part_of_bits(t: pa.Table) -> pa.Table:
+    here = np.zeros(1 << 16, np.uint8)
+    here[t["slot"].to_numpy() & 0xFFFF] = 1
+    return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(here, bitorder="little").tobytes()], pa.binary())})
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanframe.llm import shingles
-from spanframe.llm.common import batch, fresh, map_arrow, stored, table
+from spanframe.llm.common import KeyFilter, batch, dropped, fresh, map_arrow, stored, table
 
 MIN_WORDS = 25
 #: Weight of a word, its mean bytes; longer words than LONG bytes are taken by their characters.
@@ -226,54 +226,89 @@ def _asked(rows: DataFrame, digests, n: int, answer) -> DataFrame:
 
 
 def repeated_digests(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, parts array<binary>): the window digests of each document that an earlier one holds; rows: key, text."""
+    """(key, parts array<binary>), stored: the window digests of each document that an earlier one holds; rows: key, text.
+
+    Only texts that may share a name, by a filter of their keys, travel to meet their names.
+    """
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     names = stored(_asked(rows, _names(min_words), chars // 40, _several), "names")
     shared = names.agg(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p)))).first()[0] or 0
+    may = KeyFilter(names, "key")
+    some = map_arrow(rows.select("key", "text", may.slot(F.col("key")).alias("slot")), _kept(may, True), "key long, text string")
     # A name stands for some min_words / 4 windows.
-    return _asked(rows.join(names, "key"), _shared(min_words), shared // 8 * (min_words // 4 + 1), _later)
+    out = stored(_asked(some.join(names, "key"), _shared(min_words), shared // 8 * (min_words // 4 + 1), _later), "repeats")
+    dropped(names)
+    return out
+
+
+def _kept(may: KeyFilter, held: bool):
+    """Rows, without their last column (slot), whose key the filter holds, or does not."""
+
+    def run(batches):
+        for b in batches:
+            keep = b.filter(pa.array(may.holds(b.column(b.num_columns - 1)) == held))
+            if keep.num_rows:
+                yield pa.RecordBatch.from_arrays(keep.columns[:-1], names=keep.schema.names[:-1])
+
+    return run
+
+
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+_SPANS_TYPE = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
+
+
+def _cut(text: str | None, parts, min_words: int) -> tuple[str | None, list[dict]]:
+    """A text without the windows whose digests are among parts, and where these stood."""
+    found = repeats(text.encode(), _flagged(parts), min_words) if text and parts else []
+    if not found:
+        return text, []
+    data, kept, at, chars, marks = text.encode(), [], 0, 0, []
+    for s, e in found:
+        piece, gone = data[at:s].decode(), data[s:e].decode()
+        kept.append(piece)
+        marks.append({"start": chars + len(piece), "end": chars + len(piece) + len(gone)})
+        chars, at = marks[-1]["end"], e
+    return "".join(kept) + data[at:].decode(), marks
 
 
 def remove_repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's columns, text_col without the repeated passages, then `spans` (array of struct start, end).
 
     Spans are code points of the text before. A null text stays null and holds nothing; rows that share
-    an id count as one document, and null ids as one that comes first. Texts may become empty.
+    an id count as one document, and null ids as one that comes first. Texts may become empty; an empty table
+    stays empty. A column of df named `spans` is refused. Documents that hold no repeat are not shuffled.
     """
     names = df.columns
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_key")
-    flags = stored(repeated_digests(df.select(key.alias("key"), F.col(text_col).alias("text")), min_words), "repeats")
-    both = df.select("*", key).join(flags.withColumnsRenamed({"key": "_key", "parts": "_parts"}), "_key", "left")
-
-    def run(batches):
+    if "spans" in names:
+        raise ValueError("a column named spans is in the way of the result's")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))
+    flags = repeated_digests(df.select(key.alias("key"), F.col(text_col).alias("text")), min_words)
+    may = KeyFilter(flags, "key")
+    # The columns by number, so that none of df's names clash with ours.
+    rows = df.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), key.alias("key")).withColumn("slot", may.slot(F.col("key")))
+    kinds = [f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names]
+    numbered = ", ".join(f"c{i} {df.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
+    place = names.index(text_col)
+
+    def whole(batches):
+        for b in _kept(may, False)(batches):
+            yield batch({n: b.column(i) for i, n in enumerate(names)} | {"spans": pa.array([[]] * b.num_rows, _SPANS_TYPE)})
+
+    def cut(batches):
         for b in batches:
-            out, spans = [], []
-            for text, parts in zip(b.column(text_col).to_pylist(), b.column("_parts").to_pylist(), strict=True):
-                found = []
-                if text and parts:
-                    data = text.encode()
-                    found = repeats(data, _flagged(parts), min_words)
-                if found:
-                    kept, at, chars, marks = [], 0, 0, []
-                    for s, e in found:
-                        piece, cut = data[at:s].decode(), data[s:e].decode()
-                        kept.append(piece)
-                        marks.append({"start": chars + len(piece), "end": chars + len(piece) + len(cut)})
-                        chars, at = marks[-1]["end"], e
-                    out.append("".join(kept) + data[at:].decode())
-                    spans.append(marks)
-                else:
-                    out.append(text)
-                    spans.append([])
-            columns = {n: b.column(n) for n in names} | {text_col: pa.array(out, pa.string())}
-            yield batch(columns | {"spans": pa.array(spans, pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})))})
-
-    kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    return map_arrow(both.drop("_key"), run, f"{kinds}, spans array<struct<start:bigint,end:bigint>>")
+            pairs = [_cut(t, p, min_words) for t, p in zip(b.column(place).to_pylist(), b.column(len(names)).to_pylist(), strict=True)]
+            columns = {n: b.column(i) for i, n in enumerate(names)} | {names[place]: pa.array([t for t, _ in pairs], pa.string())}
+            yield batch(columns | {"spans": pa.array([s for _, s in pairs], _SPANS_TYPE)})
+
+    schema = f"{', '.join(kinds)}, spans {_SPANS}"
+    some = map_arrow(rows, _kept(may, True), f"{numbered}, key long")
+    met = some.join(flags, "key", "left").select(*(f"c{i}" for i in range(len(names))), "parts")
+    return map_arrow(rows, whole, schema).unionAll(map_arrow(met, cut, schema))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, text without what an earlier document holds, n_chars before, n_removed, n_spans."""
+    """Per document: doc_id, text without what an earlier document holds, n_chars before, n_removed, n_spans; nulls, repeated
+    ids and empty tables as remove_repeats() says."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     out = remove_repeats(docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

@@ -84,16 +84,18 @@ def visible_edges(surface: Column) -> tuple[Column, Column]:
 
 def change_case(c: Column, to: str) -> Column:
     """upper, lower or title by character, where the mapped character is one character."""
-    chars = F.split(c, "")
 
-    def mapped(ch, i):
-        m = F.upper(ch) if to == "upper" else F.lower(ch)
-        if to == "title":
-            inside = (i > 0) & F.coalesce(F.get(chars, i - 1), F.lit("")).rlike(LETTER)
-            m = F.when(inside, F.lower(ch)).otherwise(F.upper(ch))
-        return F.when(F.length(m) == 1, m).otherwise(ch)
+    def told(chars):
+        def mapped(ch, i):
+            m = F.upper(ch) if to == "upper" else F.lower(ch)
+            if to == "title":
+                inside = (i > 0) & F.coalesce(F.get(chars, i - 1), F.lit("")).rlike(LETTER)
+                m = F.when(inside, F.lower(ch)).otherwise(F.upper(ch))
+            return F.when(F.length(m) == 1, m).otherwise(ch)
 
-    return F.array_join(F.transform(chars, mapped), "")
+        return F.array_join(F.transform(chars, mapped), "")
+
+    return let(F.split(c, ""), told)
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -234,11 +236,14 @@ def spaced(tokens: Column) -> Column:
     """Tokens with a space before each but the first, closing marks, and what follows an opening mark."""
     before, after = _one_of(K.NO_SPACE_BEFORE), _one_of(K.NO_SPACE_AFTER)
 
-    def piece(t, i):
-        glued = (i == 0) | t.rlike(f"^{before}") | F.coalesce(F.get(tokens, i - 1), F.lit("")).rlike(f"{after}$")
-        return F.when(glued, t).otherwise(F.concat(F.lit(" "), t))
+    def told(all_):
+        def piece(t, i):
+            glued = (i == 0) | t.rlike(f"^{before}") | F.coalesce(F.get(all_, i - 1), F.lit("")).rlike(f"{after}$")
+            return F.when(glued, t).otherwise(F.concat(F.lit(" "), t))
+
+        return F.transform(all_, piece)
 
-    return F.transform(tokens, piece)
+    return let(tokens, told)
 
 
 def detokenize(tokens: Column) -> Column:

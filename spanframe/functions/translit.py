@@ -83,11 +83,14 @@ def corpus_latin_to_cyrillic(c: Column) -> Column:
 
 
 def moves(source: Column, to: str) -> Column:
-    """struct(text, old, new): the other alphabet's text, and where each piece ends in both, from 0 on."""
+    """struct(text, at): the other alphabet's text, and for each place of the old text, its end too, the place in the new one; null inside a pair."""
 
     def told(pieces):
-        ends = lambda c: F.concat(F.array(F.lit(0)), F.transform(with_offsets(F.transform(pieces, lambda p: p[c])), lambda o: o["end"]))
-        return F.struct(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"), ends("source").alias("old"), ends("piece").alias("new"))
+        ends = let(with_offsets(F.transform(pieces, lambda p: p["piece"])), lambda o: F.concat(F.array(F.lit(0)), F.transform(o, lambda x: x["end"])))
+        # A pair of letters takes two old places, of which the first is inside it.
+        own = lambda e: F.zip_with(pieces, F.slice(e, F.lit(2), F.size(pieces)), lambda p, x: F.when(F.length(p["source"]) == 2, F.array(F.lit(None).cast("int"), x)).otherwise(F.array(x)))
+        at = F.concat(F.array(F.lit(0)), F.flatten(let(ends, own)))
+        return F.struct(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"), at.alias("at"))
 
     return let(latin_pieces(source) if to == "latin" else cyrillic_pieces(source), told)
 
@@ -98,9 +101,7 @@ def transliterate(text: Column, entities: Column, to: str) -> Column:
     A span may not begin or end inside a pair that becomes one letter, nor vanish.
     """
     def told(new):
-        def moved(at):
-            return F.element_at(new["new"], F.nullif(F.array_position(new["old"], at).cast("int"), F.lit(0)))
-
+        moved = lambda at: F.get(new["at"], at)
         spans = F.transform(entities, lambda e: F.struct(e["label"].alias("label"), moved(e["start"]).alias("start"), moved(e["end"]).alias("end")))
         reason = F.when(F.exists(spans, lambda e: e["start"].isNull() | e["end"].isNull()), "inside a pair").when(F.exists(spans, lambda e: e["start"] >= e["end"]), "vanished")
         return F.struct(F.when(reason.isNull(), new["text"]).alias("text"), F.when(reason.isNull(), spans).alias("entities"), reason.alias("reason"))

@@ -42,7 +42,7 @@ def transliterated_chunks(records: DataFrame, key: str, to: str, seed: int, whol
     grown = F.length("_m.text") - (F.col("_b") - F.col("_a"))
 
     def moved(at):
-        inside = F.element_at(F.col("_m.new"), F.nullif(F.array_position(F.col("_m.old"), at - F.col("_a")).cast("int"), F.lit(0)))
+        inside = F.get(F.col("_m.at"), (at - F.col("_a")).cast("int"))
         return F.when(at < F.col("_a"), at).when(at > F.col("_b"), at + grown).otherwise(F.col("_a") + inside)
 
     spans = F.transform("entities", lambda e: F.struct(e["label"].alias("label"), moved(e["start"]).alias("start"), moved(e["end"]).alias("end")))

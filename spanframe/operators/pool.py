@@ -37,7 +37,7 @@ def split_ending(c: Column, known: Column) -> Column:
     cut = candidate_splits(c)
     by_stem = F.filter(cut, lambda s: F.array_contains(known, F.lower(s["stem"])))
     plain = lambda e: F.regexp_replace(F.lower(e), f"^{_MARKS}", "")
-    telling = F.filter(cut, lambda s: plain(s["ending"]).isin(*K.CLEAR_ENDINGS) & (F.regexp_count(s["stem"], F.lit(r"\p{L}")) >= 4))
+    telling = F.filter(cut, lambda s: plain(s["ending"]).isin(*K.CLEAR_ENDINGS) & (F.regexp_count(F.element_at(F.concat(F.array(F.lit("")), words(s["stem"])), -1), F.lit(r"\p{L}")) >= 4))
     whole = F.struct(c.alias("stem"), F.lit("").alias("ending"))
     return F.coalesce(F.get(by_stem, F.lit(0)), F.get(telling, F.lit(0)), whole)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanframe.functions.text import fold_apostrophes
+from spanframe.functions.constants import PROMPT_APOSTROPHES
 
 
 def overlapping(tokens: DataFrame, spans: DataFrame) -> DataFrame:
@@ -78,26 +82,61 @@ def word_bounds(words: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     return hit.withColumn("lost", F.col("k") >= width)
 
 
-def align_surfaces(text: Column, items: Column, labels: tuple[str, ...]) -> Column:
+def placed(text: str, items: list[tuple[str, str]], labels: Sequence[str]) -> list[tuple[int, int, str]]:
     """Spans of surfaces named in order: each at its first free place, exact, with folded apostrophes, then caseless.
 
-    items: array of struct(text, label). Unknown labels and surfaces that are not found are dropped.
+    Places once taken stay taken, so a surface's search goes on from its last place: a text is read once for each
+    different surface.
     """
-    zero = F.array().cast("array<struct<start:int,end:int,type:string>>")
-
-    def places(hay, needle):
-        starts = F.sequence(F.lit(1), F.greatest(F.length(hay) - F.length(needle) + 1, F.lit(1)))
-        return F.filter(starts, lambda i: F.substring(hay, i, F.length(needle)) == needle)
-
-    folded = fold_apostrophes(text)
+    folded = text.translate(_FOLD)
+    hays = (text, folded, _lower(folded))
+    starts: list[int] = []
+    ends: list[int] = []
+    since: dict[tuple[int, str], int] = {}
+    out = []
+    for surface, label in items:
+        surface, label = (surface or "").strip(" "), (label or "").upper()
+        if not surface or label not in labels:
+            continue
+        plain = surface.translate(_FOLD)
+        for kind, needle in enumerate((surface, plain, _lower(plain))):
+            at = hays[kind].find(needle, since.get((kind, needle), 0))
+            while at >= 0:
+                i = bisect_right(starts, at)
+                if (not i or ends[i - 1] <= at) and (i == len(starts) or starts[i] >= at + len(needle)):
+                    break
+                at = hays[kind].find(needle, at + 1)
+            since[kind, needle] = len(text) + 1 if at < 0 else at
+            if at >= 0:
+                starts.insert(i, at)
+                ends.insert(i, at + len(needle))
+                out.append((at, at + len(needle), label))
+                break
+    return sorted(out)
+
+
+_FOLD = {ord(c): "'" for c in PROMPT_APOSTROPHES}
+
+
+def _lower(text: str) -> str:
+    """Lower case where that is one character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def align_surfaces(df: DataFrame, labels: Sequence[str], text_col: str = "text", items_col: str = "items") -> DataFrame:
+    """df and spans (array of struct start, end, type) of items (array of struct text, label) as placed() finds them.
+
+    Unknown labels and surfaces that are not found are dropped; a null text or list has no spans.
+    """
+    kind = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "type": pa.string()}))
+    names = df.columns
 
-    def step(used, item):
-        surface, label = F.trim(item["text"]), F.upper(item["label"])
-        size = F.length(surface)
-        free = lambda i: ~F.exists(used, lambda u: (i - 1 < u["end"]) & (i - 1 + size > u["start"]))
-        at = lambda hay, needle: F.get(F.filter(places(hay, needle), free), F.lit(0))
-        found = F.coalesce(at(text, surface), at(folded, fold_apostrophes(surface)), at(F.lower(folded), F.lower(fold_apostrophes(surface))))
-        span = F.struct((found - 1).alias("start"), (found - 1 + size).alias("end"), label.alias("type"))
-        return F.when((size > 0) & label.isin(*labels) & found.isNotNull(), F.concat(used, F.array(span))).otherwise(used)
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column(names.index(text_col)).to_pylist(), b.column(names.index(items_col)).to_pylist(), strict=True)
+            found = [[{"start": s, "end": e, "type": t} for s, e, t in placed(text or "", [(i["text"], i["label"]) for i in items or []], labels)] for text, items in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*names, "spans"])
 
-    return F.array_sort(F.aggregate(items, zero, step))
+    schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+    return df.mapInArrow(run, f"{schema}, spans array<struct<start:int,end:int,type:string>>")

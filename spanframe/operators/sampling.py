@@ -18,6 +18,15 @@ def quotas(weights: Mapping[str, float], size: int) -> dict[str, int]:
     return out
 
 
+def allocated(weights: DataFrame, key: str, weight: str, size: int) -> DataFrame:
+    """(key, quota) by the rule of quotas() over the rows' shares of the weight; keys are sources, of which there are few."""
+    every = Window.partitionBy(F.lit(0))
+    share = weights.select(key, F.col(weight).cast("double").alias("_w")).withColumn("quota", F.bround(F.col("_w") / F.sum("_w").over(every) * size, 0).cast("long"))
+    first = F.row_number().over(every.orderBy(F.desc("_w"), key)) == 1
+    rest = F.lit(size) - F.sum("quota").over(every)
+    return share.select(key, (F.col("quota") + F.when(first, rest).otherwise(0)).alias("quota"))
+
+
 def subset_seed(seed: int, subset: str) -> int:
     """Another seed for each subset, the same in every run."""
     return seed + ("train", "val").index(subset)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.constants import LABELS
+from spanframe.functions.text import let
 
 
 def sorted_entities(entities: Column) -> Column:
@@ -20,8 +21,8 @@ def entity_errors(entities: Column, text_length: Column, labels: tuple[str, ...]
     """bad_label (domain, or any non-empty string without one), bad_bounds, duplicate and overlap (half-open)."""
     known = (lambda e: e["label"].isin(*labels)) if labels else (lambda e: F.coalesce(e["label"], F.lit("")) != "")
     in_text = lambda e: F.coalesce((e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= text_length), F.lit(False))
-    own = sorted_entities(entities)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 1, F.lit(1))), lambda i: F.coalesce(F.get(own, i)["start"] < F.get(own, i - 1)["end"], F.lit(False)))
+    cross = lambda own, i: F.coalesce(F.get(own, i)["start"] < F.get(own, i - 1)["end"], F.lit(False))
+    pairs = let(sorted_entities(entities), lambda own: F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - 1, F.lit(1))), lambda i: cross(own, i)))
     return {
         "bad_label": ~F.forall(entities, lambda e: F.coalesce(known(e), F.lit(False))),
         "bad_bounds": ~F.forall(entities, in_text),

@@ -96,9 +96,12 @@ def window_score_average(spark, sf_dir):
 _WEIGHTS = {"src1": 0.35, "src2": 0.25, "src3": 0.25, "src4": 0.15}
 
 
-@query("SELECT * FROM (VALUES ('src1', 36), ('src2', 25), ('src3', 25), ('src4', 15)) v(source, quota)")
+@query("""WITH n AS (SELECT source, sum(n_chars)::DOUBLE AS w FROM documents GROUP BY 1), q AS (SELECT source, round_even(w / sum(w) OVER () * 1001, 0)::BIGINT AS quota, row_number() OVER (ORDER BY w DESC, source) AS i FROM n)
+SELECT source, quota + CASE WHEN i = 1 THEN 1001 - (SELECT sum(quota) FROM q) ELSE 0 END::BIGINT AS quota FROM q""")
 def quota_allocation(spark, sf_dir):
-    return spark.createDataFrame(list(R.quotas(_WEIGHTS, 101).items()), "source string, quota int")
+    """1,001 places dealt to the sources by their characters."""
+    chars = _docs(spark, sf_dir, "source", "n_chars").groupBy("source").agg(F.sum("n_chars").alias("weight"))
+    return R.allocated(chars, "source", "weight", 1001)
 
 
 @query("""WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT * FROM (VALUES ('src1', 35), ('src2', 25), ('src3', 25), ('src4', 15)) v(source, k)),

@@ -78,23 +78,40 @@ def bioes_records(spark, sf_dir):
     return _runs(_document_tags(spark, sf_dir), False)
 
 
-_ITEMS = [("ORG", "Bank"), ("GEO", "O'zbekiston"), ("ORG", "Bank"), ("NAME", "ali"), ("FOO", "bor"), ("GEO", "yo'q")]
-
-
-@query("SELECT * FROM (VALUES (0, 4, 'ORG'), (5, 9, 'ORG'), (10, 21, 'GEO'), (24, 27, 'NAME')) v(start, \"end\", type)")
+@query(SPANS_SQL.replace("WITH w AS", "WITH RECURSIVE w AS", 1) + """, it AS MATERIALIZED (SELECT c.doc_id, word AS surface, label_ AS label, row_number() OVER (PARTITION BY c.doc_id ORDER BY start) AS i FROM (SELECT c.doc_id, c.word, g.label AS label_, c.start FROM c JOIN gold g ON g.doc_id = c.doc_id AND g.start = c.start) c),
+oc AS MATERIALIZED (SELECT doc_id, surface, list_transform(range(1, len(parts)), lambda k: list_sum(list_transform(parts[:k], lambda x: length(x)))::BIGINT + (k - 1) * length(surface)) AS places
+ FROM (SELECT doc_id, surface, string_split(text, surface) AS parts FROM (SELECT DISTINCT doc_id, surface FROM it) JOIN documents USING (doc_id))),
+ordered AS MATERIALIZED (SELECT it.*, places FROM it JOIN oc USING (doc_id, surface)),
+fold AS (SELECT doc_id, 0::BIGINT AS i, []::STRUCT(s BIGINT, e BIGINT)[] AS used, NULL::BIGINT AS start, NULL::VARCHAR AS label FROM (SELECT DISTINCT doc_id FROM it)
+ UNION ALL SELECT doc_id, i, CASE WHEN p IS NULL THEN used ELSE list_append(used, {'s': p, 'e': p + n}) END, p, label
+ FROM (SELECT f.doc_id, o.i, f.used, o.label, length(o.surface) AS n, list_min(list_filter(o.places, lambda x: len(list_filter(f.used, lambda u: x < u.e AND x + length(o.surface) > u.s)) = 0)) AS p FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.i = f.i + 1))
+SELECT doc_id, start, start + length(surface) AS "end", fold.label AS type FROM fold JOIN ordered USING (doc_id, i) WHERE start IS NOT NULL""")
 def align_surfaces(spark, sf_dir):
-    text = F.lit("Bank Bank Oʻzbekistonda Ali bor")
-    items = F.array(*(F.struct(F.lit(t).alias("text"), F.lit(n).alias("label")) for n, t in _ITEMS))
-    return spark.range(1).select(F.explode(A.align_surfaces(text, items, LABELS)).alias("s")).select("s.*")
+    """Each document's own gold surfaces, in order, at their first free places; all are found as they stand."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    gold = gold_spans(docs).select("doc_id", F.col("start").alias("at"), "label").join(word_table(docs).select("doc_id", F.col("start").alias("at"), F.col("word").alias("surface")), ["doc_id", "at"])
+    items = gold.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "surface", "label"))).alias("i"))
+    listed = F.transform("i", lambda x: F.struct(x["surface"].alias("text"), x["label"].alias("label")))
+    out = A.align_surfaces(docs.join(items, "doc_id").select("doc_id", "text", listed.alias("items")), LABELS)
+    return out.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.type")
 
 
-_ANSWERS = ['{"entities": [{"text": "a", "label": "ORG"}]}', 'Sure:\n```json\n{"entities": [{"text": "b", "label": "GEO"}]}\n```', '{"entities": [{"text": "c", "label": "ORG"}, {"text": "d", "la', '{"entities": [{"text": "e", "label": "GEO"}', "nothing", ""]
+_NAMED = "regexp_extract_all(text, '[A-Za-z]{4,}')"
 
 
-@query("SELECT * FROM (VALUES (0, 'a', 'ORG'), (1, 'b', 'GEO'), (2, 'c', 'ORG'), (3, 'e', 'GEO')) v(id, text, label)")
+@query(f"""WITH c AS (SELECT conv_id, turn, list_distinct({_NAMED}[:4]) AS w FROM conversations), n AS (SELECT conv_id, turn, list_sort(w) AS w FROM c WHERE len(w) > 0),
+k AS (SELECT *, CASE (conv_id + turn) % 4 WHEN 2 THEN len(w) - 1 WHEN 3 THEN 0 ELSE len(w) END AS n FROM n), e AS (SELECT conv_id, turn, unnest(w[:n]) AS text FROM k)
+SELECT conv_id, turn, text, CASE WHEN length(text) % 2 = 0 THEN 'ORG' ELSE 'GEO' END AS label FROM e""")
 def parse_json_lenient(spark, sf_dir):
-    df = spark.createDataFrame(list(enumerate(_ANSWERS)), "id int, raw string")
-    return df.select("id", F.explode(L.parse_lenient(F.col("raw"))).alias("e")).select("id", "e.*")
+    """Answers made of the turns' first words: plain, fenced with words around, cut inside the last entity, or no JSON."""
+    w = F.array_sort(F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), 1, 4)))
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", w.alias("w")).where(F.size("w") > 0)
+    entity = F.transform("w", lambda x: F.concat(F.lit('{"text": "'), x, F.lit('", "label": "'), F.when(F.length(x) % 2 == 0, "ORG").otherwise("GEO"), F.lit('"}')))
+    whole = F.concat(F.lit('{"entities": ['), F.array_join(entity, ", "), F.lit("]}"))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    raw = F.when(kind == 0, F.col("whole")).when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), F.col("whole"), F.lit("\n```\ndone"))).when(kind == 2, F.when(F.size("w") > 1, F.expr("concat('{\"entities\": [', array_join(slice(e, 1, size(e) - 1), ', '), ', {\"text\": \"cut')")).otherwise("{")).otherwise("nothing to say")
+    rows = c.select("*", entity.alias("e"), whole.alias("whole")).select("conv_id", "turn", raw.alias("raw"))
+    return rows.select("conv_id", "turn", F.explode(L.parse_lenient(F.col("raw"))).alias("x")).select("conv_id", "turn", "x.*")
 
 
 @query("SELECT item_id, 'Text: Salom' || chr(10) || 'Answer: {}' || chr(10) || chr(10) || 'Text: ' || text || chr(10) || 'Answer:' AS prompt FROM benchmark")

@@ -92,14 +92,19 @@ def same_bounds_other_label(spark, sf_dir):
     return pred.withColumnRenamed("label", "pred_label").join(g, ["doc_id", "start", "end"]).where("gold_label <> pred_label").select("doc_id", "start", "end", "gold_label", "pred_label")
 
 
-@query("""WITH e AS (SELECT doc_id, n_chars, label, s, e FROM documents, (VALUES ('ORG', 0, 5), ('PER', 1, 3), ('GEO', 400, 900), ('NAME', 2, 2), ('ORG', 0, 5)) v(label, s, e)),
-v AS (SELECT doc_id, bool_or(label NOT IN ('ORG', 'NAME', 'GEO')) AS bad_label, bool_or(NOT (0 <= s AND s < e AND e <= n_chars)) AS bad_bounds FROM e GROUP BY 1)
-SELECT doc_id, bad_label, bad_bounds, true AS duplicate, true AS overlap FROM v""")
+@query(SPANS_SQL + """, g AS (SELECT doc_id, start, "end", label FROM gold UNION ALL SELECT doc_id, start, "end", label FROM gold WHERE start % 11 = 0 UNION ALL SELECT doc_id, start + 2, "end" + 2, 'PER' FROM gold WHERE start % 7 = 0 UNION ALL SELECT doc_id, start, "end" + 100000, label FROM gold WHERE start % 13 = 0),
+n AS (SELECT g.*, length(text) AS n_chars, lead(start) OVER (PARTITION BY g.doc_id ORDER BY start, "end", label) AS next_start FROM g JOIN documents USING (doc_id)),
+d AS (SELECT doc_id, max(c) > 1 AS duplicate FROM (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id, start, "end", label) GROUP BY 1)
+SELECT n.doc_id, bool_or(label NOT IN ('ORG', 'NAME', 'GEO')) AS bad_label, bool_or(NOT (0 <= start AND start < "end" AND "end" <= n_chars)) AS bad_bounds, any_value(d.duplicate) AS duplicate, coalesce(bool_or(next_start < "end"), false) AS overlap FROM n JOIN d USING (doc_id) GROUP BY 1""")
 def entity_validation(spark, sf_dir):
-    given = [("ORG", 0, 5), ("PER", 1, 3), ("GEO", 400, 900), ("NAME", 2, 2), ("ORG", 0, 5)]
-    entities = F.array(*(F.struct(F.lit(n).alias("label"), F.lit(s).alias("start"), F.lit(e).alias("end")) for n, s, e in given))
-    errors = entity_errors(entities, F.length("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", *(errors[c].alias(c) for c in ("bad_label", "bad_bounds", "duplicate", "overlap")))
+    """Gold spans, some of them twice, moved under another label, or beyond the text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    gold = gold_spans(docs)
+    every = gold.unionAll(gold.where("start % 11 = 0")).unionAll(gold.where("start % 7 = 0").select("doc_id", F.col("start") + 2, F.col("end") + 2, F.lit("PER"))).unionAll(gold.where("start % 13 = 0").select("doc_id", "start", F.col("end") + 100_000, "label"))
+    one = F.struct("label", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    rows = docs.join(every.groupBy("doc_id").agg(F.collect_list(one).alias("entities")), "doc_id")
+    errors = entity_errors(F.col("entities"), F.length("text"))
+    return rows.select("doc_id", *(errors[c].alias(c) for c in ("bad_label", "bad_bounds", "duplicate", "overlap")))
 
 
 @query(SPANS_SQL + "SELECT label, count(*) AS n FROM gold GROUP BY label")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import constants as K
 from spanframe.functions.text import repair_mojibake, strip
-from spanframe.operators.ordered import islands
+from spanframe.operators.ordered import running_before
 from spanframe.operators.validation import valid
 
 RECORD = "hash string, text string, entities array<struct<label:string,start:int,end:int>>, source string"
@@ -18,15 +18,16 @@ RECORD = "hash string, text string, entities array<struct<label:string,start:int
 
 def read_jsonl(spark: SparkSession, path: str, strict: bool = True, labels: tuple[str, ...] | None = None, require_entities: bool = False, limit: int | None = None) -> DataFrame:
     """Records of JSON lines. Strict: a blank or bad line, an empty or repeated hash, invalid entities or a file set
-    without records raise an error that names the file. limit: the first so many records by file and place.
+    without records raise an error that names the file and the line. limit: the first so many records by file and place.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * F.lit(1)).alias("block"))
-    lines = lines.withColumn("turn", F.monotonically_increasing_id())
+    lines = _lines(spark, path)
     if not strict:
         lines = lines.where(F.col("value").rlike(r"\S"))
     if limit is not None:
         lines = lines.orderBy("file", "block", "turn").limit(limit)
-    parsed = lines.select("value", "file", F.try_parse_json("value").alias("json"), F.from_json("value", RECORD).alias("r"))
+    if strict:
+        lines = running_before(lines, F.lit(1), ["turn"], F.col("block"), ["file"], "line")
+    parsed = lines.select("value", F.concat_ws(":", "file", *([(F.col("line") + 1).cast("string")] if strict else [])).alias("file"), F.try_parse_json("value").alias("json"), F.from_json("value", RECORD).alias("r"))
     if not strict:
         return parsed.select("r.*")
     if not lines.limit(1).count():
@@ -53,33 +54,54 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_tagged_tsv(spark: SparkSession, path: str, sentence: str, token: str, tag: str, fix_mojibake: bool = False) -> DataFrame:
-    """sentence (running number), tokens, tags: rows of one key in a row are one sentence; rows without token go, no tag is O.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, turn, value) of text files: lines of a split stand in the order of turn, splits in that of block, the byte where they begin.
 
-    One file is read as one split, so that its line order is known; several files go in parallel.
+    A large file is read as several splits, in any store; a line belongs to the split that it begins in.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    head = rows.where("line = 0").select("file", F.split("value", "\t").alias("names"))
-    cells = rows.where("line > 0").join(head, "file").withColumn("c", F.split("value", "\t"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * F.lit(1)).alias("block"), "value")
+    return lines.withColumn("turn", F.monotonically_increasing_id())
+
+
+def _told_before(lines: DataFrame, key: str) -> DataFrame:
+    """lines with `new`, 1 where the key is not that of the line before in the file: across splits that of the last line of an earlier one."""
+    split = Window.partitionBy("file", "block").orderBy("turn")
+    rows = lines.withColumns({"_first": F.row_number().over(split) == 1, "_before": F.lag(key).over(split)})
+    last = lines.groupBy("file", "block").agg(F.max_by(F.struct(key), "turn").alias("_last"))  # a row a split
+    earlier = last.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.lag("_last").over(Window.partitionBy("file").orderBy("block")).alias("_earlier"))
+    joined = rows.join(earlier, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    inside = ~F.col(key).eqNullSafe(F.col("_before"))
+    across = F.col("_earlier").isNull() | ~F.col(key).eqNullSafe(F.col(f"_earlier.{key}"))
+    new = F.when(F.col("_first"), across).otherwise(inside).cast("int")
+    return joined.withColumn("new", new).drop("_first", "_before", "_file", "_block", "_earlier")
+
+
+def read_tagged_tsv(spark: SparkSession, path: str, sentence: str, token: str, tag: str, fix_mojibake: bool = False, least: int = 1) -> DataFrame:
+    """sentence (running number), tokens, tags: rows of one key in a row are one sentence; rows without token or with fewer
+    columns than `least` go, no tag is O. The first line names the columns. Files are split; a sentence may run over a split's end.
+    """
+    lines = _lines(spark, path)
+    first = lines.where("block = 0").groupBy("file").agg(F.min("turn").alias("_head"), F.min_by(F.split("value", "\t"), "turn").alias("names"))
+    cells = lines.join(first, "file").where(~((F.col("block") == 0) & (F.col("turn") == F.col("_head")))).withColumn("c", F.split("value", "\t")).where(F.size("c") >= least)
     at = lambda n: F.get("c", F.array_position("names", n).cast("int") - 1)
-    table = cells.select("file", "line", at(sentence).alias("key"), at(token).alias("token"), F.coalesce(F.nullif(at(tag), F.lit("")), F.lit("O")).alias("tag")).where(F.coalesce("token", F.lit("")) != "")
+    table = cells.select("file", "block", "turn", at(sentence).alias("key"), at(token).alias("token"), F.coalesce(F.nullif(at(tag), F.lit("")), F.lit("O")).alias("tag")).where(F.coalesce("token", F.lit("")) != "")
     if fix_mojibake:
         table = table.withColumn("token", repair_mojibake(F.col("token")))
-    return _sentences(islands(table, "key", "line", "file"))
+    told = _told_before(table, "key")
+    numbered = running_before(told, F.col("new"), ["turn"], F.col("block"), ["file"], "island")
+    return _sentences(numbered.withColumn("island", F.col("island") + F.col("new")))
 
 
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
     """The same of text with a token in the first and a tag in the last column; blank lines end sentences."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     blank = (strip(F.col("value")) == "").cast("int")
-    number = F.sum(blank).over(Window.partitionBy("file").orderBy("line")).cast("long")
+    rows = running_before(_lines(spark, path), blank, ["turn"], F.col("block"), ["file"], "island")
     parts = F.split(strip(F.col("value")), r"\s+")
-    table = rows.withColumn("island", number).where(blank == 0).select("file", "line", "island", F.get(parts, F.lit(0)).alias("token"), F.element_at(parts, -1).alias("tag"))
-    return _sentences(table)
+    return _sentences(rows.where(blank == 0).select("file", "block", "turn", "island", F.get(parts, F.lit(0)).alias("token"), F.element_at(parts, -1).alias("tag")))
 
 
 def _sentences(table: DataFrame) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("line", "token", "tag")))
+    rows = F.sort_array(F.collect_list(F.struct("block", "turn", "token", "tag")))
     grouped = table.groupBy("file", "island").agg(rows.alias("r"))
     return grouped.select("file", F.col("island").alias("sentence"), F.transform("r", lambda x: x["token"]).alias("tokens"), F.transform("r", lambda x: x["tag"]).alias("tags"))
 

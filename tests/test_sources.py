@@ -1,5 +1,7 @@
 """Readers and writers, round trips and refusals."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def test_jsonl_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("line", ["{", '{"hash":"a","text":"x"}\n\n{"hash":"b","text":"x"}', "[]", '{"hash":"","text":"x"}', '{"hash":"h","text":"x","entities":[{"label":"A","start":0,"end":5}]}', '{"hash":"a","text":"x"}\n{"hash":"a","text":"y"}'])
 def test_strict_reader_refuses(spark, tmp_path, line):
     (tmp_path / "bad.jsonl").write_text(line + "\n")
-    with pytest.raises(Exception, match=r"invalid record in .*bad.jsonl|repeated hash"):
+    with pytest.raises(Exception, match=r"invalid record in .*bad.jsonl:[12]: |repeated hash"):
         S.read_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
@@ -51,6 +53,59 @@ def test_conll(spark, tmp_path):
     assert [(r["tokens"], r["tags"]) for r in got] == [(["Ali", "keldi"], ["B-PER", "O"]), (["Uy"], ["O"])]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files in splits of 40 bytes, a partition each."""
+    names = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "40"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def sentences(df):
+    return [(r["tokens"], r["tags"]) for r in df.orderBy("file", "sentence").collect()]
+
+
+def test_conll_in_many_splits(spark, tmp_path, small_splits):
+    rnd = random.Random(3)
+    want = []
+    for name in ("a.txt", "b.txt"):
+        lines = []
+        for _ in range(40):
+            own = [(f"w{rnd.randint(0, 10**rnd.randint(0, 9))}", rnd.choice(["O", "B-ORG"])) for _ in range(rnd.randint(1, 6))]
+            want.append(([w for w, _ in own], [t for _, t in own]))
+            lines += [f"{w} x {t}" for w, t in own] + [""] * rnd.randint(1, 3)
+        (tmp_path / name).write_text("\r\n".join(lines))
+    rows = S.read_conll(spark, str(tmp_path))
+    assert rows.sparkSession.read.text(str(tmp_path)).rdd.getNumPartitions() > 14
+    assert sentences(rows) == want
+
+
+def test_tagged_tsv_in_many_splits(spark, tmp_path, small_splits):
+    rnd = random.Random(4)
+    lines, want, key = ["S\tN\tT\tG"], [], 0
+    for _ in range(60):
+        key = rnd.choice([key + 1, key + 1, key - 1])
+        own = [(f"w{rnd.randint(0, 10**6)}", rnd.choice(["O", "B-PER", ""])) for _ in range(rnd.randint(1, 7))]
+        lines += [line for w, t in own for line in (f"{key}\t1\t{w}\t{t}", *([f"{key}\t1\tshort"] * rnd.randint(0, 1)), *([f"{key}\t2\t\tO"] * rnd.randint(0, 1)))]
+        want.append(([w for w, _ in own], [t or "O" for _, t in own]))
+    (tmp_path / "g.tsv").write_text("\n".join(lines) + "\n")
+    assert sentences(S.read_tagged_tsv(spark, str(tmp_path / "g.tsv"), "S", "T", "G", least=4)) == want
+    assert S.read_conll(spark, str(tmp_path / "g.tsv")).count() == 1
+
+
+def test_lines_of_errors_over_splits(spark, tmp_path, small_splits):
+    good = "".join(f'{{"hash":"h{i}","text":"x","entities":[]}}\n' for i in range(9))
+    (tmp_path / "r.jsonl").write_text(good)
+    assert S.read_jsonl(spark, str(tmp_path / "r.jsonl")).count() == 9
+    (tmp_path / "r.jsonl").write_text(good + "{\n")
+    with pytest.raises(Exception, match=r"r.jsonl:10: "):
+        S.read_jsonl(spark, str(tmp_path / "r.jsonl")).collect()
+
+
 def test_bucket_and_cache(spark, tmp_path):
     df = spark.range(10).select("id", F.concat(F.lit("text "), "id").alias("text"))
     for _ in range(2):

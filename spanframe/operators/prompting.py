@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.operators.alignment import align_surfaces
+
 ENTITIES = "array<struct<text:string,label:string>>"
 
 
@@ -37,22 +43,56 @@ def parse_lenient(raw: Column) -> Column:
     return F.filter(F.coalesce(*[F.when(closed.isNotNull(), r) for r in read], F.from_json(F.lit("[]"), ENTITIES)), lambda e: e.isNotNull())
 
 
-def answered(df: DataFrame, call, prompt_col: str = "prompt") -> DataFrame:
-    """Adds `raw` by call(list of prompts) -> list of answers, batch by batch; what fails is null. The caller brings the client."""
-    import pandas as pd
+def answered(df: DataFrame, call: Callable[[str], str], prompt_col: str = "prompt", attempts: int = 3, at_once: int = 8) -> DataFrame:
+    """df with `raw`, the answer of call(prompt), and `error`, why there is none. The caller brings the client.
 
+    A partition keeps at most at_once calls in the air and gives its rows back in their order; a call that fails is
+    made again, `attempts` times in all, and fails its own row only. A null prompt is not asked.
+    """
     names = df.columns
+    place = names.index(prompt_col)
 
-    def run(frames):
-        for f in frames:
+    def one(prompt: str | None) -> tuple[str | None, str | None]:
+        why = None
+        for _ in range(attempts if prompt is not None else 0):
             try:
-                raw = call(list(f[prompt_col]))
-            except Exception:  # one failed batch must not fail the job: its rows stay, unanswered
-                raw = [None] * len(f)
-            yield f.assign(raw=pd.Series(raw, index=f.index, dtype=object))[[*names, "raw"]]
+                return call(prompt), None
+            except Exception as e:  # whatever the client raises is the row's reason
+                why = f"{type(e).__name__}: {e}"
+        return None, why
+
+    def run(batches):
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                for at in range(0, b.num_rows, 16 * at_once):  # the pool's queue stays short
+                    part = b.slice(at, 16 * at_once)
+                    raw, error = zip(*pool.map(one, part.column(place).to_pylist()), strict=True)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.string()), pa.array(error, pa.string())], names=[*names, "raw", "error"])
 
     kinds = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
-    return df.mapInPandas(run, f"{kinds}, raw string")
+    return df.mapInArrow(run, f"{kinds}, raw string, error string")
+
+
+def extracted(docs: DataFrame, call: Callable[[str], str], labels: Sequence[str], shots: Sequence[tuple[str, str]] = (), id_col: str = "doc_id", attempts: int = 3, at_once: int = 8) -> DataFrame:
+    """(id, spans, error) of documents (id, text): prompt, answer, lenient reading, surfaces placed in the text.
+
+    spans: array of struct(start, end, type), empty where the answer names nothing that the text holds; null, with
+    the reason in error, where there is no answer.
+    """
+    asked = docs.select(id_col, "text").withColumn("prompt", user_prompt(F.col("text"), list(shots)))
+    told = answered(asked, call, "prompt", attempts, at_once).withColumn("items", parse_lenient(F.col("raw")))
+    out = align_surfaces(told.select(id_col, "text", "raw", "error", "items"), labels)
+    return out.select(id_col, F.when(F.col("raw").isNotNull(), F.col("spans")).alias("spans"), "error")
+
+
+def errors_dumped(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, missed, spurious, text) of the documents whose spans (id, start, end, label) differ: what to read when a run went wrong."""
+    g = gold.select("doc_id", "start", "end", "label").distinct().withColumn("g", F.lit(True))
+    p = predicted.select("doc_id", "start", "end", "label").distinct().withColumn("p", F.lit(True))
+    wrong = g.join(p, ["doc_id", "start", "end", "label"], "full_outer").where("g is null or p is null")
+    one = F.struct("start", "end", "label")
+    sides = wrong.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("p").isNull(), one))).alias("missed"), F.sort_array(F.collect_list(F.when(F.col("g").isNull(), one))).alias("spurious"))
+    return sides.join(docs.select("doc_id", "text"), "doc_id")
 
 
 def response(df: DataFrame) -> DataFrame:

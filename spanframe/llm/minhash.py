@@ -152,9 +152,13 @@ def _side(classes: DataFrame, side: str, key: str) -> DataFrame:
     return classes.select(F.col("uid").alias(key), F.col("n").alias(f"n_{side}"), *(F.col(f"bits{i}").alias(f"bits{i}_{side}") for i in range(BITMAP)))
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """Those of the pairs (u, v) of classes that link, on the full sets; None where sizes and bitmaps leave no pair."""
-    able = pairs.join(_side(classes, "x", "u"), "u").join(_side(classes, "y", "v"), "v").where(may_link("x", "y", num, den)).select("u", "v")
+def able_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (u, v) of classes that sizes and bitmaps allow to link."""
+    return pairs.join(_side(classes, "x", "u"), "u").join(_side(classes, "y", "v"), "v").where(may_link("x", "y", num, den)).select("u", "v")
+
+
+def confirmed(able: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """Those of the pairs (u, v) of classes that link, on the full sets; None where there is no pair."""
     able = stored(able, "candidates")
     if able.isEmpty():
         dropped(able)
@@ -197,7 +201,7 @@ def class_components(rows: DataFrame, classes: DataFrame, k: int, num: int, den:
     members = classes.select("uid", F.explode("keys").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("uid").alias("center"), F.count("*").alias("size")).where("size > 1")
     met = stored(members.join(heads, "bucket").where("uid <> center"), "met")
-    links = confirmed(met.select(*_ordered("uid", "center")).distinct(), rows, classes, k, num, den)
+    links = confirmed(able_pairs(met.select(*_ordered("uid", "center")).distinct(), classes, num, den), rows, classes, k, num, den)
     label = None if links is None else _joined(None, links)
     rest, taken = met.where("size > 2").select("bucket", "uid"), STRAYS
     while True:
@@ -216,7 +220,10 @@ def class_components(rows: DataFrame, classes: DataFrame, k: int, num: int, den:
         strays = open_.where("component <> main")
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))
         centers = strays.withColumn("turn", turn).where(F.col("turn") <= taken).select("bucket", F.col("uid").alias("center"), F.col("component").alias("other"))
-        pairs = open_.join(centers, "bucket").where("component <> other").select(*_ordered("uid", "center")).distinct()
+        # Sizes and bitmaps travel with the few open buckets' classes, so what cannot link is never a row.
+        here = open_.select("bucket", "component", "uid").join(_side(classes, "x", "uid"), "uid")
+        there = centers.join(_side(classes, "y", "center"), "center")
+        pairs = here.join(there, (here["bucket"] == there["bucket"]) & (F.col("component") != F.col("other")) & may_link("x", "y", num, den)).select(*_ordered("uid", "center")).distinct()
         links = confirmed(pairs, rows, classes, k, num, den)
         label = label if links is None else _joined(label, links)
         rest = open_.join(centers.select("bucket", F.col("center").alias("uid")), ["bucket", "uid"], "left_anti").select("bucket", "uid")

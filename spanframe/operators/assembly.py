@@ -13,15 +13,16 @@ from spanframe.operators.ordered import capped, row_index
 from spanframe.operators.sampling import hash_bucket, shuffled
 
 
-def assembled(sentences: DataFrame, mapping: Mapping[str, str], size: int = 4) -> DataFrame:
+def assembled(sentences: DataFrame, mapping: Mapping[str, str], size: int = 4, bucket: Column | None = None) -> DataFrame:
     """hash, text, entities, source, lang, n_dropped: `size` sentences in a row of a source are one document, a line each.
 
     sentences: source, lang, sentence (their order), tokens, tags (BIO). Labels that mapping lacks go; spans that cut a
     word or hold no letter or digit go too and are counted in n_dropped. The last document of a source may be shorter.
+    bucket: what never decreases along sentence and holds some thousands of them; by default sentence / 4096.
     """
     names = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
     pieces = spaced(F.col("tokens"))
-    rows = row_index(sentences, ["sentence"], F.floor(F.col("sentence") / 4096), ["source"], "place")
+    rows = row_index(sentences, ["sentence"], F.floor(F.col("sentence") / 4096) if bucket is None else bucket, ["source"], "place")
     rows = rows.select("source", "lang", "place", "tokens", F.array_join(pieces, "").alias("line"), with_offsets(pieces).alias("at"), decode_tags(F.col("tags")).alias("runs"))
 
     def span(r):

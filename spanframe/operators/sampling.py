@@ -32,9 +32,12 @@ def subset_seed(seed: int, subset: str) -> int:
     return seed + ("train", "val").index(subset)
 
 
-def hash_bucket(column: str = "_h"):
-    """The first two hex digits of an md5 order: 256 buckets that follow the order."""
-    return F.substring(column, 1, 2)
+def hash_bucket(column: str = "_h", rows: int = 0):
+    """The first two hex digits of an md5 order, more for more than 25 million rows: buckets that follow the order, of some 100,000 rows."""
+    digits = 2
+    while rows > 100_000 * 16**digits:
+        digits += 1
+    return F.substring(column, 1, digits)
 
 
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -56,7 +59,7 @@ def draws(df: DataFrame, source: str, key: str, wanted: Mapping[str, int], seed:
 def rank_slice(df: DataFrame, key: str, seed: int, world: int, rank: int) -> DataFrame:
     """One rank's rows of an epoch: hash order, padded from its start to a multiple of world, every world-th row."""
     n = df.count()
-    rows = row_index(shuffled(df, seed, key), ["_h", key], hash_bucket()).drop("_h")
+    rows = row_index(shuffled(df, seed, key), ["_h", key], hash_bucket(rows=n)).drop("_h")
     pad = -n % world if n else 0
     return rows.unionAll(rows.where(F.col("idx") < pad).withColumn("idx", F.col("idx") + n)).where(F.pmod("idx", F.lit(world)) == rank)
 

@@ -35,7 +35,7 @@ def assembled_records(spark, sf_dir):
     names = F.array(*(F.lit(f"B-{x}") for x in (*LABELS, "OTHER")))
     tags = F.transform("tokens", lambda t: F.when(t.rlike("^[A-Z][a-z]+$"), F.get(names, F.length(t) % 4)).otherwise("O"))
     sentences = parts.select("source", "lang", (F.shiftleft("doc_id", 20) + F.col("i")).alias("sentence"), tokens.alias("tokens")).withColumn("tags", tags)
-    out = B.assembled(sentences, {x: x for x in LABELS})
+    out = B.assembled(sentences, {x: x for x in LABELS}, bucket=F.shiftright("sentence", 20 + 9))  # 512 documents
     total = lambda c: F.aggregate("entities", F.lit(0).cast("long"), lambda a, e: a + e[c])
     return out.select("hash", "source", F.length("text").cast("long").alias("n_chars"), F.size("entities").cast("long").alias("n"), total("start").alias("starts"), total("end").alias("ends"))
 

@@ -244,6 +244,11 @@ def test_substring_dedup_cuts_planted_passages(spark):
         else:
             assert got[i]["text"] == t
     assert got[0]["digest"] == "x" and substring_dedup.remove_repeats(documents(spark, [])).count() == 0
+    clash = documents(spark, texts).withColumnsRenamed({"digest": "key", "length": "parts", "n_tokens": "slot", "score": "c0"})
+    again = {r["doc_id"]: r for r in substring_dedup.remove_repeats(clash).collect()}
+    assert all(again[i]["text"] == got[i]["text"] and again[i]["key"] == "x" and again[i]["slot"] == 1 and again[i]["c0"] == 3.0 for i in got)
+    with pytest.raises(ValueError, match="spans"):
+        substring_dedup.remove_repeats(clash.withColumnRenamed("key", "spans"))
 
 
 def test_substring_dedup_cuts_every_repeat_to_the_word(spark):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions import text as T
 from spanframe.operators import pool as P
 from spanframe.operators import stems as S
-from spanframe.operators.fixtures import label_name, read, word_table
+from spanframe.operators.fixtures import label_name, named_words, read
 from spanframe.plans.base import query
 
 #: Endings that the mentions take in turn; every fifth has the word before it in front, as titles stand.
@@ -18,8 +18,7 @@ _ENDINGS = ("", "", "ning", "da", "ga", "dan")
 def mentions(spark, sf_dir) -> DataFrame:
     """(doc_id, pos, label, surface, lang, ord) of capitalised words."""
     docs = read(spark, sf_dir, "documents")
-    w = word_table(docs).withColumn("before", F.lag("word").over(Window.partitionBy("doc_id").orderBy("pos")))
-    w = w.where(F.col("word").rlike(r"^\p{Lu}\p{Ll}+$") & (F.length("word") > 3))
+    w = named_words(docs)
     front = F.when((F.col("pos") % 5 == 0) & F.col("before").rlike("^[A-Za-z]{2,20}$"), F.concat(F.upper(F.left("before", F.lit(1))), F.lower(F.substring("before", 2, 99)), F.lit(" "))).otherwise("")
     ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.pmod(F.col("doc_id") * 3 + F.col("pos"), F.lit(6)) + 1).cast("int"))
     label = label_name(F.when(F.length("word") % 3 == 0, 0).otherwise(F.pmod(F.col("doc_id") + F.col("pos"), F.lit(3))))

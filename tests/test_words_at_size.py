@@ -28,7 +28,7 @@ def test_texts_are_not_shuffled_for_their_spans(spark):
 
 
 def test_parts_follow_the_texts(spark):
-    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcd "), 40_000).alias("text"))
-    assert X.dealt(docs).rdd.getNumPartitions() == 3
-    plan = X.word_table(docs)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.range(120).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcd "), 40_000).alias("text"))
+    assert X.dealt(docs).rdd.getNumPartitions() == 6
+    plan = X.word_table(docs).groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("Exchange") == 1

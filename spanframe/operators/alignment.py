@@ -6,35 +6,66 @@ from bisect import bisect_right
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.constants import PROMPT_APOSTROPHES
+from spanframe.functions.text import let
+
+
+#: Characters of a place as a power of two, and of spans that stand in a list of their own.
+PLACE, WIDE = 6, 4096
+
+
+def places(start: Column, end: Column) -> Column:
+    """The numbers of the stretches of 2^PLACE characters that bounds touch; those of an empty span's start."""
+    return F.sequence(F.shiftright(start, PLACE), F.shiftright(F.greatest(end - 1, start), PLACE))
+
+
+def met(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """tokens (doc_id, t_start, t_end) and `met`, the array of the spans (doc_id, start, end; their other columns too) that
+    they overlap; null or empty without any.
+
+    A document's spans come to its tokens as one row, laid by the places they touch, so tokens stay where they are and
+    are not sorted, and each looks at the spans around it. Spans over WIDE characters stand in a list.
+    """
+    s = F.struct(*(c for c in spans.columns if c != "doc_id"))
+    wide = F.col("end") - F.col("start") > WIDE
+    at = spans.where(~wide).select("doc_id", F.explode(places(F.col("start"), F.col("end"))).alias("_at"), s.alias("_s"))
+    near = at.groupBy("doc_id", "_at").agg(F.collect_list("_s").alias("_s")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_s"))).alias("_near"))
+    far = spans.where(wide).groupBy("doc_id").agg(F.collect_list(s).alias("_far"))
+    laid = near.join(far, "doc_id", "full_outer")
+    rows = tokens.join(laid.hint("shuffle_hash"), "doc_id", "left")
+    own, last = F.shiftright("t_start", PLACE), F.shiftright(F.greatest(F.col("t_end") - 1, F.col("t_start")), PLACE)
+    over = lambda x: (F.col("t_start") < x["end"]) & (x["start"] < F.col("t_end"))
+    here = lambda i: F.try_element_at("_near", i)
+    # A pair that shares several places counts at the first of them.
+    several = F.flatten(F.transform(places(F.col("t_start"), F.col("t_end")), lambda i: F.filter(F.coalesce(here(i), F.array().cast(laid.schema["_far"].dataType)), lambda x: F.greatest(F.shiftright(x["start"], PLACE), own) == i)))
+    found = F.when(F.col("_near").isNotNull(), F.filter(F.when(own == last, here(own)).otherwise(several), over))
+    both = F.when(F.col("_far").isNull(), found).otherwise(F.concat(F.coalesce(found, F.array().cast(laid.schema["_far"].dataType)), F.filter("_far", over)))
+    return rows.select(*tokens.columns, both.alias("met"))
 
 
 def overlapping(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """tokens (doc_id, pos, t_start, t_end) with the spans (doc_id, start, end, label) they overlap."""
-    return tokens.join(spans, "doc_id").where((F.col("t_start") < F.col("end")) & (F.col("start") < F.col("t_end")))
+    return met(tokens, spans).where(F.size("met") > 0).select(*tokens.columns, F.inline("met"))
 
 
 def bio_tags(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, pos, tag: the first token that a span overlaps begins it, the rest are inside; others O."""
-    hit = overlapping(tokens, spans)
-    first = F.row_number().over(Window.partitionBy("doc_id", "start", "end", "label").orderBy("pos")) == 1
-    tag = F.concat(F.when(first, "B-").otherwise("I-"), "label")
-    tagged = hit.select("doc_id", "pos", tag.alias("tag"), "start").groupBy("doc_id", "pos").agg(F.max_by("tag", "start").alias("tag"))
-    return tokens.select("doc_id", "pos").join(tagged, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("tag", F.lit("O")).alias("tag"))
+    first = overlapping(tokens, spans).groupBy("doc_id", "start", "end", "label").agg(F.min("pos").alias("first"))
+    tag = F.transform("met", lambda s: F.struct(s["start"].alias("start"), F.concat(F.when(s["first"] == F.col("pos"), "B-").otherwise("I-"), s["label"]).alias("tag")))
+    return met(tokens.select("doc_id", "pos", "t_start", "t_end"), first).select("doc_id", "pos", F.coalesce(F.array_max(tag)["tag"], F.lit("O")).alias("tag"))
 
 
 def covering_tags(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, pos, tag: a token that holds the first character of the span it overlaps (the first of several) begins
     it, others are inside, or O; null for empty tokens."""
-    hit = overlapping(tokens.where("t_end > t_start"), spans)
-    begins = (F.col("t_start") <= F.col("start")) & (F.col("start") < F.col("t_end"))
-    tag = F.concat(F.when(begins, "B-").otherwise("I-"), "label")
-    tagged = hit.groupBy("doc_id", "pos").agg(F.min_by(tag, F.struct("start", "end", "label")).alias("_tag"))
-    found = F.when(F.col("t_end") > F.col("t_start"), F.coalesce("_tag", F.lit("O")))
-    return tokens.join(tagged, ["doc_id", "pos"], "left").select("doc_id", "pos", found.alias("tag"))
+    begins = lambda s: (F.col("t_start") <= s["start"]) & (s["start"] < F.col("t_end"))
+    tag = lambda s: F.concat(F.when(begins(s), "B-").otherwise("I-"), s["label"]).alias("tag")
+    tags = F.transform("met", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), tag(s)))
+    found = F.when(F.col("t_end") > F.col("t_start"), F.coalesce(F.array_min(tags)["tag"], F.lit("O")))
+    return met(tokens, spans).select("doc_id", "pos", found.alias("tag"))
 
 
 def truncated(tokens: DataFrame, docs: DataFrame) -> DataFrame:
@@ -56,24 +87,24 @@ def alignment_counts(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def decode_tags(tags: Column, orphans: bool = True) -> Column:
-    """array of struct(first, last, label) of BIO or BIOES tags, folded in order.
+    """array of struct(first, last, label) of BIO or BIOES tags, in order.
 
     orphans: an inside tag without its own run opens one (else it is ignored).
     """
-    kind = lambda t: F.regexp_extract(t, "^[A-Z]-(.*)$", 1)
-    zero = F.struct(F.array().cast("array<struct<first:int,last:int,label:string>>").alias("done"), F.lit(None).cast("struct<first:int,last:int,label:string>").alias("run"), F.lit(0).alias("i"))
-
-    def step(a, t):
-        prefix, label = F.substring(t, 1, 1), kind(t)
-        goes_on = prefix.isin("I", "E") & (a["run"]["label"] == label)
-        opens = prefix.isin("B", "S") | (prefix.isin("I", "E") & F.lit(orphans))
-        goes_on = F.coalesce(goes_on, F.lit(False))
-        own = F.struct(a["i"].alias("first"), a["i"].alias("last"), label.alias("label"))
-        longer = F.struct(a["run"]["first"].alias("first"), a["i"].alias("last"), label.alias("label"))
-        done = F.when(goes_on | a["run"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["run"])))
-        return F.struct(done.alias("done"), F.when(goes_on, longer).when(opens, own).alias("run"), (a["i"] + 1).alias("i"))
-
-    return F.aggregate(tags, zero, step, lambda a: F.when(a["run"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["run"]))))
+    marked = F.transform(tags, lambda t: F.struct(F.substring(t, 1, 1).alias("prefix"), F.regexp_extract(t, "^[A-Z]-(.*)$", 1).alias("label")))
+    kinds = ("B", "S", "I", "E")
+
+    def runs(m):
+        def goes_on(i):
+            own, before = F.get(m, i), F.get(m, i - 1)
+            return F.coalesce(own["prefix"].isin("I", "E") & before["prefix"].isin(*kinds) & (own["label"] == before["label"]), F.lit(False))
+
+        # What begins here goes on to the next place that does not go on.
+        heads = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: ~goes_on(i))
+        each = let(heads, lambda h: F.transform(h, lambda first, j: F.struct(first.alias("first"), (F.coalesce(F.get(h, j + 1), F.size(m)) - 1).alias("last"), F.get(m, first)["label"].alias("label"))))
+        return F.filter(each, lambda r: F.coalesce(F.get(m, r["first"])["prefix"].isin(*(kinds if orphans else kinds[:2])), F.lit(False)))
+
+    return F.when(F.size(tags) > 0, let(marked, runs)).when(tags.isNotNull(), F.array().cast("array<struct<first:int,last:int,label:string>>"))
 
 
 def word_bounds(words: DataFrame, spans: DataFrame, width: int) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.operators.alignment import met
+
 
 def grouped_words(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     """tokens (doc_id, token, start, end) with `word`, its number in the document; empty tokens go.
@@ -18,9 +20,12 @@ def grouped_words(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     A token joins the word before it where the two touch and a letter or digit stands on both sides.
     """
     order = Window.partitionBy("doc_id").orderBy("start", "token")
-    rows = tokens.where("start < end").join(docs.select("doc_id", "text"), "doc_id")
-    sides = F.substring(F.col("text"), F.col("start"), F.lit(2))
-    rows = rows.withColumn("inside", sides.rlike(r"^[\p{L}\p{N}]{2}$") & (F.col("start") > 0)).drop("text")
+    # Stretches of 256 characters: a token looks up its own, and the text is not read up to its place.
+    stretches = docs.select("doc_id", F.regexp_extract_all("text", F.lit("(?s).{1,256}"), F.lit(0)).alias("_s"))
+    rows = tokens.where("start < end").join(stretches.hint("shuffle_hash"), "doc_id")
+    at = lambda i: F.substring(F.coalesce(F.get("_s", F.shiftright(i, 8).cast("int")), F.lit("")), (i % 256 + 1).cast("int"), F.lit(1))
+    sides = F.concat(at(F.col("start") - 1), at(F.col("start")))
+    rows = rows.withColumn("inside", (F.col("start") > 0) & sides.rlike(r"^[\p{L}\p{N}]{2}$")).drop("_s")
     opens = ~(F.col("inside") & (F.lag("end").over(order) == F.col("start")))
     word = F.sum(F.coalesce(opens, F.lit(True)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return rows.select("doc_id", "token", "start", "end", word.alias("word"))
@@ -37,11 +42,11 @@ def word_emissions(tokens: DataFrame, words: DataFrame, classes: int) -> DataFra
     for every word that it overlaps. A type's mass is the mean over a word's tokens, dealt to B and I as on the
     first of them; none goes to B where that token began before the word. Words that no token meets are O.
     """
-    t = tokens.where("start < end").select("doc_id", "token", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "probs")
-    met = words.join(t, "doc_id").where((F.col("t_start") < F.col("end")) & (F.col("start") < F.col("t_end")))
-    means = F.array(*(F.avg(F.get("probs", F.lit(c))) for c in range(classes)))
-    first = F.min_by(F.struct("probs", (F.col("t_start") >= F.col("start")).alias("whole")), F.struct("t_start", "token"))
-    by_word = met.groupBy("doc_id", "word").agg(means.alias("mean"), first.alias("first"))
+    grid = words.select("doc_id", "word", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    rows = met(grid, tokens.where("start < end").select("doc_id", "token", "start", "end", "probs"))
+    mean = lambda c: F.aggregate("met", F.lit(0.0), lambda a, t: a + F.get(t["probs"], F.lit(c))) / F.size("met")
+    first = F.array_min(F.transform("met", lambda t: F.struct(t["start"].alias("start"), t["token"].alias("token"), t["probs"].alias("probs"), (t["start"] >= F.col("t_start")).alias("whole"))))
+    by_word = rows.select("doc_id", "word", F.when(F.size("met") > 0, F.array(*map(mean, range(classes)))).alias("mean"), F.when(F.size("met") > 0, first).alias("first"))
 
     def dealt(c: int) -> Column:
         begin, mass = c - (c + 1) % 2, F.get("mean", F.lit(c - (c + 1) % 2)) + F.get("mean", F.lit(c - (c + 1) % 2 + 1))
@@ -50,7 +55,7 @@ def word_emissions(tokens: DataFrame, words: DataFrame, classes: int) -> DataFra
 
     probs = F.array(F.get("mean", F.lit(0)), *(dealt(c) for c in range(1, classes)))
     outside = F.array(*(F.lit(float(c == 0)) for c in range(classes)))
-    return words.select("doc_id", "word").join(by_word, ["doc_id", "word"], "left").select("doc_id", "word", F.when(F.col("mean").isNull(), outside).otherwise(probs).alias("probs"))
+    return by_word.select("doc_id", "word", F.when(F.col("mean").isNull(), outside).otherwise(probs).alias("probs"))
 
 
 def cells_on_words(cells: DataFrame, own: DataFrame, words: DataFrame, width: int) -> DataFrame:

@@ -112,7 +112,11 @@ def span_losses(scores: DataFrame, targets: DataFrame, lengths: DataFrame) -> Da
     scores: doc_id, word, k, scores; targets: doc_id, word, k, target as smoothed_targets() gives them; cells that leave the
     document (lengths: doc_id, n) are ignored. Sums add up: a mean over documents is sum(loss) / sum(n).
     """
-    inside = scores.join(lengths.select("doc_id", F.col("n").alias("_n")), "doc_id").where(F.col("word") + F.col("k") < F.col("_n"))
-    met = inside.join(targets, ["doc_id", "word", "k"], "left")
+    inside = scores.join(lengths.select("doc_id", F.col("n").alias("_n")).hint("shuffle_hash"), "doc_id").where(F.col("word") + F.col("k") < F.col("_n"))
+    # A document's few targets come to its cells as one row, so cells stay where they are.
+    by_word = targets.groupBy("doc_id", "word").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), "target"))).alias("own"))
+    own = by_word.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "own"))).alias("_own"))
+    target = F.try_element_at(F.try_element_at("_own", F.col("word")), F.col("k").cast("int"))
+    met = inside.join(own.hint("shuffle_hash"), "doc_id", "left").withColumn("target", target)
     loss = F.when(F.col("target").isNull(), -F.get(log_softmax(F.col("scores")), F.lit(0))).otherwise(cross_entropy(F.col("scores"), F.col("target")))
     return met.groupBy("doc_id").agg(F.sum(loss).alias("loss"), F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from spanframe.functions.text import let, prepare, unify_apostrophes, with_offse
 
 #: Words (letter runs) and what is between them; casing is decided by word.
 _RUNS = r"[\p{L}\p{Nl}\p{No}]+|[^\p{L}\p{Nl}\p{No}]+"
+_CYRILLIC = r"[\x{400}-\x{4ff}]"
 
 
 def _table(mapping: dict[str, str]) -> Column:
@@ -26,28 +27,41 @@ def _caps(word: Column) -> Column:
     return (word == F.upper(word)) & (word != F.lower(word))
 
 
+def _latin_letters(w: Column) -> Column:
+    table, chars, caps = _table(K.CYRILLIC_TO_LATIN), F.split(w, ""), _caps(w)
+
+    def piece(ch, i):
+        low = F.lower(ch)
+        plain = F.element_at(table, low)
+        starts = (i == 0) | F.lower(F.get(chars, i - 1)).isin(*K.YE_AFTER)
+        mapped = F.when((low == "е") & starts, F.lit("ye")).otherwise(plain)
+        return F.struct(ch.alias("source"), F.when(mapped.isNull(), ch).otherwise(_cased(mapped, ch, caps)).alias("piece"))
+
+    return F.transform(chars, piece)
+
+
 def latin_pieces(c: Column) -> Column:
     """array of struct(source, piece): what each character of Cyrillic text becomes, the rest unchanged."""
-    table = _table(K.CYRILLIC_TO_LATIN)
+    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(_RUNS), F.lit(0)), _latin_letters))
 
-    def word(w):
-        chars = F.split(w, "")
-        caps = _caps(w)
 
-        def piece(ch, i):
-            low = F.lower(ch)
-            plain = F.element_at(table, low)
-            starts = (i == 0) | F.lower(F.get(chars, i - 1)).isin(*K.YE_AFTER)
-            mapped = F.when((low == "е") & starts, F.lit("ye")).otherwise(plain)
-            return F.struct(ch.alias("source"), F.when(mapped.isNull(), ch).otherwise(_cased(mapped, ch, caps)).alias("piece"))
+_ONE = {a: b for a, b in K.CYRILLIC_TO_LATIN.items() if len(b) == 1}
+_OTHER = {a: b for a, b in K.CYRILLIC_TO_LATIN.items() if len(b) != 1}
 
-        return F.transform(chars, piece)
 
-    return F.flatten(F.transform(F.regexp_extract_all(c, F.lit(_RUNS), F.lit(0)), word))
+def _small_latin(w: Column) -> Column:
+    """A word of small letters, all at once."""
+    out = F.when(F.contains(w, F.lit("е")), F.regexp_replace(w, f"^е|(?<=[{K.YE_AFTER}])е", "ye")).otherwise(w)
+    for a, b in _OTHER.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.translate(out, "".join(_ONE), "".join(_ONE.values()))
 
 
 def cyrillic_to_latin(c: Column) -> Column:
-    return F.array_join(F.transform(latin_pieces(c), lambda p: p["piece"]), "")
+    """As latin_pieces(); only words with capitals, whose case is decided by word, go letter by letter."""
+    by_letter = lambda w: F.array_join(F.transform(_latin_letters(w), lambda p: p["piece"]), "")
+    word = lambda w: F.when(w.rlike(_CYRILLIC), F.when(w == F.lower(w), _small_latin(w)).otherwise(by_letter(w))).otherwise(w)
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_RUNS), F.lit(0)), word), "")
 
 
 def cyrillic_pieces(c: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanframe.functions.text import let
 from spanframe.operators.alignment import word_bounds
 
 #: Class of cells and tokens that take no part in a loss.
@@ -70,9 +71,11 @@ def smoothed_targets(cells: DataFrame, lengths: DataFrame, types: Sequence[str],
 
 
 def log_softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(scores, lambda x: x - top - F.log(total))
+    def told(top):
+        total = F.log(F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+        return let(total, lambda t: F.transform(scores, lambda x: x - top - t))
+
+    return let(F.array_max(scores), told)  # each once for all scores
 
 
 def cross_entropy(scores: Column, target: Column) -> Column:

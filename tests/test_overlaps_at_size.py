@@ -75,3 +75,11 @@ def test_cells_of_both_models_meet_without_a_shuffle(spark):
     spans = grid.where("pos = 0").select("doc_id", F.col("pos").cast("long").alias("first"), F.col("pos").cast("long").alias("last"), F.array(*(F.lit(0.3) for _ in range(3))).alias("probs"))
     both = E.combined([(spans, 2.0), (D.tag_cells(tags, 3, 5), 1.0)], ["doc_id", "first", "last"], 3)
     assert not any("Exchange" in x and "first#" in x for x in _plan(both).split("\n"))
+
+
+def test_log_softmax_takes_its_sums_once(spark):
+    from spanframe.operators.span_targets import log_softmax
+
+    df = spark.createDataFrame([([0.5, 1.5, -2.0, 0.0],)], "x array<double>").select(log_softmax(F.col("x")).alias("y"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_max(") == 1
+    assert abs(sum(2.718281828459045**v for v in df.first()[0]) - 1) < 1e-9

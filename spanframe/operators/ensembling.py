@@ -6,11 +6,15 @@ id and by overlap, so nothing is compared across documents, and means are groupe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanframe.operators import decoding as D
 from spanframe.operators.alignment import met
 
 
@@ -86,6 +90,77 @@ def combined(parts: Sequence[tuple[DataFrame, float]], keys: Sequence[str], clas
     return rows.groupBy(*keys).agg(F.array((sums[0] + missing) / total, *(s / total for s in sums[1:])).alias("probs"))
 
 
+#: Decimals of averaged probabilities.
+DIGITS = 9
+
+
+def averaged_cells(tags: pa.Array, cells: pa.Array, width: int, classes: int, weights: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """combined() for the documents of a batch: the cells of a span model and those of tag probabilities, averaged.
+
+    tags: of each document its words' probabilities; cells: its (first, last, probs). Documents lie side by side with
+    an empty word between them, which no span enters. Gives (document, first word, words after it, probabilities) in
+    order; cells of the first model that begin off the words or have more than `width` are left out.
+    """
+    n = pc.fill_null(pc.list_value_length(tags), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    base = np.cumsum(n + 1) - (n + 1)
+    doc = np.repeat(np.arange(len(n)), n + 1)
+    left = n[doc] - (np.arange(len(doc)) - base[doc])  # words from here to the document's end
+    grid = np.zeros((len(doc), classes))
+    grid[left > 0] = np.reshape(tags.flatten().flatten().to_numpy(zero_copy_only=False), (-1, classes))
+    mass = D.tag_bands(grid[None], width)[0]
+    fits = np.arange(width) < left[:, None]
+    weight = weights[1] * fits
+    mass *= weight[..., None]
+    own = cells.flatten()
+    first, last = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+    probs = np.reshape(own.field("probs").flatten().to_numpy(zero_copy_only=False), (-1, mass.shape[-1]))
+    of = np.repeat(np.arange(len(n)), pc.fill_null(pc.list_value_length(cells), 0).to_numpy(zero_copy_only=False))
+    some = (first >= 0) & (first < n[of]) & (last >= first) & (last - first < width)
+    place = base[of[some]] + first[some], (last - first)[some]
+    np.add.at(mass, place, weights[0] * probs[some])
+    np.add.at(weight, place, weights[0])
+    total = sum(weights)
+    mass[..., 0] += total - weight
+    at, k = np.nonzero(weight)
+    return doc[at], at - base[doc[at]], k, np.round(mass[at, k] / total, DIGITS)
+
+
+def document_masses(df: DataFrame, width: int, classes: int, weights: tuple[float, float]) -> DataFrame:
+    """(doc_id, n, mass): how many averaged cells each document (doc_id, tags, cells) has, and their sum by class."""
+
+    def run(batches):
+        for b in batches:
+            for part in D.together(b, 1):
+                doc, _, _, probs = averaged_cells(part.column(1), part.column(2), width, classes, weights)
+                n = np.bincount(doc, minlength=part.num_rows)
+                mass = np.stack([np.bincount(doc, weights=p, minlength=part.num_rows) for p in probs.T], 1)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(n[some], pa.int64()), pa.array(list(mass[some]), pa.list_(pa.float64()))], names=["doc_id", "n", "mass"])
+
+    return df.select("doc_id", "tags", "cells").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n long, mass array<double>")
+
+
+def decode_documents(df: DataFrame, types: tuple[str, ...], width: int, weights: tuple[float, float], mode: str = "greedy", none: float = 1.0, scales: Mapping[str, float] | None = None) -> DataFrame:
+    """decode_cells() of averaged cells for rows of whole documents (doc_id, text, start, end, tags, cells), which stay where they are.
+
+    start and end: of each word; tags: its probabilities; cells: the other model's (first, last, probs). weights: of
+    the cells and of the tags. A null list is empty.
+    """
+    names, factor = sorted(types), D.class_factors(types, none, scales)
+
+    def run(batches):
+        for b in batches:
+            for part in D.together(b, 4):
+                doc, first, k, probs = averaged_cells(part.column(4), part.column(5), width, 2 * len(names) + 1, weights)
+                lengths = pc.fill_null(pc.list_value_length(part.column(4)), 0).to_numpy(zero_copy_only=False)
+                both = np.stack([part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)], 1)
+                bounds = np.split(both, np.cumsum(lengths)[:-1])
+                yield D.spans_of(part.column(0), part.column(1), lengths.tolist(), bounds, (doc, first, k, probs * factor), names, width, mode)
+
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "text", "start", "end", "tags", "cells").mapInArrow(run, f"doc_id {kind}, start long, end long, label string")
+
+
 def check_label_sets(models: dict[str, Sequence[str]]) -> tuple[str, ...]:
     """The label set that all models have; raises with the differences where they have not one."""
     sets = {name: frozenset(labels) for name, labels in models.items()}

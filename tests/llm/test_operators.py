@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
+import pyarrow as pa
 
 from spanframe.llm import ann, byte_bpe, cdc, fingerprint, html_extract, jaccard, langid, lm, packing, shingles, substring_dedup, token_counts
 from spanframe.llm.components import components
@@ -584,3 +585,27 @@ def test_lm_rounds_learn_from_all_shards(spark, monkeypatch):
     after = score()
     monkeypatch.setattr(lm, "rounds", lambda model, *_: model)
     assert score() < after - 1
+
+
+def test_lm_counts_and_windows_of_whole_texts(spark, monkeypatch):
+    """Every token of every training text is a target once, and every pair of neighbours a context, whatever the shards."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(rnd.choice([0, 1, 12, 13, 400]))) for _ in range(50)] + [None]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    words = lm.Words([(t or "").encode() for t in texts])
+    ids, _ = lm.Subwords(path)(words)
+    end = lm.Subwords(path).end
+    count, seen = np.bincount(ids, minlength=end + 1), {}
+    rows = pa.table({"id": pa.array([*range(50), None], pa.int64()), "text": pa.array(texts, pa.string())}).to_batches()
+    for shards in (1, 3):
+        out = pa.Table.from_batches(list(lm._prepared(path, shards)(iter(rows))))
+        told = {s: n for s, n in zip(out["subword"].to_pylist(), out["n"].to_pylist(), strict=True) if s is not None}
+        assert told == {-1: len(words.hash)} | {i: int(count[i]) for i in np.flatnonzero(count)}
+        own = out.filter(pa.array([s is not None for s in out["shard"].to_pylist()])).select(["data", "shard"])
+        parts = [own.filter(pa.array([x == s for x in own["shard"].to_pylist()])).to_batches() for s in range(shards)]
+        some = np.concatenate([lm._gathered(p, end) for p in parts])
+        targets = some[:, lm.WINDOW :]
+        assert (np.bincount(targets[targets != lm._PAD], minlength=end + 1) == count).all()
+        pairs = np.concatenate([last.astype(np.int64) << 16 | own_ids for p in parts for own_ids, last in lm._neighbours(p, end)])
+        seen[shards] = np.sort(pairs)
+    assert len(seen[1]) == len(ids) and (seen[1] == seen[3]).all()

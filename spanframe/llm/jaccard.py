@@ -31,7 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import batch, dropped, map_arrow, pieces, stored, table
@@ -295,8 +295,9 @@ def linked_sets(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     placed = sets.withColumn("component", F.col("uid")) if near is None else sets.join(near, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     kinds = "token long, uid long, component long, n long, alone long, matches long, level int, " + ", ".join(f"bits{i} long" for i in range(BITMAP))
     postings = map_arrow(placed.select("uid", "component", "n", "tokens", "dfs"), _postings(num, den), kinds)
-    mixed = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_ = stored(postings.join(mixed, "token"), "open")
+    # Both sides of the join read one shuffle of the postings, so each keeps all columns.
+    of_token = Window.partitionBy("token")
+    open_ = postings.withColumns({"low": F.min("component").over(of_token), "high": F.max("component").over(of_token)}).where("low <> high and level > 0 and matches > 0").drop("low", "high")
 
     def sided(rows: DataFrame, side: str) -> DataFrame:
         return rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token"))
@@ -306,7 +307,6 @@ def linked_sets(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     shared = shared.where(later & (F.col("component_x") != F.col("component_y")) & (F.col("level_y") <= F.col("matches_x")) & _may_link("x", "y", num, den))
     pairs = shared.groupBy(F.col("uid_x").alias("a"), F.col("uid_y").alias("b"), "matches_x").agg(F.count("*").alias("c")).where("c >= matches_x").select("a", "b")
     found = stored(_verified(pairs, sets, num, den), "links")
-    dropped(open_)
     return found, None if near is None else near.where("uid <> component").select(F.col("uid").alias("u"), F.col("component").alias("v"))
 
 

@@ -609,3 +609,19 @@ def test_lm_counts_and_windows_of_whole_texts(spark, monkeypatch):
         pairs = np.concatenate([last.astype(np.int64) << 16 | own_ids for p in parts for own_ids, last in lm._neighbours(p, end)])
         seen[shards] = np.sort(pairs)
     assert len(seen[1]) == len(ids) and (seen[1] == seen[3]).all()
+
+
+def test_jaccard_postings_are_shuffled_once(spark, monkeypatch):
+    plans, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or verified(pairs, *rest))
+    rnd = random.Random(2)
+    texts = near_copies(rnd, 3, 4, 60, 3)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert jaccard.similar_components(documents(spark, texts), 3, 90, 100).count() == len(texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # The two sides of the join on tokens have the same exchange, which Spark then runs once.
+    shuffles = [x.split("Exchange", 1)[1].split("plan_id")[0] for x in plans[-1].split("\n") if "hashpartitioning(token#" in x]
+    assert len(shuffles) <= 2 and plans[-1].count("MapInArrow") == len(shuffles)

@@ -18,12 +18,11 @@ _ENDINGS = ("", "", "ning", "da", "ga", "dan")
 def mentions(spark, sf_dir) -> DataFrame:
     """(doc_id, pos, label, surface, lang, ord) of capitalised words."""
     docs = read(spark, sf_dir, "documents")
-    w = named_words(docs)
+    w = named_words(docs, "lang")
     front = F.when((F.col("pos") % 5 == 0) & F.col("before").rlike("^[A-Za-z]{2,20}$"), F.concat(F.upper(F.left("before", F.lit(1))), F.lower(F.substring("before", 2, 99)), F.lit(" "))).otherwise("")
     ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.pmod(F.col("doc_id") * 3 + F.col("pos"), F.lit(6)) + 1).cast("int"))
     label = label_name(F.when(F.length("word") % 3 == 0, 0).otherwise(F.pmod(F.col("doc_id") + F.col("pos"), F.lit(3))))
-    rows = w.select("doc_id", "pos", label.alias("label"), F.concat(front, "word", ending).alias("surface"), (F.shiftleft("doc_id", 32) + F.col("pos")).alias("ord"))
-    return rows.join(docs.select("doc_id", "lang"), "doc_id")
+    return w.select("doc_id", "pos", label.alias("label"), F.concat(front, "word", ending).alias("surface"), (F.shiftleft("doc_id", 32) + F.col("pos")).alias("ord"), "lang")
 
 
 _STEMS_SQL = r"""WITH w AS (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS word, unnest(generate_series(0, len(string_split(text, ' ')) - 1)) AS pos FROM documents),
@@ -82,7 +81,7 @@ def pool_stats_pivot(spark, sf_dir):
 def replaced_mentions(spark, sf_dir):
     """Another stem for every mention of the first round's stems, with its ending put back."""
     m = mentions(spark, sf_dir).where(P.is_clean_mention(F.col("surface")))
-    cut = m.join(S.split_endings(m, S.learned(m)), "surface")
-    asked = cut.select(F.col("doc_id").alias("id"), "label", "stem", T.script_presence(F.col("stem")).alias("script")).distinct()
-    pool = m.join(S.split_endings(m, S.learned(m)), "surface").groupBy("label", T.script_presence(F.col("stem")).alias("script"), F.lower("stem").alias("key")).agg(F.min("stem").alias("stem")).select("label", "script", "stem", F.size(T.words(F.col("stem"))).alias("n_words"))
+    cut = S.split_endings(m, S.learned(m))
+    asked = m.select("doc_id", "label", "surface").distinct().join(cut, "surface").select(F.col("doc_id").alias("id"), "label", "stem", T.script_presence(F.col("stem")).alias("script")).distinct()
+    pool = m.select("label", "surface").distinct().join(cut, "surface").groupBy("label", T.script_presence(F.col("stem")).alias("script"), F.lower("stem").alias("key")).agg(F.min("stem").alias("stem")).select("label", "script", "stem", F.size(T.words(F.col("stem"))).alias("n_words"))
     return P.replacements(asked, pool, 11)

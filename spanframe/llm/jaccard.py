@@ -17,8 +17,9 @@ A bitmap's words toggle a bit for each shingle, so the number of bits in which t
 their symmetric difference, which linked sets bound.
 
 Groups of thousands of near copies would make candidates of all their pairs. Sets whose least shingle
-under one of MERGE hashes is also that of more than HEAVY others are therefore compared with one of
-these before step 3, and posting lists that lie within one component afterwards make no candidates.
+under one of MERGE hashes is also that of more than HEAVY others meet before step 3: in rounds, those of
+a group that are not in one component yet are compared with WIDER of the group, then with WIDER times as
+many others, until a round finds no link. Pairs within one component make no candidates afterwards.
 
 Every linked pair is compared or already within one component, so the components are exact (up to
 collisions of 64-bit hashes).
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import batch, dropped, map_arrow, pieces, stored, table
-from spanframe.llm.components import components
+from spanframe.llm.components import components, stars
 from spanframe.llm.shingles import mix, shingle_hashes
 
 MATCHES = 4
 #: Hashes by which large groups of near copies meet, and what is a large group.
 MERGE, HEAVY = 4, 12
+#: How many sets of a group the first round compares all others with, and how many times as many each further one.
+WIDER = 4
 #: 64-bit words of a set's bitmap.
 BITMAP = 8
 #: Weight of verifying a candidate against reading one posting.
@@ -245,15 +248,17 @@ _SALTS = mix(np.arange(1, MERGE + 1, dtype=_U) << _U(40))
 
 
 def _met(batches):
-    """Sets -> (uid, key): the least shingle under each of MERGE hashes."""
+    """Sets -> (key, uid, n, alone, bits): key is the least shingle under each of MERGE hashes, the rest as in _postings()."""
+    names = ("key", "uid", "n", "alone", *(f"bits{i}" for i in range(BITMAP)))
     for b in batches:
-        uid, key = [], []
-        for own, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        rows = []
+        for uid, n, tokens in zip(*(b.column(c).to_pylist() for c in ("uid", "n", "tokens")), strict=True):
             token = np.frombuffer(tokens, "<u8")
-            uid.append(np.full(MERGE, own, np.int64))
-            key.append(np.array([mix(mix(token ^ s).min() + s) for s in _SALTS], _U).astype(np.int64))
-        if uid:
-            yield batch({"uid": pa.array(np.concatenate(uid)), "key": pa.array(np.concatenate(key))})
+            least = np.array([mix(token ^ s).min() for s in _SALTS], _U)
+            own = (uid, n, n - len(token), *bitmap(token).tolist())
+            rows += [(key, *own) for key in mix(least + _SALTS).view(np.int64).tolist()]
+        if rows:
+            yield batch({c: pa.array(x, pa.int64()) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
 
 
 def _linked(num: int, den: int):
@@ -276,38 +281,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return map_arrow(pairs.join(b, "b").join(a, "a"), _linked(num, den), "u long, v long")
 
 
+def _sided(rows: DataFrame, side: str, key: str) -> DataFrame:
+    return rows.select(key, *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != key))
+
+
+def _with_component(rows: DataFrame, near: DataFrame | None) -> DataFrame:
+    """rows (uid, ..) with their component in near (uid, component), their own uid where they have none."""
+    if near is None:
+        return rows.withColumn("component", F.col("uid"))
+    return rows.join(near, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+
+
+def _of_several(rows: DataFrame, key: str) -> DataFrame:
+    """rows (key, component, ..) of keys that more than one component holds."""
+    of_key = Window.partitionBy(key)
+    return rows.withColumns({"low": F.min("component").over(of_key), "high": F.max("component").over(of_key)}).where("low <> high").drop("low", "high")
+
+
+def star_pairs(open_: DataFrame, taken: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of one key and different components that may link, b one of `taken` chosen by hash for each key."""
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("uid", F.lit(taken)), "uid"))
+    centers = open_.withColumn("turn", turn).where(F.col("turn") <= taken).drop("turn")
+    met = _sided(open_, "x", "key").join(_sided(centers, "y", "key"), "key")
+    met = met.where((F.col("component_x") != F.col("component_y")) & _may_link("x", "y", num, den))
+    return met.select(F.least("uid_x", "uid_y").alias("a"), F.greatest("uid_x", "uid_y").alias("b")).distinct()
+
+
 def _merged(sets: DataFrame, num: int, den: int) -> DataFrame | None:
-    """(uid, component) of sets that link with the first of a large group they meet in; None without such groups."""
-    met = map_arrow(sets.select("uid", "tokens"), _met, "uid long, key long")
-    heavy = stored(met.groupBy("key").agg(F.min("uid").alias("b"), F.count("*").alias("size")).where(F.col("size") > HEAVY).select("key", "b"), "heavy")
-    if not heavy.limit(1).count():
+    """(uid, component) of sets that link within the large groups they meet in, but for the least of each component; None without such groups."""
+    met = map_arrow(sets.select("uid", "n", "tokens"), _met, ", ".join(f"{c} long" for c in ("key", "uid", "n", "alone", *(f"bits{i}" for i in range(BITMAP)))))
+    many = F.count("*").over(Window.partitionBy("key"))
+    heavy = stored(met.withColumn("size", many).where(F.col("size") > HEAVY), "heavy")
+    if heavy.isEmpty():
         dropped(heavy)
         return None
-    pairs = met.join(heavy, "key").select(F.col("uid").alias("a"), "b").where("a <> b").distinct()
-    near = stored(components(_verified(pairs, sets, num, den)).select(F.col("node").alias("uid"), "component"), "near")
-    dropped(heavy)
+    own = stored(sets.select("uid", "n", "tokens").join(heavy.select("uid").distinct(), "uid", "left_semi"), "met")
+    near, taken, rest = None, WIDER, heavy
+    while True:
+        open_ = stored(_of_several(_with_component(rest.drop("size"), near), "key"), "open")
+        links = None if open_.isEmpty() else stored(_verified(star_pairs(open_, taken, num, den), own, num, den), "merging")
+        dropped(open_)
+        if links is None or links.isEmpty():
+            break
+        # What is merged already is a star around each component's least set.
+        edges = links if near is None else links.unionAll(near.select(F.col("uid").alias("u"), F.col("component").alias("v")))
+        before, near = near, stars(edges).withColumnsRenamed({"u": "uid", "v": "component"})
+        for t in (links, *([] if before is None else [before])):
+            dropped(t)
+        # All pairs of a group of no more than `taken` have been compared.
+        rest, taken = heavy.where(F.col("size") > taken), taken * WIDER
+    for t in (heavy, own):
+        dropped(t)
     return near
 
 
 def linked_sets(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """(edges (u, v) found by adaptive prefixes, edges of large groups merged before or None) of sets (uid, n, tokens, dfs)."""
     near = _merged(sets, num, den)
-    placed = sets.withColumn("component", F.col("uid")) if near is None else sets.join(near, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    placed = _with_component(sets, near)
     kinds = "token long, uid long, component long, n long, alone long, matches long, level int, " + ", ".join(f"bits{i} long" for i in range(BITMAP))
     postings = map_arrow(placed.select("uid", "component", "n", "tokens", "dfs"), _postings(num, den), kinds)
     # Both sides of the join read one shuffle of the postings, so each keeps all columns.
-    of_token = Window.partitionBy("token")
-    open_ = postings.withColumns({"low": F.min("component").over(of_token), "high": F.max("component").over(of_token)}).where("low <> high and level > 0 and matches > 0").drop("low", "high")
-
-    def sided(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select("token", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "token"))
-
+    open_ = _of_several(postings, "token").where("level > 0 and matches > 0")
     later = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("uid_x") > F.col("uid_y")))
-    shared = sided(open_.where("level <= matches"), "x").join(sided(open_, "y"), "token")
+    shared = _sided(open_.where("level <= matches"), "x", "token").join(_sided(open_, "y", "token"), "token")
     shared = shared.where(later & (F.col("component_x") != F.col("component_y")) & (F.col("level_y") <= F.col("matches_x")) & _may_link("x", "y", num, den))
     pairs = shared.groupBy(F.col("uid_x").alias("a"), F.col("uid_y").alias("b"), "matches_x").agg(F.count("*").alias("c")).where("c >= matches_x").select("a", "b")
     found = stored(_verified(pairs, sets, num, den), "links")
-    return found, None if near is None else near.where("uid <> component").select(F.col("uid").alias("u"), F.col("component").alias("v"))
+    return found, None if near is None else near.select(F.col("uid").alias("u"), F.col("component").alias("v"))
 
 
 def similar_components(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

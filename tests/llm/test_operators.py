@@ -208,6 +208,38 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(31)} | {90: 90, 95: 90, 100: 90}
 
 
+def test_components_of_stars_are_written_once(spark, monkeypatch):
+    """Edges doubled, turned round and to themselves; twelve large stars and a triangle."""
+    from spanframe.llm import components as module
+
+    edges = [(i % 12, i) for i in range(12, 400)] + [(i, i % 12) for i in range(12, 100)] + [(5, 5), (900, 901), (901, 902), (902, 900)] + [(777, 777)]
+    writes, stored = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name="t": writes.append(name) or stored(df, name))
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert sorted(got) == [(i, i % 12) for i in range(400)] + [(900, 900), (901, 900), (902, 900)]
+    assert len(writes) == 1
+
+
+def test_large_groups_merge_though_the_first_links_with_nothing(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(10):  # meet the group, but share too little with it
+        own = [w if rnd.random() > 0.07 else f"o{rnd.randint(0, 10**6)}" for w in base]
+        texts.append(" ".join(own))
+    for i in range(60):
+        own = list(base)
+        own[3 * i + 5] = f"x{i}"
+        texts.append(" ".join(own))
+    pairs, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    ids = list(range(len(texts)))
+    got = jaccard.similar_components(documents(spark, texts, ids).coalesce(1), 5, 80, 100)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.drop("is_first").collect()) == brute_components(texts, ids, 5, 80, 100)
+    # All pairs of the sixty are 1,770.
+    assert pairs[-1] < 100 and sum(pairs) < 600
+
+
 def test_shingle_hashes_stand_for_shingles():
     rnd = random.Random(8)
     texts = near_copies(rnd, 4, 6, 30, 8) + ["", " ", "a", "A b", "é É"]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanframe.llm.common import KeyFilter, batch, bounded, dropped, map_arrow, pieces, stored, table
-from spanframe.llm.components import components
+from spanframe.llm.components import stars
 from spanframe.llm.jaccard import BITMAP, bitmap
 from spanframe.llm.shingles import mix, shingle_hashes
 
@@ -124,7 +124,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(uid, tokens) of the wanted (uid, digest, id): only texts whose id may be wanted are hashed."""
     may = KeyFilter(wanted, "id")
     hashed = map_arrow(rows.withColumn("slot", may.slot(F.col("id"))), _hashed(k, may), "digest binary, tokens binary")
-    return hashed.join(wanted.select("digest", "uid"), "digest").groupBy("uid").agg(F.first("tokens").alias("tokens"))
+    return hashed.join(wanted.select("digest", "uid"), "digest").groupBy("digest").agg(F.first("uid").alias("uid"), F.first("tokens").alias("tokens")).drop("digest")
 
 
 def _linked(num: int, den: int):
@@ -178,21 +178,32 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
-    """label (uid, component) with further links: components of the components that they join, then of their members."""
-    if label is None:
-        return stored(components(links).withColumnsRenamed({"node": "uid"}), "labels")
-    at = lambda c: label.select(F.col("uid").alias(c), F.col("component").alias(f"of_{c}"))
-    ends = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select("u", "v", F.coalesce("of_u", "u").alias("x"), F.coalesce("of_v", "v").alias("y"))
-    whole = stored(components(ends.select(F.col("x").alias("u"), F.col("y").alias("v"))), "joined")
-    every = label.unionAll(ends.select(F.col("u").alias("uid"), F.col("x").alias("component"))).unionAll(ends.select("v", "y")).distinct()
-    to = whole.select(F.col("node").alias("component"), F.col("component").alias("into"))
-    out = stored(every.join(to, "component", "left").select("uid", F.coalesce("into", "component").alias("component")), "labels")
-    dropped(whole)
+    """label (uid, component) of all classes with links but the least of each component, with further links."""
+    edges = links if label is None else links.unionAll(label.select("uid", "component"))
+    out = stars(edges).withColumnsRenamed({"u": "uid", "v": "component"})
+    for t in (links, *([] if label is None else [label])):
+        dropped(t)
     return out
 
 
+def _placed(rest: DataFrame, label: DataFrame | None, taken: int) -> DataFrame:
+    """(bucket, uid, component, center) of buckets (bucket, uid) that hold several components; centers are the first
+    `taken` classes outside the bucket's largest component."""
+    if label is None:
+        placed = rest.withColumn("component", F.col("uid"))
+    else:
+        placed = rest.join(label, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    # Dealt by bucket once, for all windows.
+    placed = placed.select("bucket", "uid", "component").repartition("bucket").withColumn("n", F.count("*").over(Window.partitionBy("bucket", "component")))
+    whole = Window.partitionBy("bucket")
+    placed = placed.withColumns({"low": F.min("component").over(whole), "main": F.max(F.struct("n", "component")).over(whole)["component"], "high": F.max("component").over(whole)})
+    stray = F.col("component") != F.col("main")
+    turn = F.row_number().over(Window.partitionBy("bucket").orderBy(F.when(stray, 0).otherwise(1), "uid"))
+    return placed.where("low <> high").select("bucket", "uid", "component", (stray & (turn <= taken)).alias("center"))
+
+
 def class_components(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """(uid, component) of the classes that link; rows: id, text; classes: uid, digest, id, n, bits0.., keys.
+    """(uid, component) of the classes that link but the least of each component; rows: id, text; classes: uid, digest, id, n, bits0.., keys.
 
     After the first round a bucket's classes are those of its largest component there and strays. Strays become
     centers, STRAYS and then WIDER times as many, each compared with all of the bucket that are not in its
@@ -205,28 +216,16 @@ def class_components(rows: DataFrame, classes: DataFrame, k: int, num: int, den:
     label = None if links is None else _joined(None, links)
     rest, taken = met.where("size > 2").select("bucket", "uid"), STRAYS
     while True:
-        if label is None:
-            placed = rest.withColumn("component", F.col("uid"))
-        else:
-            placed = rest.join(label, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-        placed = stored(placed, "placed")
-        counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        open_ = stored(placed.join(main.select("bucket", "main"), "bucket"), "open")
-        dropped(placed)
+        # Sizes and bitmaps travel with the few open buckets' classes, so what cannot link is never a row.
+        open_ = stored(_placed(rest, label, taken).join(_side(classes, "x", "uid"), "uid"), "open")
         if open_.isEmpty():
             dropped(open_)
             return label
-        strays = open_.where("component <> main")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("uid"))
-        centers = strays.withColumn("turn", turn).where(F.col("turn") <= taken).select("bucket", F.col("uid").alias("center"), F.col("component").alias("other"))
-        # Sizes and bitmaps travel with the few open buckets' classes, so what cannot link is never a row.
-        here = open_.select("bucket", "component", "uid").join(_side(classes, "x", "uid"), "uid")
-        there = centers.join(_side(classes, "y", "center"), "center")
-        pairs = here.join(there, (here["bucket"] == there["bucket"]) & (F.col("component") != F.col("other")) & may_link("x", "y", num, den)).select(*_ordered("uid", "center")).distinct()
+        centers = open_.where("center").select("bucket", F.col("uid").alias("other"), F.col("component").alias("of_other"), *(F.col(f"{c}_x").alias(f"{c}_y") for c in ("n", *(f"bits{i}" for i in range(BITMAP)))))
+        pairs = open_.join(centers, "bucket").where((F.col("component") != F.col("of_other")) & may_link("x", "y", num, den)).select(*_ordered("uid", "other")).distinct()
         links = confirmed(pairs, rows, classes, k, num, den)
         label = label if links is None else _joined(label, links)
-        rest = open_.join(centers.select("bucket", F.col("center").alias("uid")), ["bucket", "uid"], "left_anti").select("bucket", "uid")
+        rest = open_.where("not center").select("bucket", "uid")
         taken *= WIDER
 
 

@@ -138,7 +138,12 @@ class Aligner:
         self.a = ByteBpe(ranks)
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
         self.size_b = self.b.vocab_size()
-        self.by = Transducer(self.a.bytes_of, piece_bytes(self.b))
+        of_b = piece_bytes(self.b)
+        self.by = Transducer(self.a.bytes_of, of_b)
+        # Of each of A's ids: one of B's with the same bytes, or -1; and how a group of one token begins and ends.
+        same = {x: i for i, x in enumerate(of_b)}
+        self.twin = [same.get(x, -1) for x in self.a.bytes_of]
+        self.name_a, self.name_b = [f"{i}|" for i in range(len(self.a.bytes_of))], [str(i) for i in range(len(of_b))]
         self.clear()
 
     def clear(self) -> None:
@@ -156,23 +161,31 @@ class Aligner:
         if not new:
             return
         sides = zip(self.a._encode([" " + p for p in new]), self.b.encode(new, num_threads=1), strict=True)
-        place, text, size = self.place, self.text, self.size_b
-        n_a, n_b, n_groups, n_links = self.columns
+        place, text, size, twin, name_a, name_b = self.place, self.text, self.size_b, self.twin, self.name_a, self.name_b
+        counts, offset, pairs, others, base = ([], [], [], []), [], [], [], len(self.pair)
+        n_a, n_b, n_groups, n_links = counts
         for piece, (ids, b) in zip(new, sides, strict=True):
             a = array("I", ids).tolist()
-            groups = self.by.groups(a, b) if SPACE_MARK not in piece else None
+            n, m, k, start, parts = len(a), len(b), 0, len(pairs), []
+            # While both sides' tokens are the same bytes, each two are a group.
+            while k < n and k < m and twin[a[k]] == b[k]:
+                parts.append(name_a[a[k]] + name_b[b[k]])
+                pairs.append(a[k] * size + b[k])
+                k += 1
+            groups = None if SPACE_MARK in piece else self.by.groups(a[k:], b[k:]) if k < n or k < m else ()
             place[piece] = len(text)
-            n_a.append(len(a))
-            n_b.append(len(b))
-            n_groups.append(len(groups or ()))
+            n_a.append(n)
+            n_b.append(m)
             if groups is None:
+                del pairs[start:]
                 text.append(None)
+                n_groups.append(0)
                 n_links.append(0)
             else:
-                parts, pairs, total = [], [], 0
+                total = k
                 for x, y in groups:
                     if len(x) == 1 and len(y) == 1:
-                        parts.append(f"{x[0]}|{y[0]}")
+                        parts.append(name_a[x[0]] + name_b[y[0]])
                         pairs.append(x[0] * size + y[0])
                         total += 1
                         continue
@@ -182,13 +195,20 @@ class Aligner:
                         pairs += [u * size + v for u in x for v in y]
                     else:
                         some = links([(x, y)])
-                        self.pair.extend(u * size + v for u, v in some)
-                        self.times.extend(some.values())
+                        others.append((len(pairs), list(some.values())))
+                        pairs += [u * size + v for u, v in some]
                 text.append(";".join(parts))
+                n_groups.append(k + len(groups))
                 n_links.append(total)
-                self.pair.extend(pairs)
-                self.times.extend([1] * len(pairs))
-            self.offset.append(len(self.pair))
+            offset.append(base + len(pairs))
+        for own, more in zip(self.columns, counts, strict=True):
+            own.extend(array("q", more))
+        self.offset.extend(array("q", offset))
+        self.pair.extend(array("q", pairs))
+        times = array("q", [1]) * len(pairs)
+        for at, some in others:
+            times[at : at + len(some)] = array("q", some)
+        self.times.extend(times)
 
     def forget_long(self, pieces: set[str]) -> None:
         """Long pieces would fill the memory: all is forgotten after a run that holds many bytes of them."""

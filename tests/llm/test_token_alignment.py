@@ -110,3 +110,11 @@ def test_steps():
     ahead = by.state(0, b"ab")
     assert ahead > 0 and by.left[by.step(ahead, 0)] == b"b" and by.step(ahead, 3) == by.state(1, b"c") < 0 and by.step(ahead, 4) is None
     assert T.links([([1, 1, 2], [5, 6, 5])]) == {(1, 5): 4, (1, 6): 2, (2, 5): 2, (2, 6): 1}
+
+
+def test_tokens_alike_are_grouped_without_the_transducer(monkeypatch):
+    own, asked, groups = T.Aligner(T.vocabulary(RANKS), T.vocabulary(MODEL)), [], T.Transducer.groups
+    monkeypatch.setattr(T.Transducer, "groups", lambda self, a, b: asked.append((a, b)) or groups(self, a, b))
+    own.learn({"the", "of", "and"})
+    assert not asked and sorted(own.place) == ["and", "of", "the"]
+    assert list(own.columns[2]) == list(own.columns[3]) == [1, 1, 1] and all(t.count("|") == 1 for t in own.text)

@@ -47,7 +47,8 @@ def stars(edges: DataFrame) -> DataFrame:
         if kept is not None:
             dropped(kept)
         kept = now
-        if not told.get["open"]:
+        # Nothing is told of plans that Spark finds empty.
+        if now.isEmpty() or not told.get["open"]:
             return now
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import bounded, crc_mod, stored
+from spanframe.llm.common import bounded, crc_mod, divided, stored
 from spanframe.llm.jaccard import similar_components
 from spanframe.llm.langid import fit, identify, training_sample
 from spanframe.llm.packing import pack
@@ -48,7 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = _ready(spark, docs)
     groups = stored(similar_components(docs, SHINGLE_WORDS, SIMILAR, OF), "groups")
     first = groups.where("is_first").select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # Only texts whose id may be that of a document that goes are shuffled.
+    sure, rest = divided(docs, "doc_id", groups.where(~F.col("is_first")).select("doc_id"))
+    kept = sure.unionAll(rest.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi"))
     if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

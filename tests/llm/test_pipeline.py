@@ -55,3 +55,30 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in P.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    from spanframe.llm.common import divided, stored
+
+    rnd = random.Random(5)
+    texts = [rnd.randbytes(4_000).hex() + f" {i} a b c d e" for i in range(300)]
+    docs = spark.createDataFrame([(i, texts[i % 290], "en", "s", 10) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = P.near_duplicates(spark, stored(docs, "docs"), "")
+        store = spark.sparkContext._jsc.sc().statusStore()
+
+        def shuffled():
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            return store.executorSummary("driver").totalShuffleWrite()
+
+        before = shuffled()
+        assert sorted(r.doc_id for r in stored(kept, "kept").select("doc_id").collect()) == list(range(290))
+        assert shuffled() - before < 600_000  # the texts have 2.3 MB, as hexadecimal digits about half in a shuffle
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    keys = spark.createDataFrame([(7,), (None,), (-5,)], "k long")
+    rows = spark.range(-3_000, 3_000).union(spark.createDataFrame([(None,)], "id long"))
+    sure, rest = (sorted((r.id for r in x.collect()), key=str) for x in divided(rows, "id", keys))
+    assert len(sure) + len(rest) == 6_001 and {7, -5, None} <= set(rest) and len(rest) < 20

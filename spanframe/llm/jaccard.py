@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanframe.llm.common import batch, dropped, map_arrow, pieces, stored, table
+from spanframe.llm.common import batch, dropped, fresh, map_arrow, pieces, stored, table
 from spanframe.llm.components import components, stars
 from spanframe.llm.shingles import mix, shingle_hashes
 
@@ -104,6 +104,7 @@ def _parts(k: int, bits: int):
     documents themselves and the shingles that several sets of the block hold."""
 
     def run(batches):
+        fresh()
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 24
         for b in batches:

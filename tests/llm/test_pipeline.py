@@ -82,3 +82,12 @@ def test_texts_that_stay_are_not_shuffled(spark):
     rows = spark.range(-3_000, 3_000).union(spark.createDataFrame([(None,)], "id long"))
     sure, rest = (sorted((r.id for r in x.collect()), key=str) for x in divided(rows, "id", keys))
     assert len(sure) + len(rest) == 6_001 and {7, -5, None} <= set(rest) and len(rest) < 20
+
+
+def test_near_duplicates_drops_what_earlier_stages_left_in_workers():
+    import pyarrow as pa
+    from spanframe.llm import common, jaccard
+
+    common.per_worker("left over", 1, lambda: bytearray(10))
+    out = list(jaccard._parts(3, 0)(iter(pa.table({"id": [1], "text": ["a b c d"]}).to_batches())))
+    assert len(out) == 1 and not common._WORKER

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,53 +68,63 @@ def dedupe_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 _ANY = "*"
 
 
-def replacements(mentions: DataFrame, pool: DataFrame, seed: int, bias: float = 0.0, extra: int | None = None, max_per_doc: int | None = None) -> DataFrame:
+def _own_and_any(lang: str) -> Column:
+    return F.array_distinct(F.array_compact(F.array(lang, F.lit(_ANY))))
+
+
+def replacements(mentions: DataFrame, pool: DataFrame, seed: int, bias: float = 0.0, extra: int | None = None, max_per_doc: int | None = None, bias_by_label: Mapping[str, float] | None = None) -> DataFrame:
     """(id, label, stem, new): another stem of the pool for each mention (id, label, stem, script, and lang if it has one).
 
-    All forms of a stem in a document get the same one. Stems of the mention's own language are preferred, those of
-    any language stand in where that has no other; the draw is weighted by n_words ** bias, among stems of at most
-    `extra` words more than the mention's, and of a document at most max_per_doc stems are replaced (those of the
-    least hashes). Only a mention whose pool holds no other stem has none.
+    All forms of a stem in a document, in any case, get the same one. Stems of the mention's own language are taken,
+    those of any language only where that has no other; the draw is weighted by n_words ** bias (or its label's),
+    among stems of at most `extra` words more than the mention's. Of a document at most max_per_doc stems that can
+    be replaced are (those of the least hashes). Only a mention whose stems leave no other has none.
 
     Stems of a group (label, script, language) stand in a row by words and name, each as long as its weight; a
-    mention draws a place in the part that its number of words allows, and what holds the place is found by an
-    equi-join on slices of the row, as many as it has stems. A draw of the mention's own stem takes the next one.
+    mention draws a place in the part that its number of words allows, less its own stem's, and what holds the place
+    is found by an equi-join on slices of the row, as many as it has stems.
     """
     group = ["label", "script", "lang"]
     own = F.col("lang") if "lang" in pool.columns else F.lit(None).cast("string")
     stock = pool.select("label", "script", own.alias("lang"), F.col("stem").alias("new"), "n_words")
-    stock = stock.where("lang is not null").unionAll(stock.withColumn("lang", F.lit(_ANY))).groupBy(*group, F.lower("new").alias("key")).agg(F.min("new").alias("new"), F.min("n_words").alias("n_words"))
+    stock = stock.withColumn("lang", F.explode(_own_and_any("lang"))).groupBy(*group, F.lower("new").alias("key")).agg(F.min("new").alias("new"), F.min("n_words").alias("n_words"))
     row = Window.partitionBy(*group).orderBy("n_words", "key")
-    sized = stock.withColumn("weight", F.pow(F.col("n_words").cast("double"), F.lit(bias)))
+    power = F.lit(float(bias))
+    for label, other in (bias_by_label or {}).items():
+        power = F.when(F.col("label") == label, float(other)).otherwise(power)
+    sized = stock.withColumn("weight", F.pow(F.col("n_words").cast("double"), power))
     to = F.sum("weight").over(row.rowsBetween(Window.unboundedPreceding, 0))
-    placed = sized.withColumns({"to": to, "count": F.count("*").over(Window.partitionBy(*group)), "place": F.row_number().over(row)})
-    placed = placed.withColumn("from", F.coalesce(F.lag("to").over(row), F.lit(0.0)))
-    limits = placed.groupBy(*group, F.col("n_words").alias("up_to")).agg(F.max("to").alias("part"), F.max("place").alias("others"))
+    placed = sized.withColumns({"to": to, "place": F.row_number().over(row)})
+    every = Window.partitionBy(*group)
+    placed = placed.withColumns({"from": F.coalesce(F.lag("to").over(row), F.lit(0.0)), "whole": F.max("to").over(every), "slices": F.max("place").over(every)})
+    by_words = placed.groupBy(*group, F.col("n_words").alias("up_to")).agg(F.max("to").alias("part"), F.max("place").alias("stems"))
+    limits = by_words.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("up_to", "part", "stems"))).alias("limits"), F.max("part").alias("whole"), F.max("stems").alias("slices"))
 
     lang = F.col("lang") if "lang" in mentions.columns else F.lit(None).cast("string")
-    asked = mentions.select("id", "label", "stem", "script", lang.alias("own")).groupBy("id", "label", "stem").agg(F.min("script").alias("script"), F.min("own").alias("own"))
+    asked = mentions.select("id", "label", "stem", "script", lang.alias("own")).groupBy("id", "label", F.lower("stem").alias("key")).agg(F.collect_set("stem").alias("forms"), F.min("script").alias("script"), F.min("own").alias("own"))
+    # Its own language's group and that of all languages.
+    choice = asked.withColumn("lang", F.explode(_own_and_any("own"))).join(limits, group)
+    choice = choice.join(placed.select(*group, "key", F.struct("from", "to", "place").alias("same")), [*group, "key"], "left")
+    choice = choice.where(F.col("slices") > F.when(F.col("same").isNotNull(), 1).otherwise(0))
+    taken = F.struct((F.col("lang") != _ANY).cast("int").alias("own"), "lang", "limits", "whole", "slices", "same", "forms")
+    choice = choice.groupBy("id", "label", "script", "key").agg(F.max_by(taken, (F.col("lang") != _ANY).cast("int")).alias("c")).select("id", "label", "script", "key", "c.*")
+    # The widest part that the mention's words allow; its own stem may stand in it.
+    fits = F.col("limits") if extra is None else F.filter("limits", lambda x: x["up_to"] <= F.size(words(F.col("key"))) + extra)
+    draw = choice.withColumn("part", F.get(fits, F.size(fits) - 1)).withColumn("same", F.when(F.col("same.place") <= F.col("part.stems"), F.col("same")))
+    draw = draw.where(F.col("part.stems") > F.when(F.col("same").isNotNull(), 1).otherwise(0))
     if max_per_doc is not None:
-        first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), "id", "label", "stem"), "label", "stem"))
-        asked = asked.withColumn("_n", first).where(F.col("_n") <= max_per_doc).drop("_n")
-    # The widest part that the mention's words allow, of its own language's group and of all languages'.
-    allowed = F.lit(True) if extra is None else F.col("up_to") <= F.size(words(F.col("stem"))) + extra
-    choice = asked.join(limits, ["label", "script"]).where((F.col("lang").eqNullSafe(F.col("own")) | (F.col("lang") == _ANY)) & allowed)
-    choice = choice.groupBy("id", "label", "stem", "script", "lang").agg(F.max("part").alias("part"), F.max("others").alias("others"))
-    same = placed.select(*group, F.col("key").alias("_same"), F.col("place").alias("_place"))
-    choice = choice.withColumn("_same", F.lower("stem")).join(same, [*group, "_same"], "left")
-    holds_other = F.col("others") > F.when(F.col("_place") <= F.col("others"), 1).otherwise(0)
-    prefer = F.struct((F.col("lang") != _ANY).cast("int").alias("own"), "lang", "part", "others", F.coalesce("_place", F.lit(0)).alias("_place"))
-    draw = choice.where(holds_other).groupBy("id", "label", "stem", "script").agg(F.max(prefer).alias("c")).select("id", "label", "stem", "script", "c.lang", "c.part", "c.others", "c._place")
-    draw = draw.withColumn("u", uniform(seed, "id", "label", "stem") * F.col("part"))
-
-    whole = placed.groupBy(*group).agg(F.max("to").alias("whole"), F.max("count").alias("slices"))
+        first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), "id", "label", "key"), "label", "key"))
+        draw = draw.withColumn("_n", first).where(F.col("_n") <= max_per_doc)
+    others = F.coalesce(F.col("same.from") + (F.col("part.part") - F.col("same.to")), F.col("part.part"))
+    draw = draw.withColumn("u", uniform(seed, "id", "label", "key") * others)
+    behind = F.col("same.to") + (F.col("u") - F.col("same.from"))
+    draw = draw.withColumn("u", F.when(F.col("u") >= F.col("same.from"), F.least(behind, F.col("part.part") * (1 - 2.0**-52))).otherwise(F.col("u")))
+
     slice_of = lambda at: F.least(F.floor(F.col(at) / F.col("whole") * F.col("slices")), F.col("slices") - 1)
-    parts = placed.join(whole, group).withColumn("slice", F.explode(F.sequence(slice_of("from"), slice_of("to")))).select(*group, "slice", "from", "to", "place")
-    hit = draw.join(whole, group).withColumn("slice", slice_of("u")).join(parts, [*group, "slice"]).where((F.col("from") <= F.col("u")) & (F.col("u") < F.col("to")))
-    hit = hit.select("id", "label", "stem", *[F.col(c).alias(c) for c in ("script", "lang")], "others", "_place", F.col("place").alias("drawn"))
-    place = F.when(F.col("drawn") == F.col("_place"), F.col("drawn") % F.col("others") + 1).otherwise(F.col("drawn"))
-    named = placed.select(*group, "place", "new")
-    return hit.withColumn("place", place).join(named, [*group, "place"]).select("id", "label", "stem", "new")
+    parts = placed.withColumn("slice", F.explode(F.sequence(slice_of("from"), slice_of("to")))).select(*group, "slice", "from", "to", "new")
+    draw = draw.withColumn("slice", slice_of("u")).select("id", *group, "slice", "u", "forms")
+    hit = draw.join(parts, [*group, "slice"]).where((F.col("from") <= F.col("u")) & (F.col("u") < F.col("to")))
+    return hit.select("id", "label", F.explode_outer("forms").alias("stem"), "new")
 
 
 def transliterated_stem(c: Column, to: str) -> Column:
@@ -141,5 +153,6 @@ def rebuilt(text: Column, entities: Column, surfaces: Column) -> Column:
 
 
 def match_case(new: Column, old: Column) -> Column:
-    """New in capitals where old is, else as it stands."""
-    return F.when((old == F.upper(old)) & (old != F.lower(old)) & (F.length(old) > 1), F.upper(new)).otherwise(new)
+    """New in capitals or small letters where old is, else as it stands; one capital alone tells nothing."""
+    capitals, small = (old == F.upper(old)) & (old != F.lower(old)) & (F.length(old) > 1), (old == F.lower(old)) & (old != F.upper(old))
+    return F.when(capitals, F.upper(new)).when(small, F.lower(new)).otherwise(new)

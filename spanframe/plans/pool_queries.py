@@ -79,9 +79,14 @@ def pool_stats_pivot(spark, sf_dir):
 
 @query()
 def replaced_mentions(spark, sf_dir):
-    """Another stem for every mention of the first round's stems, with its ending put back."""
+    """Another stem for every mention of the first round's stems, with its ending put back and in its case."""
     m = mentions(spark, sf_dir).where(P.is_clean_mention(F.col("surface")))
     cut = S.split_endings(m, S.learned(m))
-    asked = m.select("doc_id", "label", "surface").distinct().join(cut, "surface").select(F.col("doc_id").alias("id"), "label", "stem", T.script_presence(F.col("stem")).alias("script")).distinct()
-    pool = m.select("label", "surface").distinct().join(cut, "surface").groupBy("label", T.script_presence(F.col("stem")).alias("script"), F.lower("stem").alias("key")).agg(F.min("stem").alias("stem")).select("label", "script", "stem", F.size(T.words(F.col("stem"))).alias("n_words"))
-    return P.replacements(asked, pool, 11)
+    forms = m.select(F.col("doc_id").alias("id"), "label", "surface", "lang").distinct().join(cut, "surface")
+    counted = m.groupBy("label", "surface", "lang").agg(F.count("*").alias("n"), F.min("ord").alias("first")).join(cut, "surface")
+    by_lang = counted.groupBy("label", T.script_presence(F.col("stem")).alias("script"), F.lower("stem").alias("key"), "lang").agg(F.min("stem").alias("stem"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    pool = by_lang.groupBy("label", "script", "key").agg(F.min("stem").alias("stem"), F.max_by("lang", F.struct("n", -F.col("first"))).alias("lang")).withColumn("n_words", F.size(T.words(F.col("stem"))))
+    asked = forms.select("id", "label", "stem", T.script_presence(F.col("stem")).alias("script"), "lang")
+    new = P.replacements(asked, pool, 11, bias=1.5, extra=3)
+    surface = P.match_case(P.attach_ending(F.col("new"), F.col("ending")), F.col("stem"))
+    return forms.join(new, ["id", "label", "stem"]).select("id", "label", "surface", "stem", surface.alias("new"))

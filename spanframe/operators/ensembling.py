@@ -62,6 +62,52 @@ def word_emissions(tokens: DataFrame, words: DataFrame, classes: int) -> DataFra
     return by_word.select("doc_id", "word", F.when(F.col("mean").isNull(), outside).otherwise(probs).alias("probs"))
 
 
+#: Pairs of a word and a token that are looked at together.
+PAIRS = 4_000_000
+
+
+def emissions(words: tuple[np.ndarray, ...], tokens: tuple[np.ndarray, ...], probs: np.ndarray) -> np.ndarray:
+    """word_emissions() for many documents at a time: a row of probabilities for each word.
+
+    words: document, start and end of each; tokens alike, in the order of document, start and number; probs: a row a token.
+    """
+    some = tokens[1] < tokens[2]
+    (at, w_start, w_end), (of, start, end), probs = words, (x[some] for x in tokens), probs[some]
+    out = np.zeros((len(at), probs.shape[1]))
+    out[:, 0] = 1
+    if not len(of) or not len(at):
+        return out
+    # Documents side by side: what a word meets lies between the first token that reaches past its start and the last before its end.
+    far = int(max(end.max(), w_end.max(), w_start.max())) + 1
+    ends = of * far + end
+    reach = np.maximum.accumulate(ends)
+    low = np.searchsorted(reach, at * far + w_start, "right")
+    n = np.maximum(np.searchsorted(of * far + start, at * far + w_end, "left") - low, 0)
+    nested = bool((reach != ends).any())
+    upto = np.cumsum(n)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - n[a] + PAIRS, "right")))
+        word = np.repeat(np.arange(b - a), n[a:b])
+        token = np.arange(len(word)) - np.repeat(upto[a:b] - n[a:b] - (upto[a] - n[a]) - low[a:b], n[a:b])
+        if nested:
+            over = end[token] > w_start[a + word]
+            word, token = word[over], token[over]
+        count = np.bincount(word, minlength=b - a)
+        met = np.flatnonzero(count)
+        first = token[(np.cumsum(count) - count)[met]]
+        mean = [np.bincount(word, weights=probs[token, c], minlength=b - a)[met] / count[met] for c in range(probs.shape[1])]
+        whole = start[first] >= w_start[a + met]
+        out[a + met, 0] = mean[0]
+        for c in range(1, probs.shape[1], 2):
+            begin, both = probs[first, c], probs[first, c] + probs[first, c + 1]
+            share = np.where(whole & (both > 0), begin / np.where(both > 0, both, 1), 0.0)
+            out[a + met, c] = (mean[c] + mean[c + 1]) * share
+            out[a + met, c + 1] = (mean[c] + mean[c + 1]) * (1 - share)
+        a = b
+    return out
+
+
 def cells_on_words(cells: DataFrame, own: DataFrame, words: DataFrame, width: int) -> DataFrame:
     """A model's span cells on another grid: (doc_id, first, last, probs), where the span has at most `width` words.
 

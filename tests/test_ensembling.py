@@ -49,3 +49,31 @@ def test_label_sets():
 
 def test_length_batches():
     assert E.length_batches([3, 9, 1, 20, 3], 3, 12) == [[3], [1], [0, 4, 2]]
+
+
+def test_emissions_of_many_documents_at_once(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    monkeypatch.setattr(E, "PAIRS", 50)
+    for nested in (False, True):
+        tokens, words = [], []
+        for d in range(12):
+            cuts = np.sort(rnd.choice(60, 20, replace=False))
+            t = [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            t += [(5, 50), (5, 5), (7, 9), (7, 30)] * nested
+            tokens += [(d, i, a, b, [float(x) for x in rnd.dirichlet(np.ones(5))]) for i, (a, b) in enumerate(sorted(t)) if d != 4]
+            words += [(d, i, int(a), int(a + n)) for i, (a, n) in enumerate(zip(np.sort(rnd.integers(0, 70, 15)), rnd.integers(0, 9, 15), strict=True))]
+        t = spark.createDataFrame(tokens, "doc_id long, token int, start long, end long, probs array<double>")
+        w = spark.createDataFrame(words, "doc_id long, word int, start long, end long")
+        want = {(r["doc_id"], r["word"]): r["probs"] for r in E.word_emissions(t, w, 5).collect()}
+        col = lambda rows, k: np.array([r[k] for r in rows])
+        got = E.emissions(tuple(col(words, k) for k in (0, 2, 3)), tuple(col(tokens, k) for k in (0, 2, 3)), col(tokens, 4))
+        assert np.allclose(got, [want[d, i] for d, i, _, _ in words], atol=1e-12)
+
+
+def test_query_of_emissions_deals_nothing(spark):
+    from spanframe.plans.decode_queries import word_emissions
+
+    plan = word_emissions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

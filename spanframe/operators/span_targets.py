@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,3 +124,52 @@ def span_losses(scores: DataFrame, targets: DataFrame, lengths: DataFrame) -> Da
     met = inside.join(own.hint("shuffle_hash"), "doc_id", "left").withColumn("target", target)
     loss = F.when(F.col("target").isNull(), -F.get(log_softmax(F.col("scores")), F.lit(0))).otherwise(cross_entropy(F.col("scores"), F.col("target")))
     return met.groupBy("doc_id").agg(F.sum(loss).alias("loss"), F.count("*").alias("n"))
+
+
+def smoothed_grid(words: tuple[np.ndarray, ...], spans: tuple[np.ndarray, ...], types: int, width: int, epsilon: float, distance: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """smoothed_targets() of gold_cells() for many documents at a time: (inside, cells, targets).
+
+    words: document, start and end of each, in order, neither starts nor ends falling within a document; spans: document,
+    start, end and class (from 1, in the order of the types' names). inside: words x width, whether a cell is one of its
+    document; cells: the places in that grid (word * width + k) that gold reaches, targets their distributions.
+    """
+    (of, w_start, w_end), (at, start, end, kind) = words, spans
+    n = np.bincount(of, minlength=int(at.max(initial=-1)) + 1)
+    last = np.cumsum(n)[of] - 1
+    left = last - np.arange(len(of)) + 1  # words from here to the document's end
+    inside = np.arange(width) < left[:, None]
+    far = int(max(w_end.max(initial=0), end.max(initial=0))) + 1
+    low = np.searchsorted(of * far + w_end, at * far + start, "right")
+    k = np.searchsorted(of * far + w_start, at * far + end, "left") - 1 - low
+    some = (k >= 0) & (k < width)
+    order = np.lexsort((kind[some], end[some], start[some], k[some], low[some]))
+    low, k, kind = (x[some][order] for x in (low, k, kind))
+    top = np.append((low[1:] != low[:-1]) | (k[1:] != k[:-1]), True)[: len(low)]  # of spans in one cell the last
+    low, k, kind = low[top], k[top], kind[top]
+    first = last[low] + 1 - n[of[low]]
+    near = []
+    for i, d in shifts(distance):
+        w, j = low + i, k + d
+        near.append(((w >= first) & (j >= 0) & (j < width) & (w + j <= last[low]), w * width + j))
+    m = sum((ok.astype(np.int64) for ok, _ in near), np.zeros(len(low), np.int64))
+    place = np.concatenate([low * width + k, *(p[ok] for ok, p in near)])
+    mass = np.concatenate([np.where(m > 0, 1 - epsilon, 1.0), *(epsilon / m[ok] for ok, _ in near)])
+    cells, own = np.unique(place, return_inverse=True)
+    out = np.zeros((len(cells), types + 1))
+    np.add.at(out, (own, np.concatenate([kind, *(kind[ok] for ok, _ in near)])), mass)
+    out[:, 0] = np.maximum(0.0, 1 - out[:, 1:].sum(1))
+    return inside, cells, out / out.sum(1, keepdims=True)
+
+
+def grid_losses(of: np.ndarray, scores: np.ndarray, inside: np.ndarray, cells: np.ndarray, targets: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """span_losses() against smoothed_grid(): the sum of each document's cross-entropies, and how many cells it has.
+
+    of: each word's document; scores: words x width x classes.
+    """
+    top = scores.max(-1)
+    total = np.log(np.exp(scores - top[..., None]).sum(-1)) + top
+    loss = total - scores[..., 0]  # plainly none
+    width = inside.shape[1]
+    w, k = cells // width, cells % width
+    loss[w, k] = (targets * (total[w, k][:, None] - scores[w, k])).sum(1)
+    return np.bincount(of, weights=(loss * inside).sum(1), minlength=documents), np.bincount(of, weights=inside.sum(1), minlength=documents).astype(np.int64)

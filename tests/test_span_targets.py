@@ -83,6 +83,27 @@ def test_targets_smoothing_and_loss(spark, made):
             assert (r["loss"], r["n"]) == (pytest.approx(loss), len(inside))
 
 
+def test_losses_of_many_documents_at_once(spark, made):
+    words, spans, w, s = made
+    ids = sorted({d for d, *_ in words})
+    doc, place, start, end = np.array(words).T
+    of = np.searchsorted(ids, doc)
+    gold = np.array([(ids.index(d), a, b, 1 + sorted(TYPES).index(t)) for d, a, b, t in spans if t in TYPES]).T
+    x = ((np.array(ids)[of] * 5 + place * 3)[:, None, None] + np.arange(WIDTH)[:, None] * 7 + np.arange(4) * 4) % 11 / 3
+    lengths = w.groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = spark.createDataFrame([(int(doc[i]), int(place[i]), k, x[i, k].tolist()) for i in range(len(of)) for k in range(WIDTH)], "doc_id long, word long, k long, scores array<double>")
+    for epsilon, distance in ((0.2, 1), (0.3, 2)):
+        loss, n = T.grid_losses(of, x, *T.smoothed_grid((of, start, end), tuple(gold), len(TYPES), WIDTH, epsilon, distance), len(ids))
+        want = {r["doc_id"]: (r["loss"], r["n"]) for r in T.span_losses(rows, T.smoothed_targets(T.gold_cells(w, s, TYPES, WIDTH), lengths, TYPES, WIDTH, epsilon, distance), lengths).collect()}
+        assert {d: (pytest.approx(loss[i]), n[i]) for i, d in enumerate(ids) if n[i]} == want
+
+
+def test_query_of_losses_deals_nothing(spark):
+    from spanframe.plans.target_queries import span_loss
+
+    assert "Exchange" not in span_loss(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_token_losses_and_reductions(spark):
     rows = [([0.0, 1.0, -2.0], 1), ([3.0, 0.5, 0.0], 2), ([1.0, 1.0, 1.0], T.IGNORE), ([700.0, -700.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "scores array<double>, target int")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from functools import cache
+from itertools import accumulate
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,15 +116,107 @@ def moves(source: Column, to: str) -> Column:
     return let(latin_pieces(source) if to == "latin" else cyrillic_pieces(source), told)
 
 
+def _cased_text(piece: str, source: str, all_caps: bool) -> str:
+    first = source[:1]
+    if all_caps:
+        return piece.upper()
+    return piece[:1].upper() + piece[1:] if first == first.upper() and first != first.lower() else piece
+
+
+def run_pieces(word: str, to: str) -> list[tuple[str, str]]:
+    """(source, piece) of a run as latin_pieces() and cyrillic_pieces() have them."""
+    caps, out = word == word.upper() and word != word.lower(), []
+    sources = list(word) if to == "latin" else _PIECES.findall(word)
+    for i, source in enumerate(sources):
+        low = source.lower()
+        if to == "latin":
+            mapped = "ye" if low == "е" and (not i or sources[i - 1].lower() in _YE_AFTER) else K.CYRILLIC_TO_LATIN.get(low)
+        else:
+            mapped = K.LATIN_PAIRS.get(low, K.LATIN_TO_CYRILLIC.get(low))
+        out.append((source, source if mapped is None else _cased_text(mapped, source, caps)))
+    return out
+
+
+_PIECES = re.compile("(?is)" + "|".join(K.LATIN_PAIRS) + "|.", re.ASCII)
+_YE_AFTER = frozenset(K.YE_AFTER)
+_SPLIT = re.compile(r"[^\W\d_]+|[\W\d_]+")
+#: Runs that a worker remembers.
+RUNS = 200_000
+
+
+class _Runs(dict):
+    """What runs become in an alphabet, made when first asked for."""
+
+    def __init__(self, to: str):
+        super().__init__()
+        self.to = to
+
+    def __missing__(self, run: str) -> str:
+        if len(self) >= RUNS:
+            self.clear()
+        self[run] = out = "".join(p for _, p in run_pieces(run, self.to))
+        return out
+
+
+@cache
+def _runs(to: str) -> _Runs:
+    return _Runs(to)
+
+
+def _inside(run: str, at: int, to: str) -> int | None:
+    """Where a place within a run goes in what it becomes; None inside a pair."""
+    old = new = 0
+    for source, piece in run_pieces(run, to):
+        if old >= at:
+            break
+        old, new = old + len(source), new + len(piece)
+    return new if old == at else None
+
+
+def moved_spans(text: str, spans: list[tuple[int | None, int | None]], runs: _Runs) -> tuple[str, list[tuple[int | None, int | None]]]:
+    """The text in the alphabet of runs, and where the bounds of spans go; None inside a pair and off the text."""
+    parts = _SPLIT.findall(text)
+    new = [runs[p] for p in parts]
+    if not spans:
+        return "".join(new), []
+    old_at, new_at = (list(accumulate(map(len, x), initial=0)) for x in (parts, new))
+
+    def moved(at: int | None) -> int | None:
+        if at is None or not 0 <= at <= old_at[-1]:
+            return None
+        i = bisect_right(old_at, at) - 1
+        if old_at[i] == at:
+            return new_at[i]
+        rest = _inside(parts[i], at - old_at[i], runs.to)
+        return None if rest is None else new_at[i] + rest
+
+    return "".join(new), [(moved(a), moved(b)) for a, b in spans]
+
+
+_MOVED = "struct<text:string,entities:array<struct<label:string,start:int,end:int>>,reason:string>"
+_SPANS = pa.list_(pa.struct({"label": pa.string(), "start": pa.int32(), "end": pa.int32()}))
+
+
 def transliterate(text: Column, entities: Column, to: str) -> Column:
     """struct(text, entities, reason): spans follow their pieces; null with a reason where one cannot.
 
-    A span may not begin or end inside a pair that becomes one letter, nor vanish.
+    A span may not begin or end inside a pair that becomes one letter, nor vanish. Runs are looked up in the worker.
     """
-    def told(new):
-        moved = lambda at: F.get(new["at"], at)
-        spans = F.transform(entities, lambda e: F.struct(e["label"].alias("label"), moved(e["start"]).alias("start"), moved(e["end"]).alias("end")))
-        reason = F.when(F.exists(spans, lambda e: e["start"].isNull() | e["end"].isNull()), "inside a pair").when(F.exists(spans, lambda e: e["start"] >= e["end"]), "vanished")
-        return F.struct(F.when(reason.isNull(), new["text"]).alias("text"), F.when(reason.isNull(), spans).alias("entities"), reason.alias("reason"))
 
-    return let(moves(unify_apostrophes(text), to), told)
+    @F.arrow_udf(_MOVED)
+    def told(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        runs, texts_out, spans_out, reasons = _runs(to), [], [], []
+        values = lists.values
+        labels, starts, ends = (pc.struct_field(values, c).to_pylist() for c in ("label", "start", "end"))
+        offsets, none = lists.offsets.to_pylist(), lists.is_null().to_pylist()
+        for i, t in enumerate(texts.to_pylist()):
+            a, b = (offsets[i], offsets[i + 1]) if not none[i] else (0, 0)
+            spans = list(zip(starts[a:b], ends[a:b], strict=True))
+            new, moved = (None, [(None, None)] * len(spans)) if t is None else moved_spans(t, spans, runs)
+            reason = "inside a pair" if any(x is None or y is None for x, y in moved) else "vanished" if any(x >= y for x, y in moved) else None
+            texts_out.append(new if reason is None else None)
+            spans_out.append(None if reason or none[i] else [{"label": n, "start": x, "end": y} for n, (x, y) in zip(labels[a:b], moved, strict=True)])
+            reasons.append(reason)
+        return pa.StructArray.from_arrays([pa.array(texts_out, pa.string()), pa.array(spans_out, _SPANS), pa.array(reasons, pa.string())], names=["text", "entities", "reason"])
+
+    return told(unify_apostrophes(text), entities)

@@ -112,3 +112,26 @@ def test_offsets_composition_stems_and_rebuilding(spark):
     out = one.select(rebuilt(F.col("t"), F.col("e"), F.col("s")).alias("r")).first()["r"]
     assert out["text"] == "Salim va Vali keldi" and [tuple(e) for e in out["entities"]] == [("NAME", 0, 5), ("NAME", 9, 13)]
     assert rows(spark, ["ALI"]).select(match_case(F.lit("Vali"), F.col("t"))).first()[0] == "VALI"
+
+
+@pytest.mark.parametrize("to", ["latin", "cyrillic"])
+def test_spans_by_runs_are_those_by_letters(spark, to):
+    rnd = random.Random(8)
+    letters = list("yYoOshcCtgʻ'’aeEzwqяЯеЕёшЮЪьцўҒ ²Ⅷ1.-_\n🙂ßİKſéǅ")
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 25))) for _ in range(400)] + [None, "", "ЕЁ Yo", "SHAHAR"]
+    spans = [[("GEO", *sorted(rnd.sample(range(28), 2))) if rnd.random() < 0.9 else ("GEO", None, 2) for _ in range(rnd.randint(0, 2))] if rnd.random() < 0.95 else None for _ in texts]
+    df = spark.createDataFrame(list(zip(texts, spans, strict=True)), "text string, entities array<struct<label:string,start:int,end:int>>")
+    moved = X.moves(T.unify_apostrophes(F.col("text")), to).alias("m")
+    for r in df.select("entities", moved, X.transliterate(F.col("text"), F.col("entities"), to).alias("o")).collect():
+        at = lambda i, m=r["m"]: None if i is None or m["at"] is None or i >= len(m["at"]) else m["at"][i]
+        want = None if r["entities"] is None else [(e["label"], at(e["start"]), at(e["end"])) for e in r["entities"]]
+        reason = "inside a pair" if any(None in e for e in want or ()) else "vanished" if any(a >= b for _, a, b in want or ()) else None
+        assert r["o"]["reason"] == reason
+        assert r["o"]["text"] == (None if reason else r["m"]["text"])
+        assert (None if r["o"]["entities"] is None else [tuple(e) for e in r["o"]["entities"]]) == (None if reason else want)
+
+
+def test_transliterated_records_are_not_dealt(spark):
+    from spanframe.plans.text_queries import transliterate_records
+
+    assert "Exchange" not in transliterate_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from functools import cache
-from itertools import accumulate
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -140,83 +139,111 @@ def run_pieces(word: str, to: str) -> list[tuple[str, str]]:
 _PIECES = re.compile("(?is)" + "|".join(K.LATIN_PAIRS) + "|.", re.ASCII)
 _YE_AFTER = frozenset(K.YE_AFTER)
 _SPLIT = re.compile(r"[^\W\d_]+|[\W\d_]+")
-#: Runs that a worker remembers.
-RUNS = 200_000
+#: Runs that a worker remembers, and texts that are put together in one go.
+RUNS, TOGETHER = 200_000, 500
 
 
-class _Runs(dict):
-    """What runs become in an alphabet, made when first asked for."""
+@lru_cache(maxsize=RUNS)
+def _run(run: str, to: str) -> str:
+    return "".join(p for _, p in run_pieces(run, to))
 
-    def __init__(self, to: str):
-        super().__init__()
-        self.to = to
 
-    def __missing__(self, run: str) -> str:
-        if len(self) >= RUNS:
-            self.clear()
-        self[run] = out = "".join(p for _, p in run_pieces(run, self.to))
-        return out
+def _word(word: str, to: str) -> str:
+    return _run(word, to) if word.isalpha() else "".join([_run(r, to) for r in _SPLIT.findall(word)])
 
 
-@cache
-def _runs(to: str) -> _Runs:
-    return _Runs(to)
+_PAIRS = re.compile("|".join(K.LATIN_PAIRS))
+_LETTERS = {ord(a): b for a, b in K.LATIN_TO_CYRILLIC.items() if len(a) == 1}
 
 
-def _inside(run: str, at: int, to: str) -> int | None:
-    """Where a place within a run goes in what it becomes; None inside a pair."""
-    old = new = 0
-    for source, piece in run_pieces(run, to):
-        if old >= at:
-            break
-        old, new = old + len(source), new + len(piece)
-    return new if old == at else None
+def _words(words: list[str], to: str) -> list[str]:
+    """Words in the other alphabet: to Cyrillic those of small letters, but for a first ASCII one, all at once."""
+    if to == "latin":
+        return [_word(w, to) for w in words]
+    low = [w.lower() for w in words]
+    first = [w != x and w[0].isascii() and w[0].isupper() and w[1:2].islower() and w[1:] == x[1:] for w, x in zip(words, low, strict=True)]
+    small = " ".join([x if w == x or f else "" for w, x, f in zip(words, low, first, strict=True)])
+    done = _PAIRS.sub(lambda m: K.LATIN_PAIRS[m.group()], small).translate(_LETTERS).split(" ")
+    return [d if w == x else d[0].upper() + d[1:] if f else _word(w, to) for w, x, f, d in zip(words, low, first, done, strict=False)]
 
 
-def moved_spans(text: str, spans: list[tuple[int | None, int | None]], runs: _Runs) -> tuple[str, list[tuple[int | None, int | None]]]:
-    """The text in the alphabet of runs, and where the bounds of spans go; None inside a pair and off the text."""
-    parts = _SPLIT.findall(text)
-    new = [runs[p] for p in parts]
-    if not spans:
-        return "".join(new), []
-    old_at, new_at = (list(accumulate(map(len, x), initial=0)) for x in (parts, new))
+@lru_cache(maxsize=RUNS)
+def _inside(word: str, at: int, to: str) -> int | None:
+    """Where a place within a word goes in what it becomes; None inside a pair."""
+    old = new = 0
+    for run in _SPLIT.findall(word):
+        for source, piece in run_pieces(run, to):
+            if old >= at:
+                return new if old == at else None
+            old, new = old + len(source), new + len(piece)
+    return new if old == at else None
 
-    def moved(at: int | None) -> int | None:
-        if at is None or not 0 <= at <= old_at[-1]:
-            return None
-        i = bisect_right(old_at, at) - 1
-        if old_at[i] == at:
-            return new_at[i]
-        rest = _inside(parts[i], at - old_at[i], runs.to)
-        return None if rest is None else new_at[i] + rest
 
-    return "".join(new), [(moved(a), moved(b)) for a, b in spans]
+def _moved(texts: pa.Array, lists: pa.Array, to: str) -> pa.StructArray:
+    """transliterate() for texts and their spans; runs of letters end at spaces, so words between these are looked up."""
+    split = pc.split_pattern(texts, " ")
+    n = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pc.list_flatten(split).dictionary_encode()
+    new = pa.array(_words(words.dictionary.to_pylist(), to), pa.string()).take(words.indices)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), new), " ")
+    row, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+
+    def placed(length: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        length = length.to_numpy(zero_copy_only=False).astype(np.int64)
+        passed = np.append(0, np.cumsum(length + 1))[:-1]
+        return length, passed - passed[first[row]]
+
+    of_word, letters = words.indices.to_numpy(zero_copy_only=False), pc.utf8_length(words.dictionary)
+    (old_n, old_at), (new_n, new_at) = placed(letters.take(words.indices)), placed(pc.utf8_length(new))
+    each = lists.flatten()
+    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), count)
+    whole = np.full(len(n), -1)
+    whole[n > 0] = (old_at + old_n)[(first + n - 1)[n > 0]]
+    far = int(whole.max(initial=0)) + 2
+
+    def moved(name: str) -> tuple[np.ndarray, np.ndarray]:
+        at = pc.struct_field(each, name)
+        lacks = at.is_null().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lacks |= (at < 0) | (at > whole[of])
+        out = np.zeros(len(at), np.int64)
+        some = np.flatnonzero(~lacks)
+        word = np.searchsorted(row * far + old_at, of[some] * far + at[some], "right") - 1
+        rest = at[some] - old_at[word]
+        out[some] = new_at[word] + np.where(rest == old_n[word], new_n[word], 0)
+        for i in np.flatnonzero((rest > 0) & (rest < old_n[word])).tolist():
+            place = _inside(words.dictionary[of_word[word[i]]].as_py(), int(rest[i]), to)
+            if place is None:
+                lacks[some[i]] = True
+            else:
+                out[some[i]] += place
+        return out, lacks
+
+    (start, no_start), (end, no_end) = moved("start"), moved("end")
+    inside = np.bincount(of, weights=no_start | no_end, minlength=len(n)) > 0
+    gone = np.bincount(of, weights=start >= end, minlength=len(n)) > 0
+    reason = pa.array(np.where(inside, "inside a pair", "vanished").astype(object), pa.string(), mask=~(inside | gone))
+    told = inside | gone
+    spans = pa.StructArray.from_arrays([pc.struct_field(each, "label").cast(pa.string()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["label", "start", "end"])
+    no_list = told | lists.is_null().to_numpy(zero_copy_only=False)
+    entities = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), spans, mask=pa.array(no_list))
+    no_text = pa.array(told | texts.is_null().to_numpy(zero_copy_only=False))
+    return pa.StructArray.from_arrays([pc.if_else(no_text, pa.scalar(None, pa.string()), joined), entities, reason], names=["text", "entities", "reason"])
 
 
 _MOVED = "struct<text:string,entities:array<struct<label:string,start:int,end:int>>,reason:string>"
-_SPANS = pa.list_(pa.struct({"label": pa.string(), "start": pa.int32(), "end": pa.int32()}))
 
 
 def transliterate(text: Column, entities: Column, to: str) -> Column:
     """struct(text, entities, reason): spans follow their pieces; null with a reason where one cannot.
 
-    A span may not begin or end inside a pair that becomes one letter, nor vanish. Runs are looked up in the worker.
+    A span may not begin or end inside a pair that becomes one letter, nor vanish. Runs of letters are looked up in the worker.
     """
 
     @F.arrow_udf(_MOVED)
     def told(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        runs, texts_out, spans_out, reasons = _runs(to), [], [], []
-        values = lists.values
-        labels, starts, ends = (pc.struct_field(values, c).to_pylist() for c in ("label", "start", "end"))
-        offsets, none = lists.offsets.to_pylist(), lists.is_null().to_pylist()
-        for i, t in enumerate(texts.to_pylist()):
-            a, b = (offsets[i], offsets[i + 1]) if not none[i] else (0, 0)
-            spans = list(zip(starts[a:b], ends[a:b], strict=True))
-            new, moved = (None, [(None, None)] * len(spans)) if t is None else moved_spans(t, spans, runs)
-            reason = "inside a pair" if any(x is None or y is None for x, y in moved) else "vanished" if any(x >= y for x, y in moved) else None
-            texts_out.append(new if reason is None else None)
-            spans_out.append(None if reason or none[i] else [{"label": n, "start": x, "end": y} for n, (x, y) in zip(labels[a:b], moved, strict=True)])
-            reasons.append(reason)
-        return pa.StructArray.from_arrays([pa.array(texts_out, pa.string()), pa.array(spans_out, _SPANS), pa.array(reasons, pa.string())], names=["text", "entities", "reason"])
+        parts = [_moved(texts.slice(i, TOGETHER), lists.slice(i, TOGETHER), to) for i in range(0, max(1, len(texts)), TOGETHER)]
+        return pa.concat_arrays(parts)
 
     return told(unify_apostrophes(text), entities)

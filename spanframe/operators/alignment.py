@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,28 @@ def bio_tags(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return met(tokens.select("doc_id", "pos", "t_start", "t_end"), first).select("doc_id", "pos", F.coalesce(F.array_max(tag)["tag"], F.lit("O")).alias("tag"))
 
 
+def begun(tokens: tuple[np.ndarray, ...], spans: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """bio_tags() for many documents at a time: each token's span (its place, -1 for O) and whether it begins it.
+
+    tokens: document, start and end of each, none empty, in order: neither starts nor ends fall within a document;
+    spans: document, start, end and label, whose order is that of the labels' names.
+    """
+    (of, start, end), (at, s_start, s_end, label) = tokens, spans
+    far = int(max(end.max(initial=0), s_end.max(initial=0))) + 1
+    low = np.searchsorted(of * far + end, at * far + s_start, "right")
+    n = np.maximum(np.searchsorted(of * far + start, at * far + s_end, "left") - low, 0)
+    span = np.repeat(np.arange(len(at)), n)
+    token = np.arange(len(span)) + np.repeat(low - (np.cumsum(n) - n), n)
+    begins = token == low[span]
+    # The last by start and by tag, B- before I-, counts.
+    order = np.lexsort((label[span], ~begins, s_start[span], token))
+    span, token, begins = span[order], token[order], begins[order]
+    top = np.append(token[1:] != token[:-1], True)[: len(token)]
+    own, first = np.full(len(of), -1), np.zeros(len(of), bool)
+    own[token[top]], first[token[top]] = span[top], begins[top]
+    return own, first
+
+
 def covering_tags(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, pos, tag: a token that holds the first character of the span it overlaps (the first of several) begins
     it, others are inside, or O; null for empty tokens."""

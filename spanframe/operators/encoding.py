@@ -8,6 +8,7 @@ leave out white space at a token's start; a token of nothing else is empty (star
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator, Mapping
@@ -15,10 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.operators.assembly import numbered_languages
+from spanframe.operators.fixtures import bounds
 
 #: Characters of a slice, and of the slices that are encoded in one call.
 SLICE, TOGETHER = 50_000, 1_000_000
@@ -101,6 +104,88 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, slice int, first long, ids array<int>, starts array<int>, ends array<int>")
 
 
+@lru_cache(maxsize=2)
+def _between_spaces(path: str) -> bool:
+    """Whether the tokenizer is known to begin a new token at each single space between two other characters, whatever else stands in the text."""
+    told = json.loads(_tokenizer(path).to_str())
+    pre = told["pre_tokenizer"] or {}
+    plain = not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"])
+    return plain and told["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+
+
+#: Words whose tokens a worker remembers.
+WORDS = 300_000
+
+
+class _Words:
+    """Bounds of the tokens of words, side by side, found when first asked for."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.first, self.start, self.end = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, words: list[str], path: str) -> np.ndarray:
+        """The words' numbers; the tokens of number i are those from first[i] up to first[i + 1]."""
+        if len(self.at) > WORDS:
+            self.__init__()
+        new = [w for w in dict.fromkeys(words) if w not in self.at]
+        if new:
+            found = [e.offsets for e in _tokenizer(path).encode_batch(new, add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            spans = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
+            # Starts go over white space, to the end at most: of a word without any but a space in front that is one character.
+            start = np.maximum(spans[:, 0], np.repeat(np.fromiter((w[0] == " " for w in new), np.int64, len(new)), n))
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.first = np.append(self.first, self.first[-1] + np.cumsum(n))
+            self.start, self.end = np.append(self.start, np.minimum(start, spans[:, 1])), np.append(self.end, spans[:, 1])
+        return np.fromiter((self.at[w] for w in words), np.int64, len(words))
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> _Words:
+    return _Words()
+
+
+_SPACE = re.compile(r"\s")
+
+
+def token_bounds(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, ...]:
+    """(row, start, end) of the tokens() of texts that are not empty, in order.
+
+    Where the tokenizer allows it, words between single spaces are encoded once in a worker and looked up; texts with
+    other white space, or with more than a space between words, are encoded by slices.
+    """
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    row, place, at, _ = bounds(texts)
+    plain = np.zeros(len(texts), bool)
+    if _between_spaces(tokenizer):
+        words = pc.list_flatten(pc.split_pattern(texts, " ")).dictionary_encode()
+        each, code = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+        odd = np.fromiter((not w or _SPACE.search(w) is not None for w in each), bool, len(each))
+        plain = ~null & (np.bincount(row, weights=odd[code], minlength=len(texts)) == 0)
+    out = []
+    keep = plain[row]
+    if keep.any():
+        row, place, at, code = row[keep], place[keep], at[keep], code[keep]
+        # A word but the first has its space in front.
+        asked, of = np.unique(code * 2 + (place > 0), return_inverse=True)
+        known = _words(tokenizer)
+        number = known.places([" " * (k & 1) + each[k >> 1] for k in asked.tolist()], tokenizer)[of]
+        n = known.first[number + 1] - known.first[number]
+        token = np.arange(n.sum()) + np.repeat(known.first[number] - (np.cumsum(n) - n), n)
+        from_ = np.repeat(at - (place > 0), n)
+        out.append((np.repeat(row, n), from_ + known.start[token], from_ + known.end[token]))
+    for i in np.flatnonzero(~plain & ~null).tolist():
+        text = texts[i].as_py()
+        for a, part in slices(text):
+            spans = np.array(_tokenizer(tokenizer).encode(part, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+            out.append((np.full(len(spans), i), trimmed(part, spans[:, 0], spans[:, 1]) + a, spans[:, 1] + a))
+    row, start, end = (np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64) for c in range(3))
+    some = np.flatnonzero(start < end)
+    some = some[np.argsort(row[some], kind="stable")]
+    return row[some], start[some], end[some]
+
+
 def tokens(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, pos, token, t_start, t_end): a row a token, empty ones too."""
     each = F.posexplode(F.arrays_zip("ids", "starts", "ends")).alias("i", "t")

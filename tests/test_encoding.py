@@ -95,3 +95,36 @@ def test_corpus_of_parts(spark):
     rows = N.tokenized_corpus({"a": make("one two", None), "b": make("one two", "three")}, {"a": 4, "b": 2}, public_tokenizers.path(NAME)).collect()
     assert sorted((r["lang_id"], tuple(r["ids"])) for r in rows) == sorted((n, tuple(i for i, _, _ in whole(t))) for n, t in ((4, "one two"), (4, None), (2, "one two"), (2, "three")))
     assert len({(r["lang_id"], r["row"]) for r in rows}) == 4
+
+
+def test_bounds_by_words_are_those_of_tokens(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+    import public_tokenizers
+
+    from spanframe.operators import alignment as A
+    from spanframe.operators import encoding as N
+
+    path, rnd = public_tokenizers.path("byte_bpe_50k.json"), random.Random(2)
+    pieces = ["Anna", "it's", "x,y", "🙂", "é", "12", "...", "<|endoftext|>", "日本", "\u0301a", "b\xa0c", "\x1c"]
+    texts = [" ".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(150)]
+    texts += ["", " ", "a  b", " a", "b ", "a\n b\tc", None, "a\u3000 b"]
+    monkeypatch.setattr(N, "WORDS", 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = N.tokens(N.encode(docs, path)).where("t_end > t_start").orderBy("doc_id", "pos").collect()
+    got = [np.concatenate(x) for x in zip(*((r + i, s, e) for i in range(0, len(texts), 50) for r, s, e in [N.token_bounds(pa.array(texts[i : i + 50], pa.string()), path)]), strict=True)]
+    assert [(r["doc_id"], r["t_start"], r["t_end"]) for r in want] == list(zip(*(x.tolist() for x in got), strict=True))
+    # Tags of them against those of rows; spans overlap.
+    spans = sorted({(i, a, a + rnd.randint(1, 8), rnd.choice("AB")) for i, t in enumerate(texts) if t for a in rnd.sample(range(len(t) + 3), 2)})
+    tokens = spark.createDataFrame([(r["doc_id"], r["pos"], r["t_start"], r["t_end"]) for r in want], "doc_id long, pos long, t_start long, t_end long")
+    tags = A.bio_tags(tokens, spark.createDataFrame(spans, "doc_id long, start long, end long, label string")).orderBy("doc_id", "pos").collect()
+    own, begins = A.begun(tuple(got), tuple(np.array(c) for c in zip(*spans, strict=True)))
+    assert [r["tag"] for r in tags] == ["O" if s < 0 else ("B-" if b else "I-") + spans[s][3] for s, b in zip(own.tolist(), begins.tolist(), strict=True)]
+
+
+def test_query_of_sub_words_deals_nothing(spark):
+    from spanframe.plans.encoding_queries import subword_bio
+
+    assert "Exchange" not in subword_bio(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

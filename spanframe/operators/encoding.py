@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +114,8 @@ def _between_spaces(path: str) -> bool:
     return plain and told["normalizer"] is None and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
 
 
-#: Words whose tokens a worker remembers.
-WORDS = 300_000
+#: Words whose tokens a worker remembers, and that are encoded as one text.
+WORDS, TOGETHER_WORDS = 300_000, 2_000
 
 
 class _Words:
@@ -130,11 +131,25 @@ class _Words:
             self.__init__()
         new = [w for w in dict.fromkeys(words) if w not in self.at]
         if new:
-            found = [e.offsets for e in _tokenizer(path).encode_batch(new, add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            spans = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
-            # Starts go over white space, to the end at most: of a word without any but a space in front that is one character.
-            start = np.maximum(spans[:, 0], np.repeat(np.fromiter((w[0] == " " for w in new), np.int64, len(new)), n))
+            # Those with a space in front are encoded side by side, as they stand in a text; the others by themselves.
+            new.sort(key=lambda w: w[0] != " ")
+            length = np.fromiter(map(len, new), np.int64, len(new))
+            spaced = int(np.searchsorted(np.fromiter((w[0] != " " for w in new), bool, len(new)), True))
+            groups = [*range(0, spaced, TOGETHER_WORDS), *range(spaced, len(new) + 1)]
+            found = _tokenizer(path).encode_batch(["".join(new[i:j]) for i, j in pairwise(groups)], add_special_tokens=False)
+            at = np.cumsum(length) - length  # in all of them, one after the other
+            size = np.fromiter((len(e) for e in found), np.int64, len(found))
+            spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * int(size.sum())).reshape(-1, 2)
+            spans += np.repeat(at[groups[:-1]], size)[:, None]
+            own = np.searchsorted(at, spans[:, 0], "right") - 1
+            n = np.bincount(own, minlength=len(new))
+            spans -= at[own][:, None]
+            # Starts go over white space, to the end at most: one character where there is none but a space in front.
+            start = np.maximum(spans[:, 0], own < spaced)
+            first = np.cumsum(n) - n
+            for i in [i for i, w in enumerate(new) if _SPACE.search(w, 1)]:
+                its = slice(first[i], first[i] + n[i])
+                start[its] = trimmed(new[i], spans[its, 0], spans[its, 1])
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.first = np.append(self.first, self.first[-1] + np.cumsum(n))
             self.start, self.end = np.append(self.start, np.minimum(start, spans[:, 1])), np.append(self.end, spans[:, 1])
@@ -153,7 +168,7 @@ def token_bounds(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, ...]:
     """(row, start, end) of the tokens() of texts that are not empty, in order.
 
     Where the tokenizer allows it, words between single spaces are encoded once in a worker and looked up; texts with
-    other white space, or with more than a space between words, are encoded by slices.
+    a space at an end or beside other white space are encoded by slices.
     """
     null = texts.is_null().to_numpy(zero_copy_only=False)
     row, place, at, _ = bounds(texts)
@@ -161,7 +176,7 @@ def token_bounds(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, ...]:
     if _between_spaces(tokenizer):
         words = pc.list_flatten(pc.split_pattern(texts, " ")).dictionary_encode()
         each, code = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
-        odd = np.fromiter((not w or _SPACE.search(w) is not None for w in each), bool, len(each))
+        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in each), bool, len(each))
         plain = ~null & (np.bincount(row, weights=odd[code], minlength=len(texts)) == 0)
     out = []
     keep = plain[row]
